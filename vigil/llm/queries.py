@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import packing, quality, simhash, tokencount, toxicity, urlfilter
+from vigil.llm import linededup, mih, mixing, packing, quality, simhash, tokencount, toxicity, urlfilter, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -21,10 +21,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "text", F.col("__removed").alias("removed_lines"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archives(_table(spark, sf_dir, "pages"))
+    return warc.describe(warc.read_archives(spark, path))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
 
@@ -33,6 +43,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return mih.top_k(rows.where("vec_id % 20 = 0"), rows, k=10)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(~toxicity.held_out()))
@@ -49,8 +64,12 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_token_counts, op5_packing, op7_toxicity, op8_quality_rules, op9_url_filters)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_simhash_near_dedup, op3_warc, op4_token_counts, op5_packing, op6_topk_search, op7_toxicity, op8_quality_rules, op9_url_filters, op10_mixing)}
 
 
 def _sql_list(values: list[str]) -> str:
@@ -88,6 +107,42 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b"""
 
 
+def _line_sql() -> str:
+    w, p = linededup.WINDOW, linededup.MODULUS
+    rolling = " + ".join(f"coalesce(lag(h, {k}) OVER o, 0) * {linededup.FACTOR**k % p}" if k else "h" for k in range(w))
+    return f"""
+WITH l AS (
+  SELECT doc_id, i, x, ('0x' || substr(md5(x), 1, 8))::BIGINT AS h
+  FROM (SELECT doc_id, unnest(ls) AS x, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+b AS (SELECT doc_id, i, x, ({rolling}) % {p} % {linededup.DIVISOR} = 0 AS ends FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, i, x, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b),
+g AS (SELECT doc_id, k, count(*) AS n, string_agg(x, chr(10) ORDER BY i) AS chunk FROM c GROUP BY doc_id, k),
+r AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY chunk, n > 1 ORDER BY doc_id, k) > 1 AS gone FROM g)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text, coalesce(t.removed, 0)::BIGINT AS removed_lines
+FROM documents d LEFT JOIN (
+  SELECT doc_id, string_agg(chunk, chr(10) ORDER BY k) FILTER (NOT gone) AS text, coalesce(sum(n) FILTER (gone), 0) AS removed
+  FROM r GROUP BY doc_id) t USING (doc_id)"""
+
+
+def _warc_sql() -> str:
+    return """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS h FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+FROM m"""
+
+
+def _search_sql() -> str:
+    return """
+WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: (x > 0)::INT) AS bits FROM embeddings WHERE embedding IS NOT NULL),
+d AS (SELECT q.vec_id AS query_id, r.vec_id AS neighbor_id, list_sum(list_transform(list_zip(q.bits, r.bits), lambda z: abs(z[1] - z[2])))::BIGINT AS distance
+      FROM c q, c r WHERE q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id)::BIGINT AS rank, neighbor_id, distance
+FROM d QUALIFY rank <= 10"""
+
+
 def _url_sql() -> str:
     pattern = verdict = "NULL"
     for r in sorted(urlfilter.RULES, key=lambda r: len(r.pattern)):
@@ -105,4 +160,4 @@ FROM p"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": _quality_sql(), "op9_url_filters": _url_sql()}
+    return {"op1_line_dedup": _line_sql(), "op3_warc": _warc_sql(), "op6_topk_search": _search_sql(), "op8_quality_rules": _quality_sql(), "op9_url_filters": _url_sql()}
