@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm import textvec
 
-MAX_NODES = 1_000_000
+MAX_NODES = 250_000
 LONG = 4096  # bytes; longer pre-tokens are scored without being kept in the trie
 
 
