@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm import textvec
 
-SENTENCE, HARD = 4, 12  # penalties, in ids of padding
+SENTENCE, HARD = 2, 8  # penalties, in ids of padding
 END_ID = 0
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -41,39 +41,48 @@ class WordEncoder:
     """Ids of texts through ``tokenizers``: each distinct pre-token is encoded once.
 
     A byte-level tokenizer encodes pre-tokens independently, so a text's ids are those
-    of its pre-tokens in order. The memory of known pre-tokens is emptied at ``most``.
+    its model gives for the pre-tokens in order. The memory of known pre-tokens, a table
+    sorted by hash, is emptied at ``most``.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        ids = range(self.tokenizer.get_vocab_size())
-        text = [self.tokenizer.id_to_token(i) or "" for i in ids]
+        self.model = self.tokenizer.model
+        # bytes stand for themselves if they print in Latin-1, else for code points from 256 on
+        prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = [b for b in range(256) if b not in prints]
+        self.signs = {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+        text = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.closes = np.array([t[-1:] in (".", "!", "?", "Ċ") for t in text])  # the last is the newline's sign
         self.most = most
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.at, self.n = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.ids, self.used = np.zeros(4096, np.uint32), 0
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
 
-    def learn(self, hashes: list[int], words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        tokenize, signs = self.model.tokenize, self.signs
+        found = [[t.id for t in tokenize(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(signs))] for w in words]
         n = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for x in found for i in x), np.uint32, int(n.sum()))
-        k = len(self.known)
-        while k + len(n) > len(self.n):
-            self.at, self.n = np.concatenate([self.at, self.at]), np.concatenate([self.n, self.n])
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, self.ids])
-        self.n[k : k + len(n)] = n
-        self.at[k : k + len(n)] = self.used + np.cumsum(n) - n
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.known.update(zip(hashes, range(k, k + len(hashes))))
+        first = len(self.n)
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])
+        self.n = np.concatenate([self.n, n])
+        self.ids = np.concatenate([self.ids, flat])
+        keys = np.concatenate([self.keys, hashes])
+        slot = np.concatenate([self.slot, np.arange(first, first + len(n), dtype=np.int32)])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.slot = keys[order], slot[order]
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the hashes the table has."""
+        if not len(self.keys):
+            return np.zeros(len(hashes), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)] == hashes
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
         """(row, ids) of each row in order; a very long row's ids come in several parts."""
@@ -83,14 +92,13 @@ class WordEncoder:
             start = textvec.pretokens(codes, bounds)
             end = np.append(start[1:], len(codes))
             number, values, where = textvec.distinct(textvec.span_hashes(codes, start, end))
-            if len(self.known) + len(values) > self.most:
+            if len(self.keys) + len(values) > self.most:
                 self.clear()
-            values = values.tolist()
-            new = [k for k, h in enumerate(values) if h not in self.known]
-            if new:
+            new = np.flatnonzero(~self.known(values))
+            if len(new):
                 a, b = start[where[new]].tolist(), end[where[new]].tolist()
-                self.learn([values[k] for k in new], [joined[s:e] for s, e in zip(a, b)])
-            entry = np.fromiter(map(self.known.__getitem__, values), np.int64, len(values))[number]
+                self.learn(values[new], [joined[s:e] for s, e in zip(a, b)])
+            entry = self.slot[np.searchsorted(self.keys, values)][number]
             n = self.n[entry]
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
