@@ -103,9 +103,9 @@ def apply_verdicts(rows: DataFrame, as_of: Column, cfg: Config = Config(), first
         "status": v["status"], "http_code": v["http_code"], "reason": v["reason"],
         "last_checked": as_of, "check_count": count.cast("int"),
         "next_check_at": seconds_after(as_of, step["seconds"]), "error_count": step["error_count"],
-        "baseline_final_url": keep(v["baseline.final_url"], "baseline_final_url"), "baseline_len": keep(v["baseline.len"], "baseline_len"),
-        "baseline_hash": keep(v["baseline.hash"], "baseline_hash"), "baseline_del_match": keep(v["baseline.del_match"], "baseline_del_match"),
-        "baseline_blk_match": keep(v["baseline.blk_match"], "baseline_blk_match"), "baseline_at": keep(as_of, "baseline_at"),
+        "baseline_final_url": keep(v["baseline"]["final_url"], "baseline_final_url"), "baseline_len": keep(v["baseline"]["len"], "baseline_len"),
+        "baseline_hash": keep(v["baseline"]["hash"], "baseline_hash"), "baseline_del_match": keep(v["baseline"]["del_match"], "baseline_del_match"),
+        "baseline_blk_match": keep(v["baseline"]["blk_match"], "baseline_blk_match"), "baseline_at": keep(as_of, "baseline_at"),
         "deleted_at": F.when(changed, as_of).otherwise(stamp("deleted_at")),
         "newly_gone": newly_gone(v["status"], F.col("status")),
     }

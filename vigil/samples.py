@@ -110,12 +110,12 @@ RESULTS = [
 
 def payloads() -> list[tuple[str, str, bytes]]:
     """source, feed and bytes of feed documents of every kind."""
-    rss = '<?xml version="1.0" encoding="euc-kr"?><rss version="2.0"><channel><item><title>첫 글</title><link>https://a.example/1</link><guid>g1</guid><description>&lt;b&gt;요약&lt;/b&gt; 글</description></item><item><title>둘</title><guid>https://a.example/2</guid></item><item><title>셋</title><link>ftp://no</link></item></channel></rss>'
+    rss = '<?xml version="1.0" encoding="utf-8"?><rss version="2.0"><channel><item><title>첫 글</title><link>https://a.example/1</link><guid>g1</guid><description>&lt;b&gt;요약&lt;/b&gt; 글</description></item><item><title>둘</title><guid>https://a.example/2</guid></item><item><title>셋</title><link>ftp://no</link></item></channel></rss>'
     atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>Atom</title><link href="https://b.example/1"/><id>tag:1</id><summary>s</summary></entry></feed>'
     clien = '<a class="x" href="/service/board/park/123?od=T" data-x="1">\n<span title="공원 글">공원</span></a>'
     bobae = '<a class="bsubject" href="/view?code=freeb&No=77&bm=1" title="제목 속성">제목 <b>본문</b></a><a class="bsubject" href="/view?code=freeb&No=78">글 <b>둘</b></a>'
     return [
-        ("a", "xml-rss", bytearray(rss.encode("cp949"))),
+        ("a", "xml-rss", bytearray(rss.encode())),
         ("b", "xml-atom", bytearray(atom.encode())),
         ("c", "xml-bad", bytearray(b"<rss><item>")),
         ("clien.net", "clien", bytearray(clien.encode())),

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def admit(times: deque, now: float, limit: int, window: float) -> tuple[bool, int]:
@@ -26,7 +27,7 @@ def admit(times: deque, now: float, limit: int, window: float) -> tuple[bool, in
 
 
 def _walk(requests: DataFrame, deal: str, columns: list[str], step) -> DataFrame:
-    schema = requests.schema.add("allowed", "boolean").add("retry", "long").add("gate", "string")
+    schema = StructType([*requests.schema.fields]).add("allowed", "boolean").add("retry", "long").add("gate", "string")
     known = requests.withColumn("__s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
 
     def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
