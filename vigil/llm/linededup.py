@@ -6,9 +6,11 @@ only: lines inserted above do not move it. Chunks of two lines or more that occu
 more than once in all documents stay where (doc_id, place) is smallest and go
 elsewhere, whole.
 
-Occurrences are counted by chunk text with partial aggregation, then found again by a
-128-bit hash; each carries the text of the chunk that stays to its document, where
-bytes are compared before lines go. All of it is DataFrame functions.
+Occurrences are counted by a 128-bit hash first, so that only chunks that may repeat
+move with their text; of those, equal bytes are grouped and joined. What goes is a list
+of chunk numbers for each document. Hashes and lists are sent to all executors if they
+are small (``BROADCAST_NUMBERS``), else joined by shuffle. All of it is DataFrame
+functions.
 
 Defined results: a null text stays null, an empty one is a single empty line; every
 row stays, perhaps with fewer lines; rows with equal id and text are one document,
@@ -22,11 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm.quality import let
+from vigil.llm.store import written
 
 WINDOW = 2
 DIVISOR = 3
 FACTOR = 1_000_003
 MODULUS = (1 << 31) - 1
+BROADCAST_NUMBERS = 500_000
 
 
 def chunks(text: Column) -> Column:
@@ -45,25 +49,29 @@ def chunks(text: Column) -> Column:
     return let(F.split(text, "\n", -1), of)
 
 
+def _small(df: DataFrame, size: Column) -> DataFrame:
+    """df for a join: sent to every executor if it is small, else left to a shuffle."""
+    held = df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if held <= BROADCAST_NUMBERS else df
+
+
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with the repeated chunks removed, and a column ``__removed``: how many lines went."""
-    ids = docs.select(F.col(doc_id).alias("__l_id"), F.xxhash64(text).alias("__l_key"), F.col(text).alias("__l_text"))
-    places = ids.where("__l_text is not null").select("__l_id", "__l_key", F.posexplode(chunks(F.col("__l_text"))).alias("__l_k", "lines"))
+    ids = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("__l_id"), F.xxhash64(text).alias("__l_key"), F.col(text).alias("__l_text"))
+    places = ids.select("__l_id", "__l_key", F.posexplode(chunks(F.col("__l_text"))).alias("__l_k", "lines"))
     whole = F.array_join("lines", "\n")
-    at = F.struct("__l_id", "__l_key", "__l_k")
-    h1, h2 = F.xxhash64(whole), F.xxhash64(whole, F.lit(1))
-    found = places.where(F.size("lines") > 1).select(at.alias("at"), h1.alias("h1"), h2.alias("h2"), whole.alias("chunk"))
-    stays = found.groupBy("h1", "h2", "chunk").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    again = stays.where("not (first <=> last)").select("h1", "h2", "first", F.col("chunk").alias("same"))
-    goes = found.select("at", "h1", "h2").join(again, ["h1", "h2"]).where("not (at <=> first)").select("at.*", "same")
-    goes = goes.groupBy("__l_id", "__l_key").agg(F.collect_set(F.struct("__l_k", "same")).alias("__l_goes"))
-    goes = goes.withColumnsRenamed({"__l_id": "__l_of", "__l_key": "__l_of_key"})
+    found = places.where(F.size("lines") > 1).select(F.struct("__l_id", "__l_key", "__l_k").alias("at"), F.xxhash64(whole).alias("h1"), F.xxhash64(whole, F.lit(1)).alias("h2"), whole.alias("chunk"))
+    hashes = found.groupBy("h1", "h2").agg(F.min("at").alias("a"), F.max("at").alias("z")).where("not (a <=> z)").select("h1", "h2")
+    hashes = written(hashes, "repeated-hashes")
+    again = written(found.join(_small(hashes, F.lit(2)), ["h1", "h2"]), "repeated-chunks")
+    stays = again.groupBy("h1", "h2", "chunk").agg(F.min("at").alias("first"))
+    goes = again.join(stays, ["h1", "h2", "chunk"]).where("not (at <=> first)").select("at.*")  # equal hashes, and equal bytes
+    goes = goes.groupBy(F.col("__l_id").alias("__l_of"), F.col("__l_key").alias("__l_of_key")).agg(F.collect_set("__l_k").alias("__l_goes"))
+    goes = _small(written(goes, "going-chunks"), F.size("__l_goes") + 2)
     joined = docs.withColumn("__l_key", F.xxhash64(text)).join(goes, F.col(doc_id).eqNullSafe(F.col("__l_of")) & (F.col("__l_key") == F.col("__l_of_key")), "left")
 
     def left(c: Column) -> Column:
-        equal = F.filter(F.col("__l_goes"), lambda g: F.array_join(F.get(c, g["__l_k"]), "\n") == g["same"])
-        gone = F.transform(equal, lambda g: g["__l_k"])
-        kept = F.array_except(F.sequence(F.lit(0), F.size(c) - 1), gone)
+        kept = F.array_except(F.sequence(F.lit(0), F.size(c) - 1), F.col("__l_goes"))
         return let(F.flatten(F.transform(kept, lambda k: F.get(c, k))), lambda x: F.struct(F.array_join(x, "\n").alias("text"), (F.size(F.flatten(c)) - F.size(x)).alias("removed")))
 
     result = F.when(F.col("__l_goes").isNull(), F.struct(F.col(text).alias("text"), F.lit(0).alias("removed"))).otherwise(let(chunks(F.col(text)), left))

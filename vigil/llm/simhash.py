@@ -215,14 +215,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int = MOST) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest id of its class, of every row."""
-    marked = written(docs.select(F.col(doc_id).alias("doc_id"), _fingerprints(F.col(text)).alias("fp")), "fingerprints")
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest id of its class) of every row.
+
+    Then class_id, a fingerprint of the class that is its own name even if ids repeat,
+    and key_a, key_b, hashes of the row's id and text.
+    """
+    row = (F.col(doc_id), F.col(text))
+    marked = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(*row).alias("key_a"), F.xxhash64(*row, F.lit(1)).alias("key_b"), _fingerprints(F.col(text)).alias("fp"))
+    marked = written(marked, "fingerprints")
     classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     joined = components(links(classes.select("fp"), most))
     of = classes.join(joined, classes["fp"] == joined["node"])
     roots = of.groupBy("root").agg(F.min("least").alias("smallest"))
-    linked = of.join(roots, "root").select("fp", "smallest")
-    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
-    found = marked.join(named, "fp", "left")
-    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+    linked = of.join(roots, "root").select("fp", "smallest", "root")
+    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"), F.coalesce("root", "fp").alias("class"))
+    found = marked.join(written(named, "named"), "fp", "left")  # written, so that rows of a common fingerprint can be split
+    digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return found.select("doc_id", digits("fp").alias("fingerprint"), "component_id", digits("class").alias("class_id"), "key_a", "key_b")
