@@ -43,11 +43,13 @@ def duck(data):
 
 def same(ours, theirs):
     """Do two pandas frames hold the same rows, whatever their order?"""
+    import pandas as pd
+
     assert sorted(ours.columns) == sorted(theirs.columns)
 
     def rows(df):
         df = df[sorted(df.columns)].astype(object)
-        shown = lambda v: "" if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
+        shown = lambda v: "" if v is None or v is pd.NA or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
         return sorted(tuple(shown(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else shown(v) for v in r) for r in df.itertuples(index=False))
 
     return rows(ours) == rows(theirs)
