@@ -42,6 +42,7 @@ from vigil.llm.store import written
 SHINGLE = 3
 SEED = 42
 MOST = 4096
+BROADCAST_KEYS = 1_000_000  # numbers of keys whose groups pass MOST
 GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (first bit, bits)
 
@@ -184,12 +185,11 @@ def _ball_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def links(fps: DataFrame, most: int = MOST) -> DataFrame:
     """Edges (a, b) with the same components as all links among distinct fingerprints (column ``fp``)."""
     keyed = written(fps.mapInPandas(_key_rows, "key long, fp long"), "simhash-keys")
-    counts = keyed.groupBy("key").count().where("count > 1")
-    shared = keyed.join(counts, "key")
-    groups = shared.where(F.col("count") <= most).groupBy("key").agg(F.collect_list("fp").alias("members"))
+    large = written(keyed.groupBy("key").count().where(F.col("count") > most).select("key"), "simhash-large-keys")
+    side = F.broadcast(large) if large.count() <= BROADCAST_KEYS else large
+    groups = keyed.join(side, "key", "left_anti").groupBy("key").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
     near = groups.select("members").mapInPandas(_group_edges, "a long, b long")
-    large = shared.where(F.col("count") > most).select("fp").distinct()
-    ball = large.mapInPandas(_ball_rows, "word long, fp long")
+    ball = keyed.join(side, "key", "left_semi").select("fp").distinct().mapInPandas(_ball_rows, "word long, fp long")
     meet = ball.groupBy("word").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)  # 65 members at most
     far = meet.select(F.array_min("members").alias("b"), F.explode("members").alias("a")).where("a <> b").select("a", "b")
     return near.unionByName(far).distinct()
