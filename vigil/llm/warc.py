@@ -29,9 +29,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.store import new_path
+from vigil.llm.store import new_path, written
 
 SAMPLE, SAMPLE_BYTES = 512, 1 << 16
+BROADCAST_PAYLOADS = 100_000  # digests of payloads that repeat, about 150 bytes each
 DICTIONARY_BYTES = 1 << 16
 LEAST_REVISIT = 1000
 LEVEL = 6
@@ -119,7 +120,8 @@ def write_archives(pages: DataFrame, path: str | None = None, page_id: str = "pa
     base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
     base = base.withColumns({"digest": F.sha1("payload"), "__w_sum": F.sha2("payload", 256), "__w_size": F.octet_length("payload")})
     last = base.where(F.col("__w_size") >= LEAST_REVISIT).groupBy("digest", "__w_sum", "__w_size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = base.join(last, ["digest", "__w_sum", "__w_size"], "left")
+    last = written(last, "repeated-payloads")  # written, so that pages of a common payload can be split
+    joined = base.join(F.broadcast(last) if last.count() <= BROADCAST_PAYLOADS else last, ["digest", "__w_sum", "__w_size"], "left")
     rows = joined.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
 
     sample = base.where(F.col("__w_size") <= SAMPLE_BYTES).select("page_id", "url", "payload", "digest", F.lit(None).cast("long").alias("refers_to"))
@@ -150,8 +152,8 @@ def write_archives(pages: DataFrame, path: str | None = None, page_id: str = "pa
 
     if SEPARATOR in content:
         raise ValueError("the separator is in the dictionary")
-    written = rows.mapInPandas(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    written.write.option("lineSep", SEPARATOR.decode("latin-1")).text(path)
+    lines = rows.mapInPandas(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    lines.write.option("lineSep", SEPARATOR.decode("latin-1")).text(path)
     return path
 
 
