@@ -7,10 +7,10 @@ more than once in all documents stay where (doc_id, place) is smallest and go
 elsewhere, whole.
 
 Occurrences are counted by a 128-bit hash first, so that only chunks that may repeat
-move with their text; of those, equal bytes are grouped and joined. What goes is a list
-of chunk numbers for each document. Hashes and lists are sent to all executors if they
-are small (``BROADCAST_NUMBERS``), else joined by shuffle. All of it is DataFrame
-functions.
+move with their text; of those, equal bytes are grouped, and every place but a group's
+first goes. What goes is a list of chunk numbers for each document. Hashes and lists
+are sent to all executors if they are small (``BROADCAST_NUMBERS``), else joined by
+shuffle. All of it is DataFrame functions.
 
 Defined results: a null text stays null, an empty one is a single empty line; every
 row stays, perhaps with fewer lines; rows with equal id and text are one document,
@@ -64,8 +64,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     hashes = found.groupBy("h1", "h2").agg(F.min("at").alias("a"), F.max("at").alias("z")).where("not (a <=> z)").select("h1", "h2")
     hashes = written(hashes, "repeated-hashes")
     again = written(found.join(_small(hashes, F.lit(2)), ["h1", "h2"]), "repeated-chunks")
-    stays = again.groupBy("h1", "h2", "chunk").agg(F.min("at").alias("first"))
-    goes = again.join(stays, ["h1", "h2", "chunk"]).where("not (at <=> first)").select("at.*")  # equal hashes, and equal bytes
+    # of equal hashes and equal bytes the first place stays; a place is a key of its own, so a common chunk is dealt to many tasks
+    stays = again.groupBy("h1", "h2", "chunk").agg(F.min("at").alias("at")).select(*[F.col(f"at.{c}").alias(f"{c}_stays") for c in ("__l_id", "__l_key", "__l_k")])
+    same = F.col("__l_id").eqNullSafe(F.col("__l_id_stays")) & (F.col("__l_key") == F.col("__l_key_stays")) & (F.col("__l_k") == F.col("__l_k_stays"))
+    goes = again.select("at.*").join(stays, same, "left_anti")
     goes = goes.groupBy(F.col("__l_id").alias("__l_of"), F.col("__l_key").alias("__l_of_key")).agg(F.collect_set("__l_k").alias("__l_goes"))
     goes = _small(written(goes, "going-chunks"), F.size("__l_goes") + 2)
     joined = docs.withColumn("__l_key", F.xxhash64(text)).join(goes, F.col(doc_id).eqNullSafe(F.col("__l_of")) & (F.col("__l_key") == F.col("__l_of_key")), "left")
