@@ -1,7 +1,7 @@
 """WARC archives of Zstandard frames that share a dictionary.
 
 A dictionary is trained on a bounded sample of the archived records (``SAMPLE`` records
-of at most ``SAMPLE_BYTES`` each, chosen by a hash) and embedded in the leading,
+of at most ``SAMPLE_BYTES`` each, drawn by a hash) and embedded in the leading,
 skippable frame of every archive file; each record is a frame of its own, so one can be
 read alone. Spark's text sink writes the files, on any file system and with its commit
 protocol: the separator between two records is itself an empty skippable frame, which
@@ -125,7 +125,9 @@ def write_archives(pages: DataFrame, path: str | None = None, page_id: str = "pa
     rows = joined.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
 
     sample = base.where(F.col("__w_size") <= SAMPLE_BYTES).select("page_id", "url", "payload", "digest", F.lit(None).cast("long").alias("refers_to"))
-    sample = sample.orderBy(F.xxhash64("page_id", "digest"), "page_id").limit(SAMPLE)
+    drawn = F.xxhash64("page_id", "digest")
+    every = max(1, pages.count() // (8 * SAMPLE))  # so that about 8 * SAMPLE rows, however many there are, meet to be cut to SAMPLE
+    sample = sample.where(F.pmod(drawn, F.lit(every)) == 0).orderBy(drawn, "page_id").limit(SAMPLE)
 
     def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = [r for frame in parts for r in _records(frame)]
