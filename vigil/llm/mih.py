@@ -7,7 +7,9 @@ task: a bounded shard is indexed by each of its code's segments of ``SEGMENT`` b
 and a block's queries probe all words at segment distance 0, then 1, and so on. After
 distance s in all m segments every code within ``m * (s + 1) - 1`` has been seen, so a
 query is done as soon as its k-th best verified distance is covered; its best k rows
-of the shard then meet those of the other shards. Nothing is approximate.
+of the shard then meet those of the other shards. Nothing is approximate. A shard is
+read once for each block, so blocks are as large as a task can search (``QUERIES``)
+and smaller only while there are fewer tasks than cores.
 
 Defined results: null vectors are neither queries nor found; a query does not find
 its own id; equal distances rank by id; rows with one id and one code count once; a
@@ -27,8 +29,9 @@ from pyspark.sql import functions as F
 from vigil.llm.store import written
 
 SEGMENT = 16
-SHARD = 1_000_000  # codes
-QUERIES = 512  # codes of a block
+SHARD = 400_000  # codes
+QUERIES = 65_536  # codes of a block at most: each block reads every shard once
+LEAST = 512  # codes of a block at least, where smaller blocks keep more tasks busy
 
 
 def sign_code(embedding: Column, words: int) -> Column:
@@ -126,7 +129,9 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 10, vec_id: str = "vec_i
     classes = written(first.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "code-classes")
     asked = written(coded(queries).distinct(), "queries")
     wanted = asked.select("code").distinct()
-    shards, blocks = -(-max(1, classes.count()) // shard), -(-max(1, wanted.count()) // block)
+    shards, asking = -(-max(1, classes.count()) // shard), max(1, wanted.count())
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(-(-asking // block), min(-(-asking // LEAST), -(-tasks // shards)))
     at = lambda n: F.pmod(F.xxhash64("code"), F.lit(n))
     left = wanted.select("code", at(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     right = classes.select("code", "ids", at(shards).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
