@@ -24,7 +24,16 @@ from pyspark.sql import functions as F
 from vigil.llm.store import written
 
 # Registered names whose hosts, and their subdomains, are blocked.
-BLOCKED_DOMAINS = ["free-bets.example.com", "cheap-pills.example.com", "spam-farm.example.org", "adult-x.example.net"]
+BLOCKED_DOMAINS = [
+    "adult-x.example.net",
+    "ads-track.example.com",
+    "casino-win.example.com",
+    "cheap-pills.example.com",
+    "free-bets.example.com",
+    "free-bets.example.net",
+    "spam-farm.example.com",
+    "spam-farm.example.org",
+]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
