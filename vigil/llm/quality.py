@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD_GAP = "[ \\t-\\r]+"
+LETTER_WORD = "(?<![^ \\t-\\r])[^\\p{L} \\t-\\r]*+\\p{L}"  # only a word's start can match, so the cost is linear
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
@@ -63,9 +64,10 @@ def word_array(text: Column) -> Column:
 def repeated_words(words: Column, n: int = 8) -> Column:
     """Words that lie in an n-word window found at least twice, each word once.
 
-    Windows are compared by a hash of their words' hashes; a text without two equal
-    hashes, the usual case, ends there. Else the windows are sorted by hash and
-    equal neighbours, compared word by word, mark their words.
+    Windows are compared by a hash of their words' hashes, made by doubling (n is a
+    power of two); a text without two equal hashes, the usual case, ends there. Else
+    the windows are sorted by hash and equal neighbours, compared word by word, mark
+    their words. No step copies an array for each window, so the cost is linear.
     """
 
     def marked(h: Column, w: Column) -> Column:
@@ -74,7 +76,10 @@ def repeated_words(words: Column, n: int = 8) -> Column:
         def of(e: Column) -> Column:
             def same(j: Column, k: Column) -> Column:
                 a, b = F.get(e, j), F.get(e, k)
-                return F.coalesce((a["h"] == b["h"]) & (F.slice(words, a["i"] + 1, n) == F.slice(words, b["i"] + 1, n)), F.lit(False))
+                equal = a["h"] == b["h"]
+                for at in range(n):
+                    equal = equal & (F.get(words, a["i"] + at) == F.get(words, b["i"] + at))
+                return F.coalesce(equal, F.lit(False))
 
             hit = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda j: same(j, j - 1) | same(j, j + 1))
             at = F.array_sort(F.transform(hit, lambda j: F.get(e, j)["i"]))
@@ -83,8 +88,11 @@ def repeated_words(words: Column, n: int = 8) -> Column:
 
         return let(entries, of)
 
-    def windows(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)]))
+    def windows(h: Column, width: int = 1) -> Column:
+        """Hashes of all n-word windows, from those of windows of ``width`` words."""
+        if width == n:
+            return F.slice(h, F.lit(1), F.size(h) - (n - 1))
+        return let(F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + width))), lambda wider: windows(wider, 2 * width))
 
     none = F.lit(0).cast("long")
     return F.when(F.size(words) < 2, none).otherwise(
@@ -108,7 +116,7 @@ def measures(text: Column) -> dict[str, Column]:
         "n_lines": let(lines, lambda x: F.size(x)),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
         "n_stop_words": F.size(F.filter(words, lambda w: w.isin(stop))),
-        "n_letter_words": F.size(F.filter(words, lambda w: F.rlike(w, F.lit("\\p{L}")))),
+        "n_letter_words": F.regexp_count(text, F.lit(LETTER_WORD)),
         "n_repeat_words": repeated_words(words),
     }
     return {k: c.cast("long") for k, c in out.items()}
