@@ -42,7 +42,8 @@ def chunks(text: Column) -> Column:
         def cut(h: Column) -> Column:
             rolling = lambda i: sum((F.coalesce(F.get(h, i - k), F.lit(0).cast("long")) * (FACTOR**k % MODULUS) for k in range(1, WINDOW)), F.get(h, i))
             ends = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (rolling(i) % MODULUS % DIVISOR == 0) | (i == F.size(h) - 1))
-            return let(ends, lambda e: F.transform(e, lambda x, k: F.slice(lines, F.coalesce(F.get(e, k - 1), F.lit(-1)) + 2, x - F.coalesce(F.get(e, k - 1), F.lit(-1)))))
+            first = lambda e, k: F.coalesce(F.get(e, k - 1), F.lit(-1)) + 1
+            return let(ends, lambda e: F.transform(e, lambda x, k: F.transform(F.sequence(first(e, k), x), lambda i: F.get(lines, i))))
 
         return let(hashes, cut)
 
