@@ -12,6 +12,12 @@ first goes. What goes is a list of chunk numbers for each document. Hashes and l
 are sent to all executors if they are small (``BROADCAST_NUMBERS``), else joined by
 shuffle. All of it is DataFrame functions.
 
+Chunks find a repeated run only where its ends are cut alike, so ``dedup_passages``
+takes every place of two neighbouring lines, and every line of over ``LONG`` words:
+where an earlier place has the same bytes, its lines go. A repeated run of two lines or
+more so goes whole, wherever it starts. Each line that goes has an earlier copy, so the
+first copy of a line always stays; the lines next to it may go.
+
 Defined results: a null text stays null, an empty one is a single empty line; every
 row stays, perhaps with fewer lines; rows with equal id and text are one document,
 and all of them keep or lose a chunk alike; a null id sorts first; other columns are
@@ -31,6 +37,7 @@ DIVISOR = 3
 FACTOR = 1_000_003
 MODULUS = (1 << 31) - 1
 BROADCAST_NUMBERS = 500_000
+LONG = 50  # words from which on a line is a passage of its own
 
 
 def chunks(text: Column) -> Column:
@@ -56,12 +63,27 @@ def _small(df: DataFrame, size: Column) -> DataFrame:
     return F.broadcast(df) if held <= BROADCAST_NUMBERS else df
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with the repeated chunks removed, and a column ``__removed``: how many lines went."""
-    ids = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("__l_id"), F.xxhash64(text).alias("__l_key"), F.col(text).alias("__l_text"))
-    places = ids.select("__l_id", "__l_key", F.posexplode(chunks(F.col("__l_text"))).alias("__l_k", "lines"))
-    whole = F.array_join("lines", "\n")
-    found = places.where(F.size("lines") > 1).select(F.struct("__l_id", "__l_key", "__l_k").alias("at"), F.xxhash64(whole).alias("h1"), F.xxhash64(whole, F.lit(1)).alias("h2"), whole.alias("chunk"))
+def passages(text: Column) -> Column:
+    """The passages of a text, each struct(k, passage): two neighbouring lines from line k / 2 on
+    (k even), and a line of over ``LONG`` words, line (k - 1) / 2 (k odd)."""
+
+    def of(lines: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(lines) - 1)
+        pair = lambda i: F.struct((2 * i).alias("k"), F.concat(F.get(lines, i), F.lit("\n"), F.get(lines, i + 1)).alias("passage"))
+        alone = lambda i: F.struct((2 * i + 1).alias("k"), F.get(lines, i).alias("passage"))
+        long = F.filter(at, lambda i: F.regexp_count(F.get(lines, i), F.lit("[^ \\t-\\r]+")) > LONG)
+        return F.concat(F.transform(F.filter(at, lambda i: i < F.size(lines) - 1), pair), F.transform(long, alone))
+
+    return let(F.split(text, "\n", -1), of)
+
+
+def _ids(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("__l_id"), F.xxhash64(text).alias("__l_key"), F.col(text).alias("__l_text"))
+
+
+def _later(places: DataFrame, whole: Column) -> DataFrame:
+    """(__l_of, __l_of_key, __l_goes): for each document the places __l_k whose bytes have an earlier place."""
+    found = places.select(F.struct("__l_id", "__l_key", "__l_k").alias("at"), F.xxhash64(whole).alias("h1"), F.xxhash64(whole, F.lit(1)).alias("h2"), whole.alias("chunk"))
     hashes = found.groupBy("h1", "h2").agg(F.min("at").alias("a"), F.max("at").alias("z")).where("not (a <=> z)").select("h1", "h2")
     hashes = written(hashes, "repeated-hashes")
     again = written(found.join(_small(hashes, F.lit(2)), ["h1", "h2"]), "repeated-chunks")
@@ -70,14 +92,39 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     same = F.col("__l_id").eqNullSafe(F.col("__l_id_stays")) & (F.col("__l_key") == F.col("__l_key_stays")) & (F.col("__l_k") == F.col("__l_k_stays"))
     goes = again.select("at.*").join(stays, same, "left_anti")
     goes = goes.groupBy(F.col("__l_id").alias("__l_of"), F.col("__l_key").alias("__l_of_key")).agg(F.collect_set("__l_k").alias("__l_goes"))
-    goes = _small(written(goes, "going-chunks"), F.size("__l_goes") + 2)
+    return _small(written(goes, "going-chunks"), F.size("__l_goes") + 2)
+
+
+def _without(docs: DataFrame, goes: DataFrame, left: Column, text: str, doc_id: str) -> DataFrame:
+    """docs with the texts that ``left``, a struct(text, removed), gives where something goes."""
     joined = docs.withColumn("__l_key", F.xxhash64(text)).join(goes, F.col(doc_id).eqNullSafe(F.col("__l_of")) & (F.col("__l_key") == F.col("__l_of_key")), "left")
+    result = F.when(F.col("__l_goes").isNull(), F.struct(F.col(text).alias("text"), F.lit(0).alias("removed"))).otherwise(left)
+    cleaned = joined.withColumn("__l_result", result)
+    columns = [F.col("__l_result.text").alias(c) if c == text else F.length("__l_result.text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return cleaned.select(*columns, F.col("__l_result.removed").cast("long").alias("__removed"))
+
+
+def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with the repeated chunks removed, and a column ``__removed``: how many lines went."""
+    places = _ids(docs, text, doc_id).select("__l_id", "__l_key", F.posexplode(chunks(F.col("__l_text"))).alias("__l_k", "lines"))
+    goes = _later(places.where(F.size("lines") > 1), F.array_join("lines", "\n"))
 
     def left(c: Column) -> Column:
         kept = F.array_except(F.sequence(F.lit(0), F.size(c) - 1), F.col("__l_goes"))
         return let(F.flatten(F.transform(kept, lambda k: F.get(c, k))), lambda x: F.struct(F.array_join(x, "\n").alias("text"), (F.size(F.flatten(c)) - F.size(x)).alias("removed")))
 
-    result = F.when(F.col("__l_goes").isNull(), F.struct(F.col(text).alias("text"), F.lit(0).alias("removed"))).otherwise(let(chunks(F.col(text)), left))
-    cleaned = joined.withColumn("__l_result", result)
-    columns = [F.col("__l_result.text").alias(c) if c == text else F.length("__l_result.text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return cleaned.select(*columns, F.col("__l_result.removed").cast("long").alias("__removed"))
+    return _without(docs, goes, let(chunks(F.col(text)), left), text, doc_id)
+
+
+def dedup_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs without the lines of passages that an earlier place has, and ``__removed``."""
+    places = _ids(docs, text, doc_id).select("__l_id", "__l_key", F.explode(passages(F.col("__l_text"))).alias("p"))
+    goes = _later(places.select("__l_id", "__l_key", F.col("p.k").alias("__l_k"), "p.passage"), F.col("passage"))
+
+    def left(lines: Column) -> Column:
+        first = lambda k: F.shiftright(k, 1)
+        gone = F.concat(F.transform("__l_goes", first), F.transform(F.filter("__l_goes", lambda k: k % 2 == 0), lambda k: first(k) + 1))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.struct(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n").alias("text"), (F.size(lines) - F.size(kept)).alias("removed"))
+
+    return _without(docs, goes, let(F.split(F.col(text), "\n", -1), left), text, doc_id)
