@@ -245,7 +245,6 @@ def test_packing_covers_all_ids(spark, odd):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(BPE)
-    tokenizer.encode_special_tokens = True
     texts = {}
     for i, t, _ in ODD:
         texts.setdefault(i, []).append(tokenizer.encode(t or "", add_special_tokens=False).ids + [0])

@@ -14,12 +14,17 @@ padding, if that costs less.
 Each task packs what it reads, so nothing is shuffled and sequence ids are
 ``task << 33`` plus a count.
 
+Ids are those of the tokenizer as its file has it, without special tokens of a template:
+a text is cut at the added tokens that it holds, which become their own ids, and the rest
+is encoded by pre-tokens, each distinct one once.
+
 Defined results: a null or empty text is one id, the end mark; repeated rows are
-packed each; an empty table gives no pieces.
+packed each; a null id is kept; an empty table gives no pieces; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -41,8 +46,8 @@ class WordEncoder:
     """Ids of texts through ``tokenizers``: each distinct pre-token is encoded once.
 
     A byte-level tokenizer encodes pre-tokens independently, so a text's ids are those
-    its model gives for the pre-tokens in order. The memory of known pre-tokens, a table
-    sorted by hash, is emptied at ``most``.
+    its model gives for the pre-tokens in order. Known pre-tokens are kept by their
+    characters and forgotten at ``most``.
     """
 
     def __init__(self, path: str, most: int = 500_000):
@@ -50,6 +55,11 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens that take in their surroundings are not supported")
+        self.added = {t.content: np.array([i], np.uint32) for i, t in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         # bytes stand for themselves if they print in Latin-1, else for code points from 256 on
         prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in prints]
@@ -60,52 +70,54 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.slot: dict[str, int] = {}
         self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         tokenize, signs = self.model.tokenize, self.signs
         found = [[t.id for t in tokenize(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(signs))] for w in words]
         n = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for x in found for i in x), np.uint32, int(n.sum()))
-        first = len(self.n)
+        self.slot.update(zip(words, range(len(self.n), len(self.n) + len(words))))
         self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])
         self.n = np.concatenate([self.n, n])
         self.ids = np.concatenate([self.ids, flat])
-        keys = np.concatenate([self.keys, hashes])
-        slot = np.concatenate([self.slot, np.arange(first, first + len(n), dtype=np.int32)])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.slot = keys[order], slot[order]
 
-    def known(self, hashes: np.ndarray) -> np.ndarray:
-        """Which of the hashes the table has."""
-        if not len(self.keys):
-            return np.zeros(len(hashes), bool)
-        return self.keys[np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)] == hashes
+    def segments(self, texts: list[str]) -> tuple[list[int], list[str], list[np.ndarray | None]]:
+        """(row, text, ids) of stretches in order: ids are given for added tokens only."""
+        rows, parts, given = [], [], []
+        for row, text in enumerate(texts):
+            split = self.cut.split(text) if self.cut and any(a in text for a in self.added) else [text]
+            for k, part in enumerate(split):
+                if part or len(split) == 1:
+                    rows.append(row)
+                    parts.append(part)
+                    given.append(self.added[part] if k % 2 else None)
+        return rows, parts, given
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
-        """(row, ids) of each row in order; a very long row's ids come in several parts."""
-        for rows, pieces in textvec.batches(texts):
+        """(row, ids) of each row in order; a row's ids may come in several parts."""
+        owner, parts, given = self.segments(texts)
+        for rows, pieces in textvec.batches(parts):
             joined = "".join(pieces)
             codes, bounds = textvec.code_points(joined), textvec.offsets(pieces)
             start = textvec.pretokens(codes, bounds)
             end = np.append(start[1:], len(codes))
-            number, values, where = textvec.distinct(textvec.span_hashes(codes, start, end))
-            if len(self.keys) + len(values) > self.most:
+            number, where = textvec.distinct(codes, start, end)
+            words = [joined[s:e] for s, e in zip(start[where].tolist(), end[where].tolist())]
+            if len(self.slot) + len(words) > self.most:
                 self.clear()
-            new = np.flatnonzero(~self.known(values))
-            if len(new):
-                a, b = start[where[new]].tolist(), end[where[new]].tolist()
-                self.learn(values[new], [joined[s:e] for s, e in zip(a, b)])
-            entry = self.slot[np.searchsorted(self.keys, values)][number]
+            self.learn([w for w in words if w not in self.slot])
+            entry = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))[number]
             n = self.n[entry]
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
             ids = self.ids[np.repeat(self.at[entry] - ends + n, n) + np.arange(total)]
             cut = np.concatenate([[0], ends])[np.searchsorted(start, bounds)] if len(start) else np.zeros(len(bounds), np.int64)
-            for k, row in enumerate(rows):
-                yield row, ids[cut[k] : cut[k + 1]]
+            for k, segment in enumerate(rows):
+                known = given[segment]
+                yield owner[segment], ids[cut[k] : cut[k + 1]] if known is None else known
 
 
 def choose_cuts(at: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:

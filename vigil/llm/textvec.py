@@ -6,6 +6,7 @@ white-space character follows another character, which always starts a pre-token
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,18 +19,28 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 _classes: list[np.ndarray] = []
 _powers: list[np.ndarray] = []
 BASE = 0x9E3779B97F4A7C15 | 1
+_blank = "".join(map(chr, SPACES))
+_after_word = re.compile(f"(?<=[^{_blank}])[{_blank}]")
 
 
 def classes() -> np.ndarray:
-    """The class of every code point, made once in a worker."""
+    """The class of every code point as the tokenizers' own pre-tokenizer has it, made once in a worker.
+
+    All code points but the space go through it as one string, in which those of one
+    class stay together; one of each run is then probed next to a letter, a number and
+    a sign.
+    """
     if not _classes:
-        import unicodedata
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        category = np.array([ord(unicodedata.category(chr(c))[0]) for c in range(0x110000)], np.uint8)
+        split = ByteLevel(add_prefix_space=False).pre_tokenize_str
+        points = np.array([c for c in range(0x110000) if c != 0x20 and not 0xD800 <= c < 0xE000])
         table = np.zeros(0x110000, np.uint8)
-        table[category == ord("L")] = LETTER
-        table[category == ord("N")] = NUMBER
-        table[SPACES] = SPACE
+        table[0x20] = SPACE
+        for _, (start, end) in split("".join(map(chr, points.tolist()))):
+            one = chr(points[start])
+            kinds = [k for k, with_ in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")) if len(split(with_ + one)) == 1]
+            table[points[start:end]] = kinds[0] if kinds else SPACE
         _classes.append(table)
     return _classes[0]
 
@@ -56,10 +67,8 @@ def batches(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[list[int],
         while True:
             end = len(text)
             if end - start > limit:
-                at = start + limit
-                while at < end and not (text[at].isspace() and not text[at - 1].isspace()):
-                    at += 1
-                end = at
+                found = _after_word.search(text, start + limit)
+                end = found.start() if found else end
             if size and size + end - start > limit:
                 yield rows, pieces
                 rows, pieces, size = [], [], 0
@@ -120,7 +129,10 @@ def pretokens(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of ``codes``, from one running sum over all of them."""
+    """A 64-bit hash of each span of ``codes``, from one running sum over all of them.
+
+    Words can be made that share it: who needs equal characters must compare them.
+    """
     p, inverse = powers(len(codes) + 1)
     x = codes.astype(np.uint64) + np.uint64(1)
     x *= np.uint64(0xBF58476D1CE4E5B9)
@@ -135,9 +147,30 @@ def span_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return h * np.uint64(0xD6E8FEB86659FD93)
 
 
-def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of each value, distinct values, where each is first found)."""
-    number, values = pd.factorize(hashes)
+def distinct(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each span's value, where each value is first found) of spans that tile ``codes``.
+
+    Spans are grouped by hash, and every span's characters are then compared with those
+    of its group's first; a span that differs starts a value of its own.
+    """
+    number, values = pd.factorize(span_hashes(codes, start, end))
     where = np.empty(len(values), np.int64)
-    where[number[::-1]] = np.arange(len(hashes) - 1, -1, -1)
-    return number, values, where
+    where[number[::-1]] = np.arange(len(number) - 1, -1, -1)
+    n = end - start
+    first = where[number]
+    shift = np.where(n == n[first], start - start[first], 0)  # of another length: differs anyway
+    unequal = codes != codes[np.arange(len(codes)) - np.repeat(shift, n)]
+    odd = n != n[first]
+    if unequal.any():
+        odd |= np.add.reduceat(unequal, start) > 0
+    if odd.any():
+        known: dict[bytes, int] = {}
+        more = []
+        for k in np.flatnonzero(odd).tolist():
+            word = codes[start[k] : end[k]].tobytes()
+            if word not in known:
+                known[word] = len(where) + len(more)
+                more.append(k)
+            number[k] = known[word]
+        where = np.concatenate([where, np.array(more, np.int64)])
+    return number, where

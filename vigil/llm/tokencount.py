@@ -7,9 +7,13 @@ once. A pre-token's count is stored at its last node. Tasks share nothing: there
 no shuffle, and a task's trie is dropped when it passes ``MAX_NODES``.
 
 The vocabulary is a public one with ranks; the model is not trained: the token of
-rank r has the log score ``-log(r + 2)``. Equal scores go to fewer tokens.
+rank r has the log score ``-log(r + 2)``. Equal scores go to fewer tokens. A byte that
+no token consists of is a token by itself, ``UNKNOWN`` below the lowest score, so that
+every text has a segmentation.
 
-Defined results: null and empty texts have 0 tokens; repeated rows give repeated rows.
+Defined results: null and empty texts have 0 tokens; repeated rows give repeated rows;
+an empty table gives an empty table; only ``keep`` and the counts come out, whatever
+other columns there are.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 from vigil.llm import textvec
 
 MAX_NODES = 250_000
+UNKNOWN = 10.0  # how far below the lowest score a byte without a token lies
 LONG = 4096  # bytes; longer pre-tokens are scored without being kept in the trie
 
 
@@ -40,8 +45,21 @@ class CountTrie:
     """Best segmentations of inserted byte strings, scored once per shared prefix."""
 
     def __init__(self, vocabulary: dict[bytes, float], max_nodes: int = MAX_NODES):
-        self.vocabulary, self.max_nodes = vocabulary, max_nodes
-        self.longest = max(map(len, vocabulary), default=0)
+        self.max_nodes = max_nodes
+        scores = dict(vocabulary)
+        lowest = min(scores.values(), default=0.0) - UNKNOWN
+        for b in range(256):
+            scores.setdefault(bytes([b]), lowest)
+        # the vocabulary as a trie of reversed tokens, walked from a prefix's end until no token goes on
+        self.back: dict[int, int] = {}  # node * 256 + byte -> node
+        self.score: list[float | None] = [None]
+        for token, value in scores.items():
+            node = 0
+            for byte in reversed(token):
+                node = self.back.setdefault(node * 256 + byte, len(self.score))
+                if node == len(self.score):
+                    self.score.append(None)
+            self.score[node] = value
         self.clear()
 
     def clear(self) -> None:
@@ -51,15 +69,19 @@ class CountTrie:
 
     def extend(self, word: bytes, depth: int, above: list[tuple[float, int]]) -> tuple[float, int]:
         """The best score of word[:depth]; above: those of its shorter prefixes."""
-        found = (-math.inf, 0)
-        get = self.vocabulary.get
-        for start in range(depth - 1, max(-1, depth - 1 - self.longest), -1):
-            score = get(word[start:depth])
-            if score is not None:
+        best, tokens = -math.inf, 0
+        back, score, node = self.back, self.score, 0
+        for start in range(depth - 1, -1, -1):
+            node = back.get(node * 256 + word[start])
+            if node is None:
+                break
+            value = score[node]
+            if value is not None:
                 s, n = above[start]
-                if (x := (s + score, n - 1)) > found:
-                    found = x
-        return found
+                s += value
+                if s > best or (s == best and n - 1 > tokens):
+                    best, tokens = s, n - 1
+        return best, tokens
 
     def count(self, word: bytes) -> int:
         known = self.terminal.get(word)
@@ -97,7 +119,7 @@ def _counts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         codes, bounds = textvec.code_points(joined), textvec.offsets(pieces)
         start = textvec.pretokens(codes, bounds)
         end = np.append(start[1:], len(codes))
-        number, _, where = textvec.distinct(textvec.span_hashes(codes, start, end))
+        number, where = textvec.distinct(codes, start, end)
         count = np.fromiter((trie.count(joined[a:b].encode("utf-8", "surrogatepass")) for a, b in zip(start[where].tolist(), end[where].tolist())), np.int64, len(where))
         owner = np.asarray(rows)[np.searchsorted(bounds, start, "right") - 1] if len(start) else np.zeros(0, np.int64)
         words += np.bincount(owner, minlength=len(texts))
