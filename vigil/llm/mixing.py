@@ -8,14 +8,19 @@ fractions are settled together: words move from one to the other, in a direction
 drawn so that both expectations hold, until one fraction is 0 or 1. Their sum in
 words never changes, so a source misses its target by less than one document.
 
-A block of about ``BLOCK`` documents of a source is folded in one row, long ones
-first, so that the fraction left open soon is that of a short one; the one fraction it leaves goes to the next level, where ``BLOCK`` blocks meet, up to one per
-source: a reduction tree, whose groups are bounded however large a source is. Draws
-are hashes of the documents, so reruns agree.
+Rows that are equal in all that is kept and in their text are one item: rounding n equal
+fractions among themselves leaves the whole part of their sum as full copies and one
+fraction, which is what enters the tree. A block of about ``BLOCK`` items of a source is
+folded in one row, long ones first, so that the fraction left open soon is that of a
+short one; the one fraction it leaves goes to the next level, where ``BLOCK`` blocks meet,
+up to one per source: a reduction tree, whose groups are bounded however large a source
+is, and however many rows or ids are equal or null. Draws are hashes of the items and
+all sums are of whole numbers, so reruns agree.
 
 Defined results: null and empty texts have size 0 and take 0 words; a source of size
-0 has target 0; repeated rows are documents of their own; an empty table gives an
-empty table.
+0 has target 0; repeated rows are documents of their own, and how many of them are taken
+is settled, as they cannot be told apart; an empty table gives an empty table; other
+columns than those kept are ignored.
 """
 
 from __future__ import annotations
@@ -31,19 +36,30 @@ SHARE = 1.5
 MOST_COPIES = 2
 BLOCK = 64
 BROADCAST_SOURCES = 10_000
+CHUNK = 4096  # equal rows that come out together
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^ \\t-\\r]+")), F.lit(0)).cast("long")
 
 
+def _numbered(stats: DataFrame) -> DataFrame:
+    """stats, one row for a source, with ``turn``, the source's number from 0 in order: ranges of
+    sources are numbered apart, so that no task sees all of them."""
+    order = F.col("source").asc_nulls_last()
+    placed = written(stats.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "sources")
+    before = F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
+    ahead = placed.groupBy("part").count().select(F.col("part").alias("__part"), F.coalesce(before, F.lit(0)).alias("ahead"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return placed.withColumn("within", within).join(ahead, F.col("part") == F.col("__part")).withColumn("turn", F.col("within") + F.col("ahead"))
+
+
 def targets(sized: DataFrame) -> DataFrame:
-    """source, source_size, n (documents), target: one row per source of (source, size)."""
-    stats = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))  # one row per source
-    weight = F.get(F.array(*map(F.lit, WEIGHTS)), ((turn - 1) % len(WEIGHTS)).cast("int"))
-    stats = written(stats.withColumn("weight", weight.cast("double")), "sources")
-    cap = F.col("source_size").cast("double") * MOST_COPIES
+    """source, source_size, n (items), target: one row per source of (source, size, rows)."""
+    stats = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("n"))
+    weight = F.get(F.array(*map(F.lit, WEIGHTS)), (F.col("turn") % len(WEIGHTS)).cast("int"))
+    stats = written(_numbered(stats).select("source", "source_size", "n", weight.cast("long").alias("weight")), "weights")
+    cap = F.col("source_size") * MOST_COPIES
     words = (stats.agg(F.sum("source_size")).first()[0] or 0) * SHARE
     level, full = -1.0, -1
     while True:  # sources whose cap lies under the level are full; the rest share what is left
@@ -52,8 +68,8 @@ def targets(sized: DataFrame) -> DataFrame:
         if row[0] == full or not row[2]:
             break
         full = row[0]
-        level = (words - (row[1] or 0.0)) / row[2]
-    return stats.select("source", "source_size", "n", F.least(cap, F.col("weight") * level).alias("target"))
+        level = (words - (row[1] or 0)) / row[2]
+    return stats.select("source", "source_size", "n", F.least(cap.cast("double"), F.col("weight") * level).alias("target"))
 
 
 def _draw(*parts: Column) -> Column:
@@ -102,31 +118,47 @@ def fold(items: Column, salt: int) -> Column:
     return F.aggregate(items, F.struct(none.alias("open"), empty.alias("done")), add)
 
 
-def mix(docs: DataFrame, source: str = "source", text: str = "text", keep: tuple[str, ...] = ("doc_id",), block: int = BLOCK, seed: int = 0) -> DataFrame:
-    """keep, size, source_size, target, copies (0, 1 or 2) and taken = copies * size of every row."""
-    sized = docs.select(F.struct(*keep).alias("doc"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
-    sized = written(sized, "sizes")
+def items(docs: DataFrame, source: str = "source", text: str = "text", keep: tuple[str, ...] = ("doc_id",), block: int = BLOCK, seed: int = 0) -> DataFrame:
+    """One row for equal rows: doc (a struct of ``keep``), size, source_size, target, rows, and of
+    these rows ``more`` take ``whole + 1`` copies and the others ``whole``."""
+    content = F.xxhash64(F.col(text)).alias("content")
+    sized = docs.select(F.struct(*keep).alias("doc"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), content)
+    sized = written(sized.groupBy("doc", "source", "size", "content").agg(F.count("*").alias("rows")), "sizes")
     due = written(targets(sized).withColumn("blocks", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") / block))), "targets")
     side = F.broadcast(due) if due.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else due
     joined = sized.join(side.withColumnRenamed("source", "__m_source"), F.col("source").eqNullSafe(F.col("__m_source")))
     rate = F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.lit(float(MOST_COPIES)), F.col("target") / F.col("source_size")))
-    h = F.xxhash64("doc", "source", F.lit(seed))
-    item = F.struct((-F.col("size")).alias("order"), h.alias("h"), F.col("doc"), F.col("size"), (rate - F.floor(rate)).alias("p"))
-    number = F.pmod(F.xxhash64(h, F.lit(seed + 1)), F.col("blocks"))
-    rows = joined.select("source", "source_size", "target", F.floor(rate).cast("int").alias("whole"), "blocks", number.alias("block"), item.alias("item"))
+    h = F.xxhash64("doc", "source", "content", F.lit(seed))
+    joined = joined.withColumns({"whole": F.floor(rate).cast("int"), "h": h, "sum": F.col("rows") * (rate - F.floor(rate))})
+    one = F.struct(F.col("doc"), F.col("size"), F.col("rows"), F.floor("sum").alias("more")).alias("doc")
+    item = F.struct((-F.col("size")).alias("order"), F.col("h"), one, F.col("size"), (F.col("sum") - F.floor("sum")).alias("p"))
+    number = F.pmod(F.xxhash64("h", F.lit(seed + 1)), F.col("blocks"))
+    rows = joined.select("source", "source_size", "target", "whole", "blocks", number.alias("block"), item.alias("item"))
     most = due.agg(F.max("blocks")).first()[0] or 1
     about, levels = ["source", "source_size", "target", "whole", "blocks", "block"], []
     while True:
         folded = rows.groupBy(*about).agg(F.array_sort(F.collect_list("item")).alias("items"))
         folded = written(folded.select(*about, fold(F.col("items"), seed + len(levels)).alias("f")), "mix")
-        levels.append(folded.select(*about[:4], F.explode("f.done").alias("e")))
+        levels.append(folded.select(*about[:4], F.explode("f.done").alias("e")).select(*about[:4], "e.doc", "e.up"))
         rows = folded.where("f.open is not null").select(*about[:4], F.ceil(F.col("blocks") / block).alias("blocks"), F.floor(F.col("block") / block).alias("block"), F.col("f.open").alias("item"))
         if most <= 1:
             break
         most = -(-most // block)
-    up = F.col("item.p") >= 0.5  # one document of a source at most: to the nearer side of its target
-    done = rows.select(*about[:4], F.struct(F.col("item.doc").alias("doc"), F.col("item.size").alias("size"), up.cast("int").alias("up")).alias("e"))
+    up = F.col("item.p") >= 0.5  # one item of a source at most: to the nearer side of its target
+    done = rows.select(*about[:4], F.col("item.doc").alias("doc"), up.cast("int").alias("up"))
     for level in levels:
         done = done.unionByName(level)
-    copies = F.col("whole") + F.col("e.up")
-    return done.select(*[F.col(f"e.doc.{k}").alias(k) for k in keep], F.col("e.size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("e.size")).cast("long").alias("taken"))
+    return done.select("doc.doc", "doc.size", "source_size", "target", "doc.rows", "whole", (F.col("doc.more") + F.col("up")).alias("more"))
+
+
+def mix(docs: DataFrame, source: str = "source", text: str = "text", keep: tuple[str, ...] = ("doc_id",), block: int = BLOCK, seed: int = 0) -> DataFrame:
+    """keep, size, source_size, target, copies (0, 1 or 2) and taken = copies * size of every row."""
+    found = items(docs, source, text, keep, block, seed)
+    out = [F.col(f"doc.{k}").alias(k) for k in keep] + [F.col("size"), F.col("source_size"), F.col("target"), F.col("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken")]
+    single = found.where("rows = 1").withColumn("copies", F.col("whole") + F.col("more").cast("int"))
+    # equal rows come out in chunks, which are dealt to many tasks before they are written out
+    kinds = F.array(*[F.struct(n.alias("n"), c.cast("int").alias("copies")) for n, c in ((F.col("more"), F.col("whole") + 1), (F.col("rows") - F.col("more"), F.col("whole")))])
+    parts = found.where("rows > 1").select("doc", "size", "source_size", "target", F.inline(kinds)).where("n > 0")
+    parts = parts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK)))).repartition("doc", "size", "copies", "part")
+    many = parts.withColumn("__m_row", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(CHUNK).cast("long"), F.col("n") - F.col("part") * CHUNK))))
+    return single.select(*out).unionByName(many.select(*out))
