@@ -4,13 +4,20 @@ A cascade knows the complete key universe, here every host of the corpus and eve
 parent domain of one. Level 1 encodes the listed keys; its false positives over the
 universe are level 2, whose false positives over the listed keys are level 3, and so
 on until a level has none. A key of the universe then belongs to the list iff the
-first level that lacks it is even: no join and no error. Bits are set by an
-aggregation over 64-bit words, so building is a few shuffles of bits, never of keys
-to one place; the finished levels (their size is checked) are constants of the plan.
+first level that lacks it is even: no join and no error. The list is a table; it meets
+the universe in one join while the cascade is built, and the urls meet the cascade only.
+Bits are set by an aggregation over 64-bit words, so building is a few shuffles of bits,
+never of keys to one place; each finished level is one array constant of the plan.
+
+A list whose levels would pass ``max_bits`` is too long to send to every executor. The
+keys that the build's join marked then meet the urls' hosts in a second join, with the
+same answers.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, fits no
-rule and is allowed; an empty table gives an empty table; repeated rows give repeated
-rows; a key outside the universe gets an unspecified answer from the cascade alone.
+rule and is allowed; list entries are compared in lower case (A-Z), null ones are
+skipped; an empty table gives an empty table; repeated rows give repeated rows; of
+other columns only ``keep`` comes out; a key outside the universe gets an unspecified
+answer from the cascade alone.
 """
 
 from __future__ import annotations
@@ -18,9 +25,10 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.llm.quality import let
 from vigil.llm.store import written
 
 # Names that are blocked under each of the endings, with their subdomains,
@@ -80,28 +88,25 @@ class Cascade(NamedTuple):
         return answer
 
 
-def _bits(level_bits: int, hashes: int, depth: int, key: Column) -> list[Column]:
-    """Bit positions of a key: double hashing from two seeds of the level."""
-    a, b = F.xxhash64(key, F.lit(2 * depth)), F.xxhash64(key, F.lit(2 * depth + 1))
-    return [F.pmod(F.pmod(a, F.lit(level_bits)) + F.lit(i) * F.pmod(b, F.lit(level_bits)), F.lit(level_bits)) for i in range(hashes)]
+def _bits(level_bits: int, hashes: int, depth: int, key: Column) -> Column:
+    """Bit positions of a key, an array: double hashing from two seeds of the level."""
+    pair = F.struct(F.pmod(F.xxhash64(key, F.lit(2 * depth)), F.lit(level_bits)).alias("a"), F.pmod(F.xxhash64(key, F.lit(2 * depth + 1)), F.lit(level_bits)).alias("b"))
+    return let(pair, lambda p: F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(p["a"] + i * p["b"], F.lit(level_bits))))
 
 
 def _in_level(level: Level, depth: int, key: Column) -> Column:
-    words = F.from_json(F.lit(str(level.words)), "array<bigint>")  # folded to one constant
-    found = F.lit(True)
-    for at in _bits(level.bits, level.hashes, depth, key):
-        word = F.get(words, F.shiftright(at, 6).cast("int"))
-        found = found & (F.getbit(word, F.pmod(at, F.lit(64)).cast("int")) == 1)
-    return found
+    words = F.from_json(F.lit(str(level.words)), "array<bigint>")  # folded to one constant, named once
+    lacks = lambda at: F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 0
+    return ~F.exists(_bits(level.bits, level.hashes, depth, key), lacks)
 
 
 def _encode(keys: DataFrame, n: int, rate: float, depth: int) -> Level:
     """A Bloom filter of n keys (column ``key``) with about that false positive rate."""
     rate = min(max(rate, 1e-9), 0.5)
-    bits = max(64, math.ceil(n * -math.log(rate) / math.log(2) ** 2))
+    bits = max(8, math.ceil(n * -math.log(rate) / math.log(2) ** 2))
     hashes = max(1, round(bits / max(n, 1) * math.log(2)))
     hashes = min(hashes, 24)
-    at = keys.select(F.explode(F.array(*_bits(bits, hashes, depth, F.col("key")))).alias("at"))
+    at = keys.select(F.explode(_bits(bits, hashes, depth, F.col("key"))).alias("at"))
     word, mask = F.shiftright("at", 6).cast("int"), F.expr("shiftleft(1L, cast(at % 64 as int))")
     words = at.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("mask"))
     table = [0] * ((bits + 63) // 64)
@@ -145,17 +150,35 @@ def apply_rules(host: Column, path: Column, rules: list[UrlRule] = RULES) -> tup
     return pattern, verdict
 
 
-def filter_urls(pages: DataFrame, blocked: list[str] = BLOCKED_DOMAINS, rules: list[UrlRule] = RULES, url: str = "url", keep: tuple[str, ...] = ("page_id",), max_bits: int = 1 << 24) -> DataFrame:
+def blocked_domains(spark: SparkSession) -> DataFrame:
+    """The list that applies by default: one column ``domain``."""
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, BLOCKED_DOMAINS))).alias("domain"))
+
+
+def universe_of(hosts: DataFrame, blocked: DataFrame) -> DataFrame:
+    """key and listed: every host and parent domain once, marked by the list (column ``domain``)."""
+    names = blocked.select(F.translate("domain", UPPER, LOWER).alias("key")).where("key is not null").distinct().withColumn("__u_listed", F.lit(True))
+    keys = hosts.select(F.explode(domains(F.col("host"))).alias("key")).distinct()
+    return keys.join(names, "key", "left").select("key", F.coalesce("__u_listed", F.lit(False)).alias("listed"))
+
+
+def filter_urls(pages: DataFrame, blocked: DataFrame | None = None, rules: list[UrlRule] = RULES, url: str = "url", keep: tuple[str, ...] = ("page_id",), max_bits: int = 1 << 24) -> DataFrame:
     """keep, host, path, rule and verdict of each URL: the longest rule's verdict, else
-    block if the host or a parent domain of it is listed, else allow."""
+    block if the host or a parent domain of it is listed, else allow.
+
+    blocked: a table with the column ``domain``, of any length.
+    """
     base = pages.select(*keep, F.col(url).alias("__u_url"))
     host, path = host_and_path(F.col("__u_url"))
     split = base.select(*keep, host.alias("host"), path.alias("path"))
-    listed = F.col("key").isin([b.translate(str.maketrans(UPPER, LOWER)) for b in blocked]) if blocked else F.lit(False)
-    universe = written(split.select("host").distinct().select(F.explode(domains(F.col("host"))).alias("key")).distinct(), "hosts")
-    cascade = build_cascade(universe, listed, max_bits)
-    if cascade is None:  # too long a list for constants: Spark's own set lookup on the parents
-        bad = F.exists(domains(F.col("host")), lambda d: d.isin(blocked))
+    hosts = split.select("host").distinct()
+    universe = written(universe_of(hosts, blocked_domains(pages.sparkSession) if blocked is None else blocked), "hosts")
+    cascade = build_cascade(universe, F.col("listed"), max_bits)
+    if cascade is None:
+        listed = universe.where("listed").select(F.col("key").alias("__u_key"))
+        parts = hosts.select(F.col("host").alias("__u_host"), F.explode(domains(F.col("host"))).alias("__u_key"))
+        found = parts.join(listed, "__u_key", "left_semi").select("__u_host").distinct().withColumn("__u_bad", F.lit(True))
+        split, bad = split.join(found, F.col("host") == F.col("__u_host"), "left"), F.col("__u_bad").isNotNull()
     else:
         bad = F.exists(domains(F.col("host")), lambda d: cascade.contains(d))
     pattern, verdict = apply_rules(F.col("host"), F.col("path"), rules)
