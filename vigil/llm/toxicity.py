@@ -1,17 +1,20 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text are the hashed buckets of its words, its pairs of neighbours and
-its pairs with one word between, each once. Training takes a bounded sample of the
-labelled rows (``MAX_LABELLED`` rows chosen by a hash of the id, those with at most
-``MAX_CHARS`` characters), deals it to ``SHARDS`` tasks, lets each run FTRL-proximal
-with per-coordinate rates over its part, and averages the shards' weights. L1 leaves few
-weights that are not zero; with 2**BITS buckets their size is bounded, so they are sent
-to all tasks. Scoring reads every text whole, once, without a shuffle.
+its pairs with one word between, each once; texts are taken whole. Training takes a
+bounded sample of the labelled rows (``MAX_LABELLED`` rows chosen by a hash of the id),
+writes their buckets as a table and deals it to ``SHARDS`` shards. In each of ``ROUNDS``
+rounds every shard runs FTRL-proximal with per-coordinate rates over its rows, as a
+stream, from the common state, and the shards' states are averaged to the next one. The
+state is a row for each bucket, so it is bounded by 2**BITS and is what goes to the
+driver and to all tasks. L1 leaves few weights that are not zero. Scoring reads every
+text whole, once, without a shuffle.
 
 Defined results: null and empty texts have no features and score by the intercept
 alone; without any labelled row of class 1 every score is 0; labels that are null are
 skipped; a document with several labels is learnt from each; repeated rows give
-repeated rows.
+repeated rows; an empty table gives an empty table; other columns are kept, and one that
+has the name of the score is replaced.
 """
 
 from __future__ import annotations
@@ -22,15 +25,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from vigil.llm import textvec
+from vigil.llm.store import written
 
 BITS = 20
 MAX_LABELLED = 20_000
-MAX_CHARS = 20_000
-SHARDS = 1
-EPOCHS = 6
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.0
+SHARDS, ROUNDS = 4, 6
+ALPHA, BETA, L2 = 2.0, 1.0, 0.0
+L1 = 8.0 / SHARDS  # a shard sees so much less of a feature
+UNIT = 2.0**32  # states are added as whole numbers of such parts, so that their order does not matter
 THRESHOLD = 0.3
 
 _word_table = np.zeros(128, bool)
@@ -80,9 +85,9 @@ def buckets(text: str) -> np.ndarray:
 class Ftrl:
     """FTRL-proximal for examples whose features are 0 or 1; the last weight is the intercept, without L1."""
 
-    def __init__(self, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2):
+    def __init__(self, state: np.ndarray, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
-        self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+        self.z, self.n = state.copy()
 
     def weights(self, at: np.ndarray | slice) -> np.ndarray:
         z, n = self.z[at], self.n[at]
@@ -101,6 +106,36 @@ class Ftrl:
             self.n[k] += g * g
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _buckets(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in parts:
+        yield pd.Series([buckets(t).astype(np.int32) for t in texts.fillna("")], dtype=object)
+
+
+def _learner(sent):
+    """A function from a stream of examples, shard after shard, to what each shard moves in the common state."""
+
+    def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard = model = None
+
+        def moved() -> pd.DataFrame:
+            dz, dn = model.z - sent.value[0], model.n - sent.value[1]
+            at = np.flatnonzero(dn)
+            return pd.DataFrame({"bucket": at.astype(np.int32), "z": dz[at], "n": dn[at]})
+
+        for frame in parts:
+            for number, at, y in zip(frame["shard"], frame["at"], frame["y"]):
+                if number != shard:
+                    if model is not None:
+                        yield moved()
+                    shard, model = number, Ftrl(sent.value)
+                model.learn(at, y)
+        if model is not None:
+            yield moved()
+
+    return learn
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray, float] | None:
     """(buckets, weights, intercept) learnt from docs joined with labels; None without a row of class 1.
 
@@ -110,28 +145,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     chosen = chosen.orderBy(F.xxhash64("__x_id", F.lit(7)), "__x_id", "__x_y").limit(max_labelled)
     rows = docs.select(F.col(doc_id).alias("__x_doc"), F.col(text).alias("__x_text"))
     rows = rows.join(F.broadcast(chosen), F.col("__x_doc") == F.col("__x_id"))  # max_labelled rows of two numbers
-    rows = rows.where(F.length("__x_text") <= MAX_CHARS)
-    rows = rows.select(F.pmod(F.xxhash64("__x_id", F.lit(11)), F.lit(SHARDS)).alias("shard"), "__x_id", "__x_y", "__x_text")
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["__x_id", "__x_y"])
-        known = [(buckets(t).astype(np.int32), int(y)) for t, y in zip(part["__x_text"], part["__x_y"])]
-        model, order = Ftrl(), np.random.default_rng(5)
-        for _ in range(EPOCHS):
-            for k in order.permutation(len(known)):
-                model.learn(*known[k])
-        w = model.weights(slice(0, 1 << BITS))
-        at = np.flatnonzero(w)
-        at, w = np.append(at, 1 << BITS), np.append(w[at], model.intercept())
-        return pd.DataFrame({"bucket": at, "weight": w, "positive": sum(y for _, y in known)})
-
-    fitted = rows.groupBy("shard").applyInPandas(fit, "bucket long, weight double, positive long")
-    # the intercept's row of each shard counts the shards
-    table = fitted.groupBy("bucket").agg(F.sum("weight").alias("w"), F.count("*").alias("k"), F.sum("positive").alias("p")).orderBy("bucket").toPandas()
-    if table.empty or table["p"].iloc[-1] == 0:
+    examples = rows.select(F.pmod(F.xxhash64("__x_id", F.lit(11)), F.lit(SHARDS)).alias("shard"), F.col("__x_id").alias("id"), F.col("__x_y").alias("y"), _buckets("__x_text").alias("at"))
+    examples = written(examples, "examples")
+    if not examples.where("y = 1").limit(1).count():
         return None
-    shards = table["k"].iloc[-1]
-    return table["bucket"].to_numpy()[:-1], (table["w"] / shards).to_numpy()[:-1], float(table["w"].iloc[-1] / shards)
+    state = np.zeros((2, (1 << BITS) + 1))  # z and n
+    for turn in range(ROUNDS):
+        dealt = examples.repartitionByRange(SHARDS, "shard").sortWithinPartitions("shard", F.xxhash64("id", F.lit(turn)), "id", "y", F.hash("at"))
+        moved = dealt.mapInPandas(_learner(examples.sparkSession.sparkContext.broadcast(state)), "bucket int, z double, n double")
+        units = lambda c: F.sum(F.round(F.col(c) * UNIT).cast("long"))
+        merged = moved.groupBy("bucket").agg(units("z").alias("z"), units("n").alias("n"), F.count("*").alias("k")).toArrow().to_pandas()  # a row for each bucket at most
+        at = merged["bucket"].to_numpy()
+        shards = merged["k"].to_numpy()[at == 1 << BITS][0]  # every shard moves the intercept
+        state = state.copy()
+        state[:, at] += merged[["z", "n"]].to_numpy(np.float64).T / UNIT / shards
+    model = Ftrl(state)
+    w = model.weights(slice(0, 1 << BITS))
+    at = np.flatnonzero(w)
+    return at, w[at], model.intercept()
 
 
 def score_texts(texts: list[str], weight: np.ndarray, intercept: float) -> np.ndarray:
