@@ -1,20 +1,24 @@
 """WARC archives of Zstandard frames that share a dictionary.
 
-A dictionary is trained on a bounded sample of the archived records (``SAMPLE`` records
-of at most ``SAMPLE_BYTES`` each, drawn by a hash) and embedded in the leading,
-skippable frame of every archive file; each record is a frame of its own, so one can be
-read alone. Spark's text sink writes the files, on any file system and with its commit
+A dictionary is trained on a bounded sample of the archived records (``SAMPLE`` records,
+drawn by a hash, with the first ``SAMPLE_BYTES`` of their payloads), joined by a few
+made-up ones so that few records are enough, and embedded in the leading, skippable
+frame of every archive file. It has a number made from the sample, which each record's
+frame names, so that archives with different dictionaries can be read together. Each
+record is a frame of its own, so one can be read alone. Spark's text sink writes the files, on any file system and with its commit
 protocol: the separator between two records is itself an empty skippable frame, which
 Zstandard readers pass over, and Spark's text source finds records by it, in splits.
 (A frame that held the separator's eight bytes by chance is compressed again at another
-level.) For tools that go by names, the files are ``.warc.zst``.
+level.) The files keep the sink's names, ``part-*.txt``; tools that go by names want
+them renamed to ``.warc.zst``.
 
 Of records with equal payloads of ``LEAST_REVISIT`` bytes or more, that of the largest
 page_id is a response; the others are revisits without payload that refer to it.
 
 Defined results: a null html is an empty payload; a null url leaves the target URI
 out; rows repeating the largest page_id are all responses; a null page_id is smaller
-than any; an empty table makes no archive, which reads as an empty table.
+than any; an empty table makes no archive, which reads as an empty table; of other
+columns nothing is archived, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +27,9 @@ import base64
 import hashlib
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +40,7 @@ from vigil.llm.store import new_path, written
 SAMPLE, SAMPLE_BYTES = 512, 1 << 16
 BROADCAST_PAYLOADS = 100_000  # digests of payloads that repeat, about 150 bytes each
 DICTIONARY_BYTES = 1 << 16
+DICTIONARIES = 64  # that a reading task holds at once
 LEAST_REVISIT = 1000
 LEVEL = 6
 DATE = "2024-01-01T00:00:00Z"
@@ -96,12 +103,19 @@ def train_dictionary(records: list[bytes]) -> bytes:
     """A dictionary for such records; too few to train on make a plain one of their bytes."""
     import zstandard
 
+    number = 32_768 + zlib.crc32(b"".join(hashlib.sha1(r).digest() for r in records)) % (2**31 - 32_768)  # the range for private use
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, records).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, records, dict_id=number).as_bytes()
     except zstandard.ZstdError:
         return b"".join(records)[-DICTIONARY_BYTES:]
 
 
+def specimens(n: int = 64) -> list[bytes]:
+    """Made-up records, so that a dictionary can be trained however few pages there are."""
+    texts = [f"<html><head><title>page {k}</title></head><body><p>{k * k}</p></body></html>".encode() for k in range(n)]
+    return [record(k, f"https://www.example.org/{k}", t, hashlib.sha1(t).hexdigest(), k + 1 if k % 4 == 0 else None) for k, t in enumerate(texts)]
+
+
 def _compressed(data: bytes, dictionary, level: int = LEVEL) -> bytes:
     import zstandard
 
@@ -124,17 +138,17 @@ def write_archives(pages: DataFrame, path: str | None = None, page_id: str = "pa
     joined = base.join(F.broadcast(last) if last.count() <= BROADCAST_PAYLOADS else last, ["digest", "__w_sum", "__w_size"], "left")
     rows = joined.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
 
-    sample = base.where(F.col("__w_size") <= SAMPLE_BYTES).select("page_id", "url", "payload", "digest", F.lit(None).cast("long").alias("refers_to"))
+    sample = base.select("page_id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload"), "digest", F.lit(None).cast("long").alias("refers_to"))
     drawn = F.xxhash64("page_id", "digest")
     every = max(1, pages.count() // (8 * SAMPLE))  # so that about 8 * SAMPLE rows, however many there are, meet to be cut to SAMPLE
     sample = sample.where(F.pmod(drawn, F.lit(every)) == 0).orderBy(drawn, "page_id").limit(SAMPLE)
 
     def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = [r for frame in parts for r in _records(frame)]
-        yield pd.DataFrame({"dictionary": [train_dictionary(found)] if found else []})
+        yield pd.DataFrame({"dictionary": [train_dictionary(found + specimens())]})
 
-    trained = [bytes(r[0]) for r in sample.coalesce(1).mapInPandas(learn, "dictionary binary").collect()]  # DICTIONARY_BYTES at most
-    content = next((t for t in trained if t), b"WARC/1.1\r\nWARC-Type: response\r\n")
+    trained = sample.coalesce(1).mapInPandas(learn, "dictionary binary").collect()  # DICTIONARY_BYTES at most
+    content = bytes(trained[0][0]) if trained else train_dictionary(specimens())
 
     def frames(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -159,28 +173,51 @@ def write_archives(pages: DataFrame, path: str | None = None, page_id: str = "pa
     return path
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the archives under path, with the columns of ``RECORDS``; payload is null for revisits."""
-    frames = spark.read.option("lineSep", SEPARATOR.decode("latin-1")).text(path).select(F.col("value").cast("binary").alias("frame"))
+def read_archives(spark: SparkSession, path: str, most: int = DICTIONARIES) -> DataFrame:
+    """All records of the archives under path, with the columns of ``RECORDS``; payload is null for revisits.
+
+    The dictionaries, one for each archive, go to all tasks if there are at most ``most``;
+    more of them are dealt to groups by their hash, and each group's files are read apart.
+    """
+    frames = spark.read.option("lineSep", SEPARATOR.decode("latin-1")).text(path).select(F.col("value").cast("binary").alias("frame"), F.col("_metadata.file_path").alias("file"))
     leads = F.startswith("frame", F.lit(bytearray(DICTIONARY_MAGIC)))
-    leading = [bytes(r[0]) for r in frames.where(leads).distinct().limit(65).collect()]  # equal in all files of one archive
-    if len(leading) > 64:
-        raise ValueError("more than 64 dictionaries under one path")
-    contents = [x[8:] for x in leading]
+    heads = frames.where(leads).select("file", "frame", F.xxhash64("frame").alias("h"))
+    groups = -(-max(1, heads.select("h").distinct().count()) // most)
+    parts = []
+    for g in range(groups):
+        own = heads.where(F.pmod("h", F.lit(groups)) == g)
+        contents = [bytes(r[0])[8:] for r in own.select("frame").distinct().collect()]  # about ``most`` of DICTIONARY_BYTES
+        body = frames.where(~leads)
+        parts.append((body if groups == 1 else body.join(own.select("file").distinct(), "file", "left_semi")).select("frame").mapInPandas(_parser(contents), RECORDS))
+    return reduce(DataFrame.unionByName, parts)
 
-    def parsed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _parser(contents: list[bytes]):
+    """A function from frames to records, with these dictionaries."""
+
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
-        readers = {}
+        readers: dict[int, list] = {}
         for content in contents:
             dictionary = zstandard.ZstdCompressionDict(content)
-            readers[dictionary.dict_id()] = zstandard.ZstdDecompressor(dict_data=dictionary)
-        for frame in parts:
-            found = [parse(readers[zstandard.get_frame_parameters(x).dict_id].decompress(x)) for x in map(bytes, frame["frame"])]
-            table = pd.DataFrame(found, columns=[c.split()[0] for c in RECORDS.split(", ")])
+            readers.setdefault(dictionary.dict_id(), []).append(zstandard.ZstdDecompressor(dict_data=dictionary))
+
+        def opened(frame: bytes) -> bytes:
+            fits = readers[zstandard.get_frame_parameters(frame).dict_id]
+            for k, reader in enumerate(fits):  # one, but for archives whose dictionaries' numbers happen to agree
+                try:
+                    return reader.decompress(frame)  # the checksum shows a wrong dictionary
+                except zstandard.ZstdError:
+                    if k == len(fits) - 1:
+                        raise
+            raise ValueError("no dictionary")
+
+        for frame in batches:
+            table = pd.DataFrame([parse(opened(x)) for x in map(bytes, frame["frame"])], columns=[c.split()[0] for c in RECORDS.split(", ")])
             yield table.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
 
-    return frames.where(~leads).mapInPandas(parsed, RECORDS)
+    return parsed
 
 
 def describe(records: DataFrame) -> DataFrame:
