@@ -13,7 +13,8 @@ and smaller only while there are fewer tasks than cores.
 
 Defined results: null vectors are neither queries nor found; a query does not find
 its own id; equal distances rank by id; rows with one id and one code count once; a
-table of fewer than k others gives them all; missing components count as bits 0.
+table of fewer than k others gives them all; missing components count as bits 0, also
+where queries and rows differ in length; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -121,7 +122,7 @@ def _search(k: int):
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", shard: int = SHARD, block: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), neighbor_id, distance: each query's k nearest rows by Hamming distance."""
-    longest = rows.agg(F.max(F.size(embedding))).first()[0] or 1
+    longest = max(df.agg(F.max(F.size(embedding))).first()[0] or 1 for df in (queries, rows))
     words = -(-max(1, longest) // 64)
     coded = lambda df: df.where(F.col(embedding).isNotNull() & F.col(vec_id).isNotNull()).select(F.col(vec_id).alias("id"), sign_code(F.col(embedding), words).alias("code"))
     base = written(coded(rows).distinct(), "codes")
