@@ -21,7 +21,8 @@ first copy of a line always stays; the lines next to it may go.
 Defined results: a null text stays null, an empty one is a single empty line; every
 row stays, perhaps with fewer lines; rows with equal id and text are one document,
 and all of them keep or lose a chunk alike; a null id sorts first; other columns are
-carried, and n_chars, if present, is counted again.
+carried, but for one named ``__removed``, which the result's own replaces, and n_chars,
+if present, is counted again; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -84,7 +85,9 @@ def _ids(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 def _later(places: DataFrame, whole: Column) -> DataFrame:
     """(__l_of, __l_of_key, __l_goes): for each document the places __l_k whose bytes have an earlier place."""
     found = places.select(F.struct("__l_id", "__l_key", "__l_k").alias("at"), F.xxhash64(whole).alias("h1"), F.xxhash64(whole, F.lit(1)).alias("h2"), whole.alias("chunk"))
-    hashes = found.groupBy("h1", "h2").agg(F.min("at").alias("a"), F.max("at").alias("z")).where("not (a <=> z)").select("h1", "h2")
+    # more than one place: told by two hashes of the place, as longs can be aggregated by hashing and a struct cannot
+    ends = [f(F.xxhash64("at", F.lit(k))).alias(f"{n}{k}") for k in (0, 1) for n, f in (("a", F.min), ("z", F.max))]
+    hashes = found.groupBy("h1", "h2").agg(*ends).where("a0 <> z0 or a1 <> z1").select("h1", "h2")
     hashes = written(hashes, "repeated-hashes")
     again = written(found.join(_small(hashes, F.lit(2)), ["h1", "h2"]), "repeated-chunks")
     # of equal hashes and equal bytes the first place stays; a place is a key of its own, so a common chunk is dealt to many tasks
@@ -100,7 +103,7 @@ def _without(docs: DataFrame, goes: DataFrame, left: Column, text: str, doc_id:
     joined = docs.withColumn("__l_key", F.xxhash64(text)).join(goes, F.col(doc_id).eqNullSafe(F.col("__l_of")) & (F.col("__l_key") == F.col("__l_of_key")), "left")
     result = F.when(F.col("__l_goes").isNull(), F.struct(F.col(text).alias("text"), F.lit(0).alias("removed"))).otherwise(left)
     cleaned = joined.withColumn("__l_result", result)
-    columns = [F.col("__l_result.text").alias(c) if c == text else F.length("__l_result.text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    columns = [F.col("__l_result.text").alias(c) if c == text else F.length("__l_result.text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns if c != "__removed"]
     return cleaned.select(*columns, F.col("__l_result.removed").cast("long").alias("__removed"))
 
 
