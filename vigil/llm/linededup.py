@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm.quality import let
-from vigil.llm.store import written
+from vigil.llm.store import scope, written
 
 WINDOW = 2
 DIVISOR = 3
@@ -84,18 +84,19 @@ def _ids(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 def _later(places: DataFrame, whole: Column) -> DataFrame:
     """(__l_of, __l_of_key, __l_goes): for each document the places __l_k whose bytes have an earlier place."""
-    found = places.select(F.struct("__l_id", "__l_key", "__l_k").alias("at"), F.xxhash64(whole).alias("h1"), F.xxhash64(whole, F.lit(1)).alias("h2"), whole.alias("chunk"))
-    # more than one place: told by two hashes of the place, as longs can be aggregated by hashing and a struct cannot
-    ends = [f(F.xxhash64("at", F.lit(k))).alias(f"{n}{k}") for k in (0, 1) for n, f in (("a", F.min), ("z", F.max))]
-    hashes = found.groupBy("h1", "h2").agg(*ends).where("a0 <> z0 or a1 <> z1").select("h1", "h2")
-    hashes = written(hashes, "repeated-hashes")
-    again = written(found.join(_small(hashes, F.lit(2)), ["h1", "h2"]), "repeated-chunks")
-    # of equal hashes and equal bytes the first place stays; a place is a key of its own, so a common chunk is dealt to many tasks
-    stays = again.groupBy("h1", "h2", "chunk").agg(F.min("at").alias("at")).select(*[F.col(f"at.{c}").alias(f"{c}_stays") for c in ("__l_id", "__l_key", "__l_k")])
-    same = F.col("__l_id").eqNullSafe(F.col("__l_id_stays")) & (F.col("__l_key") == F.col("__l_key_stays")) & (F.col("__l_k") == F.col("__l_k_stays"))
-    goes = again.select("at.*").join(stays, same, "left_anti")
-    goes = goes.groupBy(F.col("__l_id").alias("__l_of"), F.col("__l_key").alias("__l_of_key")).agg(F.collect_set("__l_k").alias("__l_goes"))
-    return _small(written(goes, "going-chunks"), F.size("__l_goes") + 2)
+    with scope():
+        found = places.select(F.struct("__l_id", "__l_key", "__l_k").alias("at"), F.xxhash64(whole).alias("h1"), F.xxhash64(whole, F.lit(1)).alias("h2"), whole.alias("chunk"))
+        # more than one place: told by two hashes of the place, as longs can be aggregated by hashing and a struct cannot
+        ends = [f(F.xxhash64("at", F.lit(k))).alias(f"{n}{k}") for k in (0, 1) for n, f in (("a", F.min), ("z", F.max))]
+        hashes = found.groupBy("h1", "h2").agg(*ends).where("a0 <> z0 or a1 <> z1").select("h1", "h2")
+        hashes = written(hashes, "repeated-hashes")
+        again = written(found.join(_small(hashes, F.lit(2)), ["h1", "h2"]), "repeated-chunks")
+        # of equal hashes and equal bytes the first place stays; a place is a key of its own, so a common chunk is dealt to many tasks
+        stays = again.groupBy("h1", "h2", "chunk").agg(F.min("at").alias("at")).select(*[F.col(f"at.{c}").alias(f"{c}_stays") for c in ("__l_id", "__l_key", "__l_k")])
+        same = F.col("__l_id").eqNullSafe(F.col("__l_id_stays")) & (F.col("__l_key") == F.col("__l_key_stays")) & (F.col("__l_k") == F.col("__l_k_stays"))
+        goes = again.select("at.*").join(stays, same, "left_anti")
+        goes = goes.groupBy(F.col("__l_id").alias("__l_of"), F.col("__l_key").alias("__l_of_key")).agg(F.collect_set("__l_k").alias("__l_goes"))
+        return _small(written(goes, "going-chunks", keep=True), F.size("__l_goes") + 2)
 
 
 def _without(docs: DataFrame, goes: DataFrame, left: Column, text: str, doc_id: str) -> DataFrame:

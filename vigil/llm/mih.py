@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.store import written
+from vigil.llm.store import scope, written
 
 SEGMENT = 16
 SHARD = 400_000  # codes
@@ -122,22 +122,23 @@ def _search(k: int):
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", shard: int = SHARD, block: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), neighbor_id, distance: each query's k nearest rows by Hamming distance."""
-    longest = max(df.agg(F.max(F.size(embedding))).first()[0] or 1 for df in (queries, rows))
-    words = -(-max(1, longest) // 64)
-    coded = lambda df: df.where(F.col(embedding).isNotNull() & F.col(vec_id).isNotNull()).select(F.col(vec_id).alias("id"), sign_code(F.col(embedding), words).alias("code"))
-    base = written(coded(rows).distinct(), "codes")
-    first = base.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("n") <= k + 1)
-    classes = written(first.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "code-classes")
-    asked = written(coded(queries).distinct(), "queries")
-    wanted = asked.select("code").distinct()
-    shards, asking = -(-max(1, classes.count()) // shard), max(1, wanted.count())
-    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
-    blocks = max(-(-asking // block), min(-(-asking // LEAST), -(-tasks // shards)))
-    at = lambda n: F.pmod(F.xxhash64("code"), F.lit(n))
-    left = wanted.select("code", at(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    right = classes.select("code", "ids", at(shards).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_search(k), "code array<long>, distance long, neighbor_id long")
-    near = found.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("distance", "neighbor_id"))).where(F.col("n") <= k + 1)
-    mine = asked.withColumnRenamed("id", "query_id").join(near.drop("n"), "code").where("query_id <> neighbor_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
-    return mine.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
+    with scope():
+        longest = max(df.agg(F.max(F.size(embedding))).first()[0] or 1 for df in (queries, rows))
+        words = -(-max(1, longest) // 64)
+        coded = lambda df: df.where(F.col(embedding).isNotNull() & F.col(vec_id).isNotNull()).select(F.col(vec_id).alias("id"), sign_code(F.col(embedding), words).alias("code"))
+        base = written(coded(rows).distinct(), "codes")
+        first = base.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("n") <= k + 1)
+        classes = written(first.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "code-classes", keep=True)
+        asked = written(coded(queries).distinct(), "queries", keep=True)
+        wanted = asked.select("code").distinct()
+        shards, asking = -(-max(1, classes.count()) // shard), max(1, wanted.count())
+        tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+        blocks = max(-(-asking // block), min(-(-asking // LEAST), -(-tasks // shards)))
+        at = lambda n: F.pmod(F.xxhash64("code"), F.lit(n))
+        left = wanted.select("code", at(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+        right = classes.select("code", "ids", at(shards).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+        found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_search(k), "code array<long>, distance long, neighbor_id long")
+        near = found.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("distance", "neighbor_id"))).where(F.col("n") <= k + 1)
+        mine = asked.withColumnRenamed("id", "query_id").join(near.drop("n"), "code").where("query_id <> neighbor_id")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
+        return mine.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")

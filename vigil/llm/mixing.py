@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.llm.quality import let
-from vigil.llm.store import written
+from vigil.llm.store import scope, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -121,34 +121,43 @@ def fold(items: Column, salt: int) -> Column:
 def items(docs: DataFrame, source: str = "source", text: str = "text", keep: tuple[str, ...] = ("doc_id",), block: int = BLOCK, seed: int = 0) -> DataFrame:
     """One row for equal rows: doc (a struct of ``keep``), size, source_size, target, rows, and of
     these rows ``more`` take ``whole + 1`` copies and the others ``whole``."""
-    content = F.xxhash64(F.col(text)).alias("content")
-    sized = docs.select(F.struct(*keep).alias("doc"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), content)
-    sized = written(sized.groupBy("doc", "source", "size", "content").agg(F.count("*").alias("rows")), "sizes")
-    due = written(targets(sized).withColumn("blocks", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") / block))), "targets")
-    side = F.broadcast(due) if due.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else due
-    joined = sized.join(side.withColumnRenamed("source", "__m_source"), F.col("source").eqNullSafe(F.col("__m_source")))
-    rate = F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.lit(float(MOST_COPIES)), F.col("target") / F.col("source_size")))
-    h = F.xxhash64("doc", "source", "content", F.lit(seed))
-    joined = joined.withColumns({"whole": F.floor(rate).cast("int"), "h": h, "sum": F.col("rows") * (rate - F.floor(rate))})
-    one = F.struct(F.col("doc"), F.col("size"), F.col("rows"), F.floor("sum").alias("more")).alias("doc")
-    item = F.struct((-F.col("size")).alias("order"), F.col("h"), one, F.col("size"), (F.col("sum") - F.floor("sum")).alias("p"))
-    number = F.pmod(F.xxhash64("h", F.lit(seed + 1)), F.col("blocks"))
-    rows = joined.select("source", "source_size", "target", "whole", "blocks", number.alias("block"), item.alias("item"))
-    most = due.agg(F.max("blocks")).first()[0] or 1
-    about, levels = ["source", "source_size", "target", "whole", "blocks", "block"], []
-    while True:
-        folded = rows.groupBy(*about).agg(F.array_sort(F.collect_list("item")).alias("items"))
-        folded = written(folded.select(*about, fold(F.col("items"), seed + len(levels)).alias("f")), "mix")
-        levels.append(folded.select(*about[:4], F.explode("f.done").alias("e")).select(*about[:4], "e.doc", "e.up"))
-        rows = folded.where("f.open is not null").select(*about[:4], F.ceil(F.col("blocks") / block).alias("blocks"), F.floor(F.col("block") / block).alias("block"), F.col("f.open").alias("item"))
-        if most <= 1:
-            break
-        most = -(-most // block)
-    up = F.col("item.p") >= 0.5  # one item of a source at most: to the nearer side of its target
-    done = rows.select(*about[:4], F.col("item.doc").alias("doc"), up.cast("int").alias("up"))
-    for level in levels:
-        done = done.unionByName(level)
-    return done.select("doc.doc", "doc.size", "source_size", "target", "doc.rows", "whole", (F.col("doc.more") + F.col("up")).alias("more"))
+    with scope():
+        content = F.xxhash64(F.col(text)).alias("content")
+        sized = docs.select(F.struct(*keep).alias("doc"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), content)
+        sized = written(sized.groupBy("doc", "source", "size", "content").agg(F.count("*").alias("rows")), "sizes")
+        due = written(targets(sized).withColumn("blocks", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") / block))), "targets")
+        side = F.broadcast(due) if due.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else due
+        joined = sized.join(side.withColumnRenamed("source", "__m_source"), F.col("source").eqNullSafe(F.col("__m_source")))
+        rate = F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.lit(float(MOST_COPIES)), F.col("target") / F.col("source_size")))
+        h = F.xxhash64("doc", "source", "content", F.lit(seed))
+        joined = joined.withColumns({"whole": F.floor(rate).cast("int"), "h": h, "sum": F.col("rows") * (rate - F.floor(rate))})
+        one = F.struct(F.col("doc"), F.col("size"), F.col("rows"), F.floor("sum").alias("more")).alias("doc")
+        item = F.struct((-F.col("size")).alias("order"), F.col("h"), one, F.col("size"), (F.col("sum") - F.floor("sum")).alias("p"))
+        number = F.pmod(F.xxhash64("h", F.lit(seed + 1)), F.col("blocks"))
+        rows = joined.select("source", "source_size", "target", "whole", "blocks", number.alias("block"), item.alias("item"))
+        most = due.agg(F.max("blocks")).first()[0] or 1
+        about, levels = ["source", "source_size", "target", "whole", "blocks", "block"], []
+        while True:
+            folded = rows.groupBy(*about).agg(F.array_sort(F.collect_list("item")).alias("items"))
+            folded = written(folded.select(*about, fold(F.col("items"), seed + len(levels)).alias("f")), "mix", keep=True)
+            levels.append(folded.select(*about[:4], F.explode("f.done").alias("e")).select(*about[:4], "e.doc", "e.up"))
+            rows = folded.where("f.open is not null").select(*about[:4], F.ceil(F.col("blocks") / block).alias("blocks"), F.floor(F.col("block") / block).alias("block"), F.col("f.open").alias("item"))
+            if most <= 1:
+                break
+            most = -(-most // block)
+        up = F.col("item.p") >= 0.5  # one item of a source at most: to the nearer side of its target
+        done = rows.select(*about[:4], F.col("item.doc").alias("doc"), up.cast("int").alias("up"))
+        for level in levels:
+            done = done.unionByName(level)
+        return done.select("doc.doc", "doc.size", "source_size", "target", "doc.rows", "whole", (F.col("doc.more") + F.col("up")).alias("more"))
+
+
+def repeated(df: DataFrame, n: str, *by: str) -> DataFrame:
+    """Every row n times; by: what tells rows apart. Many copies come out in chunks, which are dealt to many tasks."""
+    parts = df.where(F.col(n) > 0).withColumn("__m_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / CHUNK))))
+    parts = parts.repartition(*by, "__m_part")
+    copies = F.least(F.lit(CHUNK).cast("long"), F.col(n) - F.col("__m_part") * CHUNK)
+    return parts.withColumn("__m_row", F.explode(F.sequence(F.lit(1).cast("long"), copies))).drop("__m_part", "__m_row")
 
 
 def mix(docs: DataFrame, source: str = "source", text: str = "text", keep: tuple[str, ...] = ("doc_id",), block: int = BLOCK, seed: int = 0) -> DataFrame:
@@ -156,9 +165,6 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", keep: tuple
     found = items(docs, source, text, keep, block, seed)
     out = [F.col(f"doc.{k}").alias(k) for k in keep] + [F.col("size"), F.col("source_size"), F.col("target"), F.col("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken")]
     single = found.where("rows = 1").withColumn("copies", F.col("whole") + F.col("more").cast("int"))
-    # equal rows come out in chunks, which are dealt to many tasks before they are written out
     kinds = F.array(*[F.struct(n.alias("n"), c.cast("int").alias("copies")) for n, c in ((F.col("more"), F.col("whole") + 1), (F.col("rows") - F.col("more"), F.col("whole")))])
-    parts = found.where("rows > 1").select("doc", "size", "source_size", "target", F.inline(kinds)).where("n > 0")
-    parts = parts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK)))).repartition("doc", "size", "copies", "part")
-    many = parts.withColumn("__m_row", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(CHUNK).cast("long"), F.col("n") - F.col("part") * CHUNK))))
+    many = repeated(found.where("rows > 1").select("doc", "size", "source_size", "target", F.inline(kinds)), "n", "doc", "copies")
     return single.select(*out).unionByName(many.select(*out))

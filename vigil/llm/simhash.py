@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from vigil.llm.store import written
+from vigil.llm.store import scope, written
 
 SHINGLE = 3
 SEED = 42
@@ -199,15 +199,16 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each node's component, for nodes that have an edge."""
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     while True:
-        # large star: each node's larger neighbours move to its smallest neighbour, or to itself
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = written(large, "large-star")
-        # small star: each node and its smaller neighbours move to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))
-        small = written(small.select("e.a", "e.b").where("a <> b").distinct(), "small-star")
+        with scope():
+            # large star: each node's larger neighbours move to its smallest neighbour, or to itself
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            large = written(large, "large-star")
+            # small star: each node and its smaller neighbours move to the smallest of them
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))
+            small = written(small.select("e.a", "e.b").where("a <> b").distinct(), "small-star", keep=True)
         same = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         edges = small
         if same:
@@ -220,15 +221,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Then class_id, a fingerprint of the class that is its own name even if ids repeat,
     and key_a, key_b, hashes of the row's id and text.
     """
-    row = (F.col(doc_id), F.col(text))
-    marked = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(*row).alias("key_a"), F.xxhash64(*row, F.lit(1)).alias("key_b"), _fingerprints(F.col(text)).alias("fp"))
-    marked = written(marked, "fingerprints")
-    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    joined = components(links(classes.select("fp"), most))
-    of = classes.join(joined, classes["fp"] == joined["node"])
-    roots = of.groupBy("root").agg(F.min("least").alias("smallest"))
-    linked = of.join(roots, "root").select("fp", "smallest", "root")
-    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"), F.coalesce("root", "fp").alias("class"))
-    found = marked.join(written(named, "named"), "fp", "left")  # written, so that rows of a common fingerprint can be split
-    digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    return found.select("doc_id", digits("fp").alias("fingerprint"), "component_id", digits("class").alias("class_id"), "key_a", "key_b")
+    with scope():
+        row = (F.col(doc_id), F.col(text))
+        marked = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(*row).alias("key_a"), F.xxhash64(*row, F.lit(1)).alias("key_b"), _fingerprints(F.col(text)).alias("fp"))
+        marked = written(marked, "fingerprints", keep=True)
+        classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+        joined = components(links(classes.select("fp"), most))
+        of = classes.join(joined, classes["fp"] == joined["node"])
+        roots = of.groupBy("root").agg(F.min("least").alias("smallest"))
+        linked = of.join(roots, "root").select("fp", "smallest", "root")
+        named = classes.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"), F.coalesce("root", "fp").alias("class"))
+        found = marked.join(written(named, "named", keep=True), "fp", "left")  # written, so that rows of a common fingerprint can be split
+        digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+        return found.select("doc_id", digits("fp").alias("fingerprint"), "component_id", digits("class").alias("class_id"), "key_a", "key_b")

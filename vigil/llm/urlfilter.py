@@ -172,7 +172,7 @@ def filter_urls(pages: DataFrame, blocked: DataFrame | None = None, rules: list[
     host, path = host_and_path(F.col("__u_url"))
     split = base.select(*keep, host.alias("host"), path.alias("path"))
     hosts = split.select("host").distinct()
-    universe = written(universe_of(hosts, blocked_domains(pages.sparkSession) if blocked is None else blocked), "hosts")
+    universe = written(universe_of(hosts, blocked_domains(pages.sparkSession) if blocked is None else blocked), "hosts", keep=True)
     cascade = build_cascade(universe, F.col("listed"), max_bits)
     if cascade is None:
         listed = universe.where("listed").select(F.col("key").alias("__u_key"))
