@@ -45,7 +45,8 @@ def _train(rows):
     for turn in range(toxicity.ROUNDS):
         dz, dn, parts = {}, {}, 0
         for shard in range(toxicity.SHARDS):
-            own = sorted((x for x in known if x[3] == shard), key=lambda x: (_hash(x[0], (turn,)), x[0]))
+            own = sorted((x for x in known if x[3] == shard), key=lambda x: x[0])
+            own = [own[k] for k in np.random.default_rng(turn).permutation(len(own))]
             parts += bool(own)
             zs, ns = dict(z), dict(n)
             for _, y, at, _ in own:

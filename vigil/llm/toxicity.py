@@ -3,17 +3,18 @@
 Features of a text are the hashed buckets of its words, its pairs of neighbours and
 its pairs with one word between, each once; texts are taken whole. Training takes a
 bounded sample of the labelled rows (``MAX_LABELLED`` rows chosen by a hash of the id),
-writes their buckets as a table and deals it to ``SHARDS`` shards. In each of ``ROUNDS``
-rounds every shard runs FTRL-proximal with per-coordinate rates over its rows, as a
-stream, from the common state, and the shards' states are averaged to the next one. The
-state is a row for each bucket, so it is bounded by 2**BITS and is what goes to the
-driver and to all tasks. L1 leaves few weights that are not zero. Scoring reads every
+deals their buckets to ``SHARDS`` shards and writes each shard as one packed row, which no
+way of splitting files takes apart. In each of ``ROUNDS`` rounds every shard runs
+FTRL-proximal with per-coordinate rates over its rows from the common state, and the
+shards' states are averaged to the next one. A state has two numbers for each bucket, so
+what goes to the tasks and comes back to the driver is bounded by 2**BITS and SHARDS, and
+a shard by its share of the sample. L1 leaves few weights that are not zero. Scoring reads every
 text whole, once, without a shuffle.
 
 Defined results: null and empty texts have no features and score by the intercept
 alone; without any labelled row of class 1 every score is 0; labels that are null are
-skipped; a document with several labels is learnt from each; repeated rows give
-repeated rows; an empty table gives an empty table; other columns are kept, and one that
+skipped; a document with both labels is learnt from with each; of rows that share an id
+the one with the smallest text hash is learnt from; repeated rows give repeated rows; an empty table gives an empty table; other columns are kept, and one that
 has the name of the score is replaced.
 """
 
@@ -35,7 +36,6 @@ MAX_LABELLED = 20_000
 SHARDS, ROUNDS = 4, 6
 ALPHA, BETA, L2 = 2.0, 1.0, 0.0
 L1 = 8.0 / SHARDS  # a shard sees so much less of a feature
-UNIT = 2.0**32  # states are added as whole numbers of such parts, so that their order does not matter
 THRESHOLD = 0.3
 
 _word_table = np.zeros(128, bool)
@@ -112,26 +112,27 @@ def _buckets(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([buckets(t).astype(np.int32) for t in texts.fillna("")], dtype=object)
 
 
-def _learner(sent):
-    """A function from a stream of examples, shard after shard, to what each shard moves in the common state."""
+def _packed(part: pd.DataFrame) -> pd.DataFrame:
+    """One row for a shard: its labels, the ends of its rows' buckets and the buckets, as bytes."""
+    rows = sorted(zip(part["id"], part["y"], (at.astype("<i4").tobytes() for at in part["at"])))
+    ends = np.cumsum([len(at) // 4 for _, _, at in rows]).astype("<i8")
+    return pd.DataFrame({"shard": [part["shard"].iloc[0]], "y": [np.array([y for _, y, _ in rows], np.int8).tobytes()], "ends": [ends.tobytes()], "at": [b"".join(at for *_, at in rows)]})
 
-    def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard = model = None
 
-        def moved() -> pd.DataFrame:
-            dz, dn = model.z - sent.value[0], model.n - sent.value[1]
-            at = np.flatnonzero(dn)
-            return pd.DataFrame({"bucket": at.astype(np.int32), "z": dz[at], "n": dn[at]})
+def _learner(sent, turn: int):
+    """A function from packed shards to what each moves in the common state."""
 
+    def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in parts:
-            for number, at, y in zip(frame["shard"], frame["at"], frame["y"]):
-                if number != shard:
-                    if model is not None:
-                        yield moved()
-                    shard, model = number, Ftrl(sent.value)
-                model.learn(at, y)
-        if model is not None:
-            yield moved()
+            for shard, y, ends, at in zip(frame["shard"], frame["y"], frame["ends"], frame["at"]):
+                y, ends, at = np.frombuffer(y, np.int8), np.frombuffer(ends, "<i8"), np.frombuffer(at, "<i4")
+                first = np.concatenate([[0], ends[:-1]])
+                model = Ftrl(sent.value)
+                for k in np.random.default_rng(turn).permutation(len(y)).tolist():
+                    model.learn(at[first[k] : ends[k]], int(y[k]))
+                moved = np.stack([model.z, model.n]) - sent.value
+                touched = np.flatnonzero(moved[1])
+                yield pd.DataFrame({"shard": [shard], "bucket": [touched.astype("<i4").tobytes()], "moved": [moved[:, touched].astype("<f4").tobytes()], "positive": [int(y.sum())]})
 
     return learn
 
@@ -146,20 +147,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
         chosen = chosen.orderBy(F.xxhash64("__x_id", F.lit(7)), "__x_id", "__x_y").limit(max_labelled)
         rows = docs.select(F.col(doc_id).alias("__x_doc"), F.col(text).alias("__x_text"))
         rows = rows.join(F.broadcast(chosen), F.col("__x_doc") == F.col("__x_id"))  # max_labelled rows of two numbers
+        rows = rows.groupBy("__x_id", "__x_y").agg(F.min_by("__x_text", F.xxhash64("__x_text")).alias("__x_text"))  # an id may have many rows
         examples = rows.select(F.pmod(F.xxhash64("__x_id", F.lit(11)), F.lit(SHARDS)).alias("shard"), F.col("__x_id").alias("id"), F.col("__x_y").alias("y"), _buckets("__x_text").alias("at"))
-        examples = written(examples, "examples")
-        if not examples.where("y = 1").limit(1).count():
-            return None
+        shards = written(examples.groupBy("shard").applyInPandas(_packed, "shard long, y binary, ends binary, at binary"), "shards")
         state = np.zeros((2, (1 << BITS) + 1))  # z and n
         for turn in range(ROUNDS):
-            dealt = examples.repartitionByRange(SHARDS, "shard").sortWithinPartitions("shard", F.xxhash64("id", F.lit(turn)), "id", "y", F.hash("at"))
-            moved = dealt.mapInPandas(_learner(examples.sparkSession.sparkContext.broadcast(state)), "bucket int, z double, n double")
-            units = lambda c: F.sum(F.round(F.col(c) * UNIT).cast("long"))
-            merged = moved.groupBy("bucket").agg(units("z").alias("z"), units("n").alias("n"), F.count("*").alias("k")).toArrow().to_pandas()  # a row for each bucket at most
-            at = merged["bucket"].to_numpy()
-            shards = merged["k"].to_numpy()[at == 1 << BITS][0]  # every shard moves the intercept
-            state = state.copy()
-            state[:, at] += merged[["z", "n"]].to_numpy(np.float64).T / UNIT / shards
+            sent = docs.sparkSession.sparkContext.broadcast(state.astype(np.float32))
+            moved = sorted(tuple(r) for r in shards.mapInPandas(_learner(sent, turn), "shard long, bucket binary, moved binary, positive long").collect())  # a row for each shard
+            sent.destroy()
+            if not sum(positive for *_, positive in moved):
+                return None
+            state = state.astype(np.float32).astype(np.float64)
+            for _, bucket, change, _ in moved:
+                state[:, np.frombuffer(bucket, "<i4")] += np.frombuffer(change, "<f4").reshape(2, -1).astype(np.float64) / len(moved)
         model = Ftrl(state)
         w = model.weights(slice(0, 1 << BITS))
         at = np.flatnonzero(w)
