@@ -26,7 +26,7 @@ _after_word = re.compile(f"(?<=[^{_blank}])[{_blank}]")
 def classes() -> np.ndarray:
     """The class of every code point as the tokenizers' own pre-tokenizer has it, made once in a worker.
 
-    All code points but the space go through it as one string, in which those of one
+    All code points but the space go through it in strings of 8192, in which those of one
     class stay together; one of each run is then probed next to a letter, a number and
     a sign.
     """
@@ -34,13 +34,15 @@ def classes() -> np.ndarray:
         from tokenizers.pre_tokenizers import ByteLevel
 
         split = ByteLevel(add_prefix_space=False).pre_tokenize_str
-        points = np.array([c for c in range(0x110000) if c != 0x20 and not 0xD800 <= c < 0xE000])
         table = np.zeros(0x110000, np.uint8)
         table[0x20] = SPACE
-        for _, (start, end) in split("".join(map(chr, points.tolist()))):
-            one = chr(points[start])
-            kinds = [k for k, with_ in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")) if len(split(with_ + one)) == 1]
-            table[points[start:end]] = kinds[0] if kinds else SPACE
+        for first in range(0, 0x110000, 1 << 13):
+            points = np.arange(first, first + (1 << 13), dtype=np.uint32)
+            points = points[(points != 0x20) & ~((points >= 0xD800) & (points < 0xE000))]
+            for _, (start, end) in split(points.tobytes().decode("utf-32-le")):
+                one = chr(points[start])
+                kinds = [k for k, with_ in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")) if len(split(with_ + one)) == 1]
+                table[points[start:end]] = kinds[0] if kinds else SPACE
         _classes.append(table)
     return _classes[0]
 

@@ -6,9 +6,9 @@ bounded sample of the labelled rows (``MAX_LABELLED`` rows chosen by a hash of t
 deals their buckets to ``SHARDS`` shards and writes each shard as one packed row, which no
 way of splitting files takes apart. In each of ``ROUNDS`` rounds every shard runs
 FTRL-proximal with per-coordinate rates over its rows from the common state, and the
-shards' states are averaged to the next one. A state has two numbers for each bucket, so
-what goes to the tasks and comes back to the driver is bounded by 2**BITS and SHARDS, and
-a shard by its share of the sample. L1 leaves few weights that are not zero. Scoring reads every
+mean of the shards' states is the next one. A state has two numbers for each bucket and
+is one row of a table, which every task reads; only weights that are not zero come to the
+driver. So a task holds its share of the sample and states bounded by 2**BITS. L1 leaves few weights that are not zero. Scoring reads every
 text whole, once, without a shuffle.
 
 Defined results: null and empty texts have no features and score by the intercept
@@ -116,27 +116,50 @@ def _packed(part: pd.DataFrame) -> pd.DataFrame:
     """One row for a shard: its labels, the ends of its rows' buckets and the buckets, as bytes."""
     rows = sorted(zip(part["id"], part["y"], (at.astype("<i4").tobytes() for at in part["at"])))
     ends = np.cumsum([len(at) // 4 for _, _, at in rows]).astype("<i8")
-    return pd.DataFrame({"shard": [part["shard"].iloc[0]], "y": [np.array([y for _, y, _ in rows], np.int8).tobytes()], "ends": [ends.tobytes()], "at": [b"".join(at for *_, at in rows)]})
+    return pd.DataFrame({"shard": [part["shard"].iloc[0]], "y": [np.array([y for _, y, _ in rows], np.int8).tobytes()], "ends": [ends.tobytes()], "at": [b"".join(at for *_, at in rows)], "positive": [sum(y for _, y, _ in rows)]})
 
 
-def _learner(sent, turn: int):
-    """A function from packed shards to what each moves in the common state."""
+def _learner(turn: int):
+    """A function from packed shards, each with the common state, to their states after a pass."""
 
     def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in parts:
-            for shard, y, ends, at in zip(frame["shard"], frame["y"], frame["ends"], frame["at"]):
+            for shard, y, ends, at, state in zip(frame["shard"], frame["y"], frame["ends"], frame["at"], frame["state"]):
                 y, ends, at = np.frombuffer(y, np.int8), np.frombuffer(ends, "<i8"), np.frombuffer(at, "<i4")
                 first = np.concatenate([[0], ends[:-1]])
-                model = Ftrl(sent.value)
+                model = Ftrl(_opened(state))
                 for k in np.random.default_rng(turn).permutation(len(y)).tolist():
                     model.learn(at[first[k] : ends[k]], int(y[k]))
-                moved = np.stack([model.z, model.n]) - sent.value
-                touched = np.flatnonzero(moved[1])
-                yield pd.DataFrame({"shard": [shard], "bucket": [touched.astype("<i4").tobytes()], "moved": [moved[:, touched].astype("<f4").tobytes()], "positive": [int(y.sum())]})
+                yield pd.DataFrame({"shard": [shard], "state": [_closed(np.stack([model.z, model.n]))]})
 
     return learn
 
 
+def _opened(state: bytes | None) -> np.ndarray:
+    """z and n; zero without a state."""
+    return np.zeros((2, (1 << BITS) + 1)) if state is None else np.frombuffer(state, "<f4").reshape(2, -1).astype(np.float64)
+
+
+def _closed(state: np.ndarray) -> bytes:
+    return state.astype("<f4").tobytes()
+
+
+def _mean(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The mean of all shards' states, added in the order of shards."""
+    rows = sorted(r for frame in parts for r in zip(frame["shard"], frame["state"]))
+    yield pd.DataFrame({"state": [_closed(sum(_opened(s) for _, s in rows) / len(rows))] if rows else []})
+
+
+def _weights(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Buckets with a weight, and the intercept as bucket 2**BITS."""
+    for frame in parts:
+        for state in frame["state"]:
+            model = Ftrl(_opened(state))
+            w = model.weights(slice(0, 1 << BITS))
+            at = np.flatnonzero(w)
+            yield pd.DataFrame({"bucket": np.append(at, 1 << BITS), "weight": np.append(w[at], model.intercept())})
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray, float] | None:
     """(buckets, weights, intercept) learnt from docs joined with labels; None without a row of class 1.
 
@@ -149,21 +172,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
         rows = rows.join(F.broadcast(chosen), F.col("__x_doc") == F.col("__x_id"))  # max_labelled rows of two numbers
         rows = rows.groupBy("__x_id", "__x_y").agg(F.min_by("__x_text", F.xxhash64("__x_text")).alias("__x_text"))  # an id may have many rows
         examples = rows.select(F.pmod(F.xxhash64("__x_id", F.lit(11)), F.lit(SHARDS)).alias("shard"), F.col("__x_id").alias("id"), F.col("__x_y").alias("y"), _buckets("__x_text").alias("at"))
-        shards = written(examples.groupBy("shard").applyInPandas(_packed, "shard long, y binary, ends binary, at binary"), "shards")
-        state = np.zeros((2, (1 << BITS) + 1))  # z and n
+        shards = written(examples.groupBy("shard").applyInPandas(_packed, "shard long, y binary, ends binary, at binary, positive long"), "shards")
+        if not shards.agg(F.sum("positive")).first()[0]:
+            return None
         for turn in range(ROUNDS):
-            sent = docs.sparkSession.sparkContext.broadcast(state.astype(np.float32))
-            moved = sorted(tuple(r) for r in shards.mapInPandas(_learner(sent, turn), "shard long, bucket binary, moved binary, positive long").collect())  # a row for each shard
-            sent.destroy()
-            if not sum(positive for *_, positive in moved):
-                return None
-            state = state.astype(np.float32).astype(np.float64)
-            for _, bucket, change, _ in moved:
-                state[:, np.frombuffer(bucket, "<i4")] += np.frombuffer(change, "<f4").reshape(2, -1).astype(np.float64) / len(moved)
-        model = Ftrl(state)
-        w = model.weights(slice(0, 1 << BITS))
-        at = np.flatnonzero(w)
-        return at, w[at], model.intercept()
+            if turn:
+                each = shards.crossJoin(F.broadcast(state))  # one row
+            else:
+                each = shards.withColumn("state", F.lit(None).cast("binary"))
+            with scope():
+                moved = written(each.mapInPandas(_learner(turn), "shard long, state binary"), "moved")
+                state = written(moved.coalesce(1).mapInPandas(_mean, "state binary"), "state", keep=True)  # SHARDS rows
+        found = sorted(tuple(r) for r in state.mapInPandas(_weights, "bucket long, weight double").collect())
+        at, w = map(np.array, zip(*found))
+        return at[:-1], w[:-1], float(w[-1])
 
 
 def score_texts(texts: list[str], weight: np.ndarray, intercept: float) -> np.ndarray:
