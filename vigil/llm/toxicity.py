@@ -6,9 +6,9 @@ bounded sample of the labelled rows (``MAX_LABELLED`` rows chosen by a hash of t
 deals their buckets to ``SHARDS`` shards and writes each shard as one packed row, which no
 way of splitting files takes apart. In each of ``ROUNDS`` rounds every shard runs
 FTRL-proximal with per-coordinate rates over its rows from the common state, and the
-mean of the shards' states is the next one. A state has two numbers for each bucket and
-is one row of a table, which every task reads; only weights that are not zero come to the
-driver. So a task holds its share of the sample and states bounded by 2**BITS. L1 leaves few weights that are not zero. Scoring reads every
+mean of the shards' states, made by one task, is the next one. A state has two numbers for
+each bucket and is sent to all tasks. So a task holds its share of the sample and states
+bounded by 2**BITS, and the driver one state. L1 leaves few weights that are not zero. Scoring reads every
 text whole, once, without a shuffle.
 
 Defined results: null and empty texts have no features and score by the intercept
@@ -20,6 +20,7 @@ has the name of the score is replaced.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,23 +114,27 @@ def _buckets(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def _packed(part: pd.DataFrame) -> pd.DataFrame:
-    """One row for a shard: its labels, the ends of its rows' buckets and the buckets, as bytes."""
-    rows = sorted(zip(part["id"], part["y"], (at.astype("<i4").tobytes() for at in part["at"])))
-    ends = np.cumsum([len(at) // 4 for _, _, at in rows]).astype("<i8")
-    return pd.DataFrame({"shard": [part["shard"].iloc[0]], "y": [np.array([y for _, y, _ in rows], np.int8).tobytes()], "ends": [ends.tobytes()], "at": [b"".join(at for *_, at in rows)], "positive": [sum(y for _, y, _ in rows)]})
+    """One row for a shard: its labels, the ends of its rows' buckets and the buckets' steps, compressed."""
+    order = sorted(range(len(part)), key=lambda k: (part["id"].iloc[k], part["y"].iloc[k]))
+    found = part["at"].iloc[order]
+    ends = np.cumsum(found.map(len)).to_numpy("<i8")
+    steps = zlib.compressobj(1)
+    packed = b"".join([*(steps.compress(np.diff(at, prepend=0).astype("<i4").tobytes()) for at in found), steps.flush()])
+    y = part["y"].iloc[order].to_numpy(np.int8)
+    return pd.DataFrame({"shard": [part["shard"].iloc[0]], "y": [y.tobytes()], "ends": [ends.tobytes()], "steps": [packed], "positive": [int(y.sum())]})
 
 
-def _learner(turn: int):
-    """A function from packed shards, each with the common state, to their states after a pass."""
+def _learner(sent, turn: int):
+    """A function from packed shards to their states after a pass from the common state."""
 
     def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in parts:
-            for shard, y, ends, at, state in zip(frame["shard"], frame["y"], frame["ends"], frame["at"], frame["state"]):
-                y, ends, at = np.frombuffer(y, np.int8), np.frombuffer(ends, "<i8"), np.frombuffer(at, "<i4")
+            for shard, y, ends, steps in zip(frame["shard"], frame["y"], frame["ends"], frame["steps"]):
+                y, ends, steps = np.frombuffer(y, np.int8), np.frombuffer(ends, "<i8"), np.frombuffer(zlib.decompress(steps), "<i4")
                 first = np.concatenate([[0], ends[:-1]])
-                model = Ftrl(_opened(state))
+                model = Ftrl(_opened(sent.value))
                 for k in np.random.default_rng(turn).permutation(len(y)).tolist():
-                    model.learn(at[first[k] : ends[k]], int(y[k]))
+                    model.learn(np.cumsum(steps[first[k] : ends[k]]), int(y[k]))
                 yield pd.DataFrame({"shard": [shard], "state": [_closed(np.stack([model.z, model.n]))]})
 
     return learn
@@ -172,17 +177,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
         rows = rows.join(F.broadcast(chosen), F.col("__x_doc") == F.col("__x_id"))  # max_labelled rows of two numbers
         rows = rows.groupBy("__x_id", "__x_y").agg(F.min_by("__x_text", F.xxhash64("__x_text")).alias("__x_text"))  # an id may have many rows
         examples = rows.select(F.pmod(F.xxhash64("__x_id", F.lit(11)), F.lit(SHARDS)).alias("shard"), F.col("__x_id").alias("id"), F.col("__x_y").alias("y"), _buckets("__x_text").alias("at"))
-        shards = written(examples.groupBy("shard").applyInPandas(_packed, "shard long, y binary, ends binary, at binary, positive long"), "shards")
+        shards = written(examples.groupBy("shard").applyInPandas(_packed, "shard long, y binary, ends binary, steps binary, positive long"), "shards")
         if not shards.agg(F.sum("positive")).first()[0]:
             return None
+        common = None
         for turn in range(ROUNDS):
-            if turn:
-                each = shards.crossJoin(F.broadcast(state))  # one row
-            else:
-                each = shards.withColumn("state", F.lit(None).cast("binary"))
+            sent = docs.sparkSession.sparkContext.broadcast(common)
             with scope():
-                moved = written(each.mapInPandas(_learner(turn), "shard long, state binary"), "moved")
+                moved = written(shards.drop("positive").mapInPandas(_learner(sent, turn), "shard long, state binary"), "moved")
                 state = written(moved.coalesce(1).mapInPandas(_mean, "state binary"), "state", keep=True)  # SHARDS rows
+            sent.destroy()
+            if turn < ROUNDS - 1:
+                common = bytes(state.first()[0])
         found = sorted(tuple(r) for r in state.mapInPandas(_weights, "bucket long, weight double").collect())
         at, w = map(np.array, zip(*found))
         return at[:-1], w[:-1], float(w[-1])
