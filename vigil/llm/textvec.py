@@ -50,7 +50,7 @@ def classes() -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse modulo 2**64, for i < n at least."""
     if not _powers or len(_powers[0]) < n:
-        m = max(n, 1 << 21)
+        m = max(n, 1 << 19)
         _powers[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(m - 1, x & (2**64 - 1), np.uint64)])) for x in (BASE, pow(BASE, -1, 2**64))]
     return _powers[0], _powers[1]
 
@@ -59,7 +59,7 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def batches(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[list[int], list[str]]]:
+def batches(texts: list[str], limit: int = 1 << 18) -> Iterator[tuple[list[int], list[str]]]:
     """(row numbers, pieces) of about ``limit`` characters at most; a row may have several pieces, in order."""
     rows: list[int] = []
     pieces: list[str] = []
