@@ -189,3 +189,15 @@ def test_constraints(spark):
 
 def test_hash(spark):
     assert column(spark, ["글"], lambda c: F.sha2(text.visible_text(c), 256)) == [hashlib.sha256("글".encode()).hexdigest()]
+
+
+def test_feed_items_of_odd_entries(spark):
+    raw = "<rss><channel><item><title> a </title><title>b</title><link> </link><guid> </guid><guid>https://x.example/g</guid><description> </description><summary>s &lt;i&gt;t&lt;/i&gt;</summary></item><item><link>nothing</link></item><item><link href=' https://y.example/ '/><id>i</id></item></channel></rss>"
+    rows = spark.createDataFrame([("s", "f", bytearray(raw.encode())), ("s", "g", None), ("s", "h", bytearray(b""))], "source string, feed string, raw binary")
+    got = [tuple(r)[2:] for r in feeds.parse_xml(rows).orderBy("position").collect()]
+    assert got == [(0, "b", "https://x.example/g", "https://x.example/g", "s t"), (1, None, "https://y.example/", "i", None)]
+
+
+def test_iso_time(spark):
+    got = column(spark, ["2024-01-01T00:00:00Z", "2024-01-01T09:00:00+09:00", "2024-01-01", "", "bad", "2024", None], lambda c: text.iso_time(c).cast("string"))
+    assert got == ["2024-01-01 00:00:00", "2024-01-01 00:00:00", "2024-01-01 00:00:00", None, None, None, None]

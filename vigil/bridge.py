@@ -26,7 +26,7 @@ SELECT o_orderkey AS id,
   CASE WHEN o_orderkey % 7 = 0 THEN concat('https://src', CAST(o_orderkey % 20 AS STRING), '.example/', CAST(o_orderkey AS STRING)) END AS origin_captured_url
 FROM {orders}""",
     "citation_checks": """
-SELECT story_id, url, min(status) AS status, min(http_code) AS http_code, max(last_checked) AS last_checked, min(check_count) AS check_count,
+SELECT story_id, url, min(status) AS status, min(http_code) AS http_code, min(reason) AS reason, max(last_checked) AS last_checked, min(check_count) AS check_count,
   CAST(max(check_count) % 4 AS INT) AS error_count
 FROM (
   SELECT l_orderkey AS story_id,
@@ -36,7 +36,9 @@ FROM (
     CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN CASE WHEN l_partkey % 2 = 0 THEN 404 ELSE 410 END
          WHEN l_returnflag = 'R' THEN 200
          WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN CASE WHEN l_partkey % 2 = 0 THEN 403 ELSE 200 END
-         WHEN l_returnflag = 'A' THEN 503 WHEN l_linestatus = 'F' THEN NULL ELSE 200 END AS http_code,
+         WHEN l_returnflag = 'A' THEN CASE WHEN l_partkey % 3 = 0 THEN 200 ELSE 503 END WHEN l_linestatus = 'F' THEN NULL ELSE 200 END AS http_code,
+    CASE WHEN l_returnflag = 'R' THEN '삭제 표식: 삭제된 글'
+         WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN CASE WHEN l_partkey % 3 = 0 THEN '봇 차단 — 삭제 추적 불가' ELSE 'HTTP 503' END END AS reason,
     l_shipdate AS last_checked, l_linenumber AS check_count
   FROM {lineitem}) x
 GROUP BY story_id, url""",

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from vigil import samples
 from vigil.bridge import view, with_views
-from vigil.functions import generated, pii, risk, search, text, urls
-from vigil.operators import archive, cleanup, collect, constraints, merge, promotion, schedule, threshold, verdict, votes, wayback
+from vigil.functions import fixed, generated, pii, risk, search, text, urls
+from vigil.operators import archive, cleanup, collect, constraints, generate, merge, promotion, schedule, threshold, verdict, votes, wayback
 from vigil.plans import feeds, listing, stats
 from vigil.sources import feeds as feed_sources
 from vigil.streaming import limiter, windows
@@ -96,21 +96,32 @@ def archive_due(spark, v):
     return due.select("id", "votes", "threshold", "urgency")
 
 
-def _detail_input(v):
+def _detail_input(v, origin: bool = False):
+    """Stories with their checks' urls as citations; origin: and the captured address, which no check has."""
     cites = v("citation_checks").groupBy(F.col("story_id").alias("__s")).agg(F.array_sort(F.collect_list(F.struct(F.col("url").alias("title"), F.col("url").alias("uri")))).alias("citations"))
     s = v("stories")
-    return s.join(cites, s["id"] == F.col("__s")).drop("__s")
-
-
-@query(f""", {BASE}, {SIGNALS}, w AS (SELECT url, max(snapshot_url) AS archive_url FROM (SELECT url, 'https://web.archive.org/web/2024/' || url AS snapshot_url FROM citation_checks WHERE check_count = 1) GROUP BY url)
-SELECT s.id, c.url AS uri, c.status AS track_status, coalesce(c.http_code, 0) AS track_http_code,
-  CASE WHEN c.http_code IN (404, 410) THEN false ELSE c.http_code IN (403, 429, 430, 503) END IS TRUE AS untrackable, w.archive_url, {LEVEL}
-FROM stories s JOIN citation_checks c ON s.id = c.story_id LEFT JOIN w ON c.url = w.url LEFT JOIN sig ON s.id = sig.story_id, base""", "stories", "citation_checks", "votes")
+    joined = s.join(cites, s["id"] == F.col("__s")).drop("__s")
+    own = F.col("origin_captured_url")
+    more = F.array_compact(F.array(F.when(own.isNotNull(), F.struct(own.alias("title"), own.alias("uri")))))
+    return joined.withColumn("citations", F.concat("citations", more)) if origin else joined
+
+
+@query(f""", {BASE}, {SIGNALS},
+w AS (SELECT url, CASE WHEN bool_or(check_count = 1) THEN 'success' ELSE 'pending' END AS archive_status, CASE WHEN bool_or(check_count = 1) THEN 'https://web.archive.org/web/2024/' || url END AS archive_url
+  FROM citation_checks WHERE check_count < 3 GROUP BY url),
+u AS (SELECT story_id, url FROM citation_checks UNION ALL SELECT id, origin_captured_url FROM stories WHERE origin_captured_url IS NOT NULL AND id IN (SELECT story_id FROM citation_checks))
+SELECT s.id, u.url AS uri, coalesce(c.status, 'unchecked') AS track_status, coalesce(c.http_code, 0) AS track_http_code, c.reason AS track_reason, coalesce(c.check_count, 0)::INT AS track_check_count,
+  coalesce(c.error_count, 0)::INT AS track_error_count, c.last_checked::VARCHAR AS track_last_checked, (c.last_checked - INTERVAL 1 DAY)::VARCHAR AS track_first_seen, (c.last_checked + INTERVAL 1 DAY)::VARCHAR AS track_next_check_at,
+  CASE WHEN c.http_code IN (404, 410) THEN false ELSE coalesce(c.http_code IN (403, 429, 430, 503), false) OR coalesce(c.reason = '봇 차단 — 삭제 추적 불가', false) END AS untrackable, w.archive_status, w.archive_url, {LEVEL}
+FROM stories s JOIN u ON s.id = u.story_id LEFT JOIN citation_checks c ON c.story_id = s.id AND c.url = u.url LEFT JOIN w ON u.url = w.url LEFT JOIN sig ON s.id = sig.story_id, base""", "stories", "citation_checks", "votes")
 def story_detail(spark, v):
     checks = v("citation_checks")
-    snaps = checks.where("check_count = 1").select("url", F.lit("success").alias("status"), F.concat(F.lit("https://web.archive.org/web/2024/"), "url").alias("snapshot_url"))
-    out = listing.story_detail(_detail_input(v), checks, snaps, v("votes"), at(VOTE_DAY))
-    return out.select("id", "threshold", "urgency", F.inline("citations")).select("id", "uri", "track_status", F.coalesce("track_http_code", F.lit(0)).alias("track_http_code"), "untrackable", "archive_url", "threshold", "urgency")
+    checks = checks.withColumns({"first_seen": F.col("last_checked") - F.make_dt_interval(F.lit(1)), "next_check_at": F.col("last_checked") + F.make_dt_interval(F.lit(1))})
+    done = F.col("check_count") == 1
+    snaps = checks.where("check_count < 3").select("url", F.when(done, "success").otherwise("pending").alias("status"), F.when(done, F.concat(F.lit("https://web.archive.org/web/2024/"), "url")).alias("snapshot_url"))
+    out = listing.story_detail(_detail_input(v, origin=True), checks, snaps, v("votes"), at(VOTE_DAY))
+    flat = out.select("id", "threshold", "urgency", F.inline("citations")).fillna(0, ["track_http_code", "track_check_count", "track_error_count"])
+    return flat.withColumns(_text("track_last_checked", "track_first_seen", "track_next_check_at")).drop("pos", "title")
 
 
 @query("""SELECT story_id, count(*)::BIGINT AS urls, string_agg(url || '=' || status, '|' ORDER BY url) AS statuses FROM citation_checks GROUP BY story_id""", "citation_checks")
@@ -295,10 +306,10 @@ def _incoming(v):
 
 
 @query(""", inc AS (SELECT id, story_id * 20 AS story_id, user_id, created_at FROM votes)
-SELECT id, CASE WHEN story_id NOT IN (SELECT id FROM stories) THEN 'missing_story' WHEN EXISTS (SELECT 1 FROM inc w WHERE w.id < 500 AND w.story_id = inc.story_id AND w.user_id = inc.user_id)
+SELECT id, CASE WHEN story_id NOT IN (SELECT id FROM stories) THEN 'missing_story' WHEN EXISTS (SELECT 1 FROM inc w WHERE w.created_at < TIMESTAMP '2024-01-10 00:00:00' AND w.story_id = inc.story_id AND w.user_id = inc.user_id)
   OR row_number() OVER (PARTITION BY story_id, user_id ORDER BY created_at, id) > 1 THEN 'duplicate' ELSE 'accepted' END AS outcome FROM inc""", "votes", "stories")
 def vote_outcomes(spark, v):
-    return votes.classify(_incoming(v), _incoming(v).where("id < 500"), v("stories")).select("id", "outcome")
+    return votes.classify(_incoming(v), _incoming(v).where(F.col("created_at") < at("2024-01-10 00:00:00")), v("stories")).select("id", "outcome")
 
 
 @query(""", n AS (SELECT story_id, count(*) AS votes FROM votes GROUP BY story_id)
@@ -307,10 +318,10 @@ def monotone_vote_cache(spark, v):
     return votes.refresh_cache(v("stories"), threshold.vote_counts(v("votes"))).select("id", "vote_count")
 
 
-@query("""SELECT story_id, user_id, bool_or(id < 500) AS voted FROM votes GROUP BY ALL""", "votes")
+@query("""SELECT story_id, user_id, bool_or(created_at < TIMESTAMP '2024-01-10 00:00:00') AS voted FROM votes GROUP BY ALL""", "votes")
 def already_voted(spark, v):
     pairs = v("votes").select("story_id", "user_id").distinct()
-    return votes.already_voted(pairs, v("votes").where("id < 500"))
+    return votes.already_voted(pairs, v("votes").where(F.col("created_at") < at("2024-01-10 00:00:00")))
 
 
 def _changes(v):
@@ -329,9 +340,9 @@ def upsert_ignore(spark, v):
     return merge.insert_ignore(v("citation_checks").select("story_id", "url", "status"), _changes(v), ["story_id", "url"])
 
 
-@query("""SELECT id, CASE WHEN id % 2 = 0 THEN 'kept' ELSE category END AS category FROM stories""", "stories")
+@query("""SELECT id, CASE WHEN archived_at IS NOT NULL THEN 'kept' ELSE category END AS category FROM stories""", "stories")
 def update_by_id(spark, v):
-    changes = v("stories").where("id % 2 = 0").select("id", F.lit("kept").alias("category"))
+    changes = v("stories").where("archived_at is not null").select("id", F.lit("kept").alias("category"))
     return merge.update(v("stories").select("id", "category"), changes, "id")
 
 
@@ -371,13 +382,13 @@ def cascade_checks(spark, v):
     return cleanup.without(v("citation_checks"), "story_id", cleanup.orphans(v("stories"), v("votes"), at(STORY_DAY))).select("story_id", "url")
 
 
-_CLAIM = "id % 2 = 0 AND (arweave_tx_id IS NULL OR (arweave_tx_id = '__pending__' AND last_archive_attempt < TIMESTAMP '2001-08-01 23:50:00'))"
+_CLAIM = "vote_count > 0 AND (arweave_tx_id IS NULL OR (arweave_tx_id = '__pending__' AND last_archive_attempt < TIMESTAMP '2001-08-01 23:50:00'))"
 
 
 @query(f"""SELECT id, coalesce({_CLAIM}, false) AS claimed, CASE WHEN {_CLAIM} THEN '__pending__' ELSE arweave_tx_id END AS arweave_tx_id FROM stories""", "stories")
 def archive_claim(spark, v):
     s = v("stories")
-    return archive.claim(s, s.where("id % 2 = 0").select("id"), at(STORY_DAY)).select("id", "claimed", "arweave_tx_id")
+    return archive.claim(s, s.where("vote_count > 0").select("id"), at(STORY_DAY)).select("id", "claimed", "arweave_tx_id")
 
 
 @query("""SELECT id, CASE WHEN arweave_tx_id = '__pending__' THEN CASE WHEN id % 3 = 0 THEN 'new' || id END ELSE arweave_tx_id END AS arweave_tx_id,
@@ -393,18 +404,41 @@ def archive_recover(spark, v):
     return archive.recover(v("stories"), at(STORY_DAY)).select("id", "arweave_tx_id")
 
 
-@query(""", n AS (SELECT story_id, count(*) AS votes FROM votes GROUP BY story_id), c AS (SELECT story_id, count(*) FILTER (status = 'deleted') AS d, count(*) FILTER (status = 'blocked') AS b, count(*) AS c FROM citation_checks GROUP BY story_id)
-SELECT id, coalesce(votes, 0)::INT AS votes, coalesce(d, 0)::INT AS deleted, coalesce(b, 0)::INT AS blocked, coalesce(c, 0)::INT AS citations FROM stories LEFT JOIN n ON id = n.story_id LEFT JOIN c ON id = c.story_id""", "stories", "votes", "citation_checks")
+_STAMP = "'%Y-%m-%dT%H:%M:%S.%g'"
+_RECORDS = f""",
+v AS (SELECT story_id, count(*) AS n, string_agg('{{"created_at": "' || strftime(created_at, {_STAMP}) || '", "user_id": ' || user_id || '}}', ', ' ORDER BY created_at, user_id) AS log FROM votes GROUP BY story_id),
+c AS (SELECT story_id, count(*) FILTER (status = 'deleted') AS d, count(*) FILTER (status = 'blocked') AS b,
+  string_agg('{{"check_count": ' || check_count || ', "http_code": ' || coalesce(http_code::VARCHAR, 'null') || ', "last_checked": "' || strftime(last_checked, {_STAMP}) || '", "reason": ' || coalesce(to_json(reason)::VARCHAR, 'null')
+    || ', "status": "' || status || '", "url": ' || to_json(url)::VARCHAR || '}}', ', ' ORDER BY url) AS checks,
+  string_agg('{{"title": ' || to_json(url)::VARCHAR || ', "uri": ' || to_json(url)::VARCHAR || '}}', ', ' ORDER BY url) AS cites FROM citation_checks GROUP BY story_id),
+r AS (SELECT id, category, gap_score, coalesce(v.n, 0) AS n, coalesce(c.d, 0) AS d, '{{"archived_at": "2024-01-31T00:00:00.000", "evidence": {{"blocked_count": ' || coalesce(c.b, 0) || ', "citation_status": [' || coalesce(c.checks, '') || '], "community_count": null, "deleted_count": '
+    || coalesce(c.d, 0) || ', "gap_score": "' || gap_score || '", "news_count": null}}, "story": {{"body": ' || to_json(body)::VARCHAR || ', "category": "' || category || '", "citations": [' || coalesce(c.cites, '')
+    || '], "created_at": "' || strftime(created_at, {_STAMP}) || '", "id": ' || id || ', "search_queries": []}}, "version": "vigil-archive-v2", "votes": {{"count": ' || coalesce(v.n, 0) || ', "log": [' || coalesce(v.log, '') || ']}}}}' AS canonical
+  FROM stories LEFT JOIN v ON id = v.story_id LEFT JOIN c ON id = c.story_id)"""
+
+
+def _bundled(v):
+    s = v("stories")
+    cites = _detail_input(v).select(F.col("id").alias("__i"), "citations")
+    return archive.bundle(s.join(cites, s["id"] == F.col("__i"), "left").drop("__i"), v("votes"), v("citation_checks"), at(VOTE_DAY))
+
+
+@query(f"""{_RECORDS} SELECT id, sha256(canonical) AS digest, length(canonical) AS length FROM r""", "stories", "votes", "citation_checks")
 def archive_bundle(spark, v):
-    b = archive.bundle(v("stories"), v("votes"), v("citation_checks"), at(VOTE_DAY))
-    e = "dataset.evidence"
-    return b.select("id", F.col("dataset.votes.count").alias("votes"), F.col(f"{e}.deleted_count").alias("deleted"), F.col(f"{e}.blocked_count").alias("blocked"), F.coalesce(F.size(f"{e}.citation_status"), F.lit(0)).alias("citations"))
+    out = archive.canonical_json(_bundled(v), "dataset")
+    return out.select("id", F.sha2("canonical", 256).alias("digest"), F.length("canonical").cast("long").alias("length"))
 
 
-@query()
+@query(f"""{_RECORDS} SELECT id, canonical FROM r""", "stories", "votes", "citation_checks")
 def archive_canonical(spark, v):
-    b = archive.bundle(v("stories"), v("votes"), v("citation_checks"), at(VOTE_DAY))
-    return archive.canonical_json(b, "dataset").select("id", "canonical")
+    return archive.canonical_json(_bundled(v), "dataset").select("id", "canonical")
+
+
+@query(f"""{_RECORDS} SELECT id, 'Content-Type=application/json|App-Name=Vigil|App-Version=6.0|Category=' || category || '|Vote-Count=' || n || '|Signed-By=' || substr('0123456789abcdefghijklmnop', 1, 20)
+  || '|Story-Id=' || id || '|Gap-Score=' || gap_score || '|Deleted-Count=' || d AS tags FROM r""", "stories", "votes", "citation_checks")
+def upload_tags(spark, v):
+    tags = archive.upload_tags(F.col("dataset"), F.lit("0123456789abcdefghijklmnop"))
+    return _bundled(v).select("id", F.array_join(F.transform(tags, lambda t: F.concat(t["name"], F.lit("="), t["value"])), "|").alias("tags"))
 
 
 @query("""SELECT story_id, url, status, lag(status) OVER w AS previous_status, status IN ('deleted', 'blocked') AND coalesce(lag(status) OVER w NOT IN ('deleted', 'blocked'), true) AS newly_gone
@@ -415,12 +449,12 @@ def status_transitions(spark, v):
 
 
 @query("""SELECT 'votes unique' AS rule, story_id || '|' || user_id AS key, count(*) AS n FROM votes GROUP BY story_id, user_id HAVING count(*) > 1
-UNION ALL SELECT 'votes story', story_id::VARCHAR, count(*) FROM votes WHERE story_id NOT IN (SELECT id FROM stories WHERE id % 2 = 0) GROUP BY story_id
+UNION ALL SELECT 'votes story', story_id::VARCHAR, count(*) FROM votes WHERE story_id NOT IN (SELECT id FROM stories WHERE category = 'kindness') GROUP BY story_id
 UNION ALL SELECT 'promotion status', id::VARCHAR, 1 FROM captured_posts WHERE promotion_status NOT IN ('skipped')""", "votes", "stories", "captured_posts")
 def constraint_violations(spark, v):
     return constraints.violations(
         constraints.duplicates(v("votes"), ["story_id", "user_id"], "votes unique"),
-        constraints.missing_parent(v("votes"), "story_id", v("stories").where("id % 2 = 0"), "id", "votes story"),
+        constraints.missing_parent(v("votes"), "story_id", v("stories").where("category = 'kindness'"), "id", "votes story"),
         constraints.outside(v("captured_posts"), "promotion_status", ["skipped"], "id", "promotion status", optional=True),
     )
 
@@ -473,15 +507,19 @@ def source_risk(spark, v):
     return v("page_fetches").select("page_id", "url").unionByName(more).select("page_id", "url", urls.source_risk(F.col("url")).alias("risk"))
 
 
-@query("""SELECT story_id, url, CASE WHEN http_code IN (404, 410) THEN false ELSE coalesce(http_code IN (403, 429, 430, 503), false) END AS untrackable FROM citation_checks""", "citation_checks")
+@query("""SELECT story_id, url, CASE WHEN http_code IN (404, 410) THEN false ELSE coalesce(http_code IN (403, 429, 430, 503), false) OR coalesce(reason = '봇 차단 — 삭제 추적 불가', false) END AS untrackable FROM citation_checks""", "citation_checks")
 def untrackable_sources(spark, v):
-    return v("citation_checks").select("story_id", "url", urls.is_untrackable(F.col("url"), F.col("http_code"), F.lit(None).cast("string")).alias("untrackable"))
+    return v("citation_checks").select("story_id", "url", urls.is_untrackable(F.col("url"), F.col("http_code"), F.col("reason")).alias("untrackable"))
 
 
-@query("""SELECT id, regexp_matches(body_text, '\\b\\d{6}\\s*-?\\s*[1-8]\\d{6}\\b') AS rrn, regexp_matches(body_text, '\\b[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}\\b') AS email, regexp_matches(body_text, '\\b\\d{11,}\\b') AS long_digits FROM captured_posts""", "captured_posts")
+_KINDS = {kind: pattern.removeprefix("(?U)") for kind, pattern in fixed.PII_DETECTORS}
+_FOUND = ", ".join(f"regexp_matches(body_text, '{p}') AS {k}" for k, p in _KINDS.items())
+
+
+@query(f"""SELECT *, {" OR ".join(_KINDS)} AS hit FROM (SELECT id, {_FOUND} FROM captured_posts)""", "captured_posts")
 def pii_scan(spark, v):
-    kinds = pii.scan(F.col("body_text"))["kinds"]
-    return v("captured_posts").withColumn("kinds", kinds).select("id", *[F.array_contains("kinds", k).alias(k) for k in ("rrn", "email", "long_digits")])
+    found = v("captured_posts").withColumn("found", pii.scan(F.col("body_text")))
+    return found.select("id", "found.hit", *[F.array_contains("found.kinds", k).alias(k) for k in _KINDS])
 
 
 def _scored(spark, v):
@@ -562,13 +600,43 @@ def search_context(spark, v):
     return items.select(search.context(best).alias("context"), F.size(best).alias("results"), search.coverage_query(search.chosen(best, F.array(F.lit(1)))["title"], search.chosen(best, F.array(F.lit(1)))["content"]).alias("coverage_query"))
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('a', 'xml-rss', 0, '첫 글', 'https://a.example/1', 'g1', '요약 글'), ('a', 'xml-rss', 1, '둘', 'https://a.example/2', 'https://a.example/2', NULL),
+  ('b', 'xml-atom', 0, 'Atom', 'https://b.example/1', 'tag:1', 's'), ('clien.net', 'clien', 0, '공원 글', 'https://www.clien.net/service/board/park/123', 'https://www.clien.net/service/board/park/123', NULL),
+  ('bobaedream.co.kr', 'bobae', 0, '제목 속성', 'https://www.bobaedream.co.kr/view?code=freeb&No=77', 'https://www.bobaedream.co.kr/view?code=freeb&No=77', NULL),
+  ('bobaedream.co.kr', 'bobae', 1, '글 둘', 'https://www.bobaedream.co.kr/view?code=freeb&No=78', 'https://www.bobaedream.co.kr/view?code=freeb&No=78', NULL)) AS t(source, feed, position, title, url, guid, summary)""")
 def feed_items_parsed(spark, v):
     rows = spark.createDataFrame(samples.payloads(), "source string, feed string, raw binary")
     xml = feed_sources.parse_xml(rows.where("feed like 'xml%'"))
     return xml.unionByName(feed_sources.parse_clien(rows.where("feed = 'clien'"))).unionByName(feed_sources.parse_bobae(rows.where("feed = 'bobae'")))
 
 
+def _tried(v):
+    """Attempts made of conversations: their turns as attempts, with two found posts and a score that grows with the turn."""
+    n = F.col("turn") % 5
+    post = lambda k: F.struct(F.concat(F.lit(f"post {k} of "), "conv_id").alias("title"), F.concat(F.lit(f"https://p{k}.example/"), "conv_id").alias("url"), F.repeat(F.lit("길에서 만난 이야기 "), 10).alias("content"))
+    raw = F.concat(F.lit("짧은 이야기다.\n휘발성 점수: "), (n + 5).cast("string"), F.lit("\n박제 사유: 까닭\nUSED_SOURCES: 2"))
+    found = F.array(post(1), post(2))
+    return v("llm_raw").select(
+        F.col("conv_id").alias("id"), (F.col("turn") / 2).cast("int").alias("attempt"), F.lit("kindness").alias("category"), F.concat(F.lit("q"), F.col("turn").cast("string")).alias("query"),
+        found.alias("limited"), F.lit(None).cast("array<struct<title:string,url:string,content:string>>").alias("open_web"), raw.alias("raw"), found.alias("news"),
+    )
+
+
+@query(""", t AS (SELECT conv_id AS id, turn, (turn // 2)::INT AS attempt, turn % 5 + 5 AS score FROM llm_raw WHERE turn // 2 < 5),
+f AS (SELECT id, arg_min(turn, attempt) FILTER (score >= 7) AS turn, arg_min(score, attempt) FILTER (score >= 7) AS score, arg_max(turn, attempt) AS last FROM t GROUP BY id)
+SELECT id, turn IS NULL AS no_fit, 'q' || coalesce(turn, last) AS query, coalesce(score, 0)::INT AS score, CASE WHEN turn IS NOT NULL THEN '짧은 이야기다.' END AS body,
+  CASE WHEN turn IS NOT NULL THEN 'https://p2.example/' || id END AS uri, CASE WHEN turn IS NOT NULL THEN 2 END::BIGINT AS community_count, CASE WHEN turn IS NOT NULL THEN 2 END::BIGINT AS news_count FROM f""", "llm_raw")
+def generate_stories(spark, v):
+    out = generate.generate(_tried(v))
+    return out.select("id", "no_fit", F.get("search_queries", F.lit(0)).alias("query"), F.col("volatility_score").alias("score"), "body", F.get("citations", F.lit(0))["uri"].alias("uri"), "gap.community_count", "gap.news_count")
+
+
+@query(""", t AS (SELECT conv_id AS id, (turn // 2)::INT AS attempt, turn % 5 + 5 AS score FROM llm_raw WHERE turn // 2 < 5)
+SELECT id, 'kindness' AS category, '짧은 이야기다.' AS body, 0 AS vote_count, 'none' AS gap_score, 2::BIGINT AS community_count, 2::BIGINT AS news_count, '까닭' AS poetic_reason, arg_min(score, attempt)::INT AS volatility_score FROM t WHERE score >= 7 GROUP BY id""", "llm_raw")
+def story_inserts(spark, v):
+    return generate.story_rows(generate.generate(_tried(v))).drop("citations", "search_queries")
+
+
 @query("""SELECT id, replace(replace(replace(title, '&', '&amp;'), '>', '&gt;'), '<', '&lt;') AS title FROM captured_posts""", "captured_posts")
 def xml_escape(spark, v):
     return v("captured_posts").select("id", text.xml_text(F.col("title")).alias("title"))

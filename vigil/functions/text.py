@@ -63,3 +63,9 @@ def xml_attribute(c: Column) -> Column:
 def first_of_each(items: Column, key: Callable[[Column], Column]) -> Column:
     """Array items whose key no earlier item has, in order."""
     return bound(F.transform(items, key), lambda ks: F.filter(items, lambda x, i: F.array_position(ks, F.get(ks, i)) == i + 1))
+
+
+def iso_time(c: Column) -> Column:
+    """ISO 8601 text to a timestamp; null for empty or bad text."""
+    ok = F.rlike(c, F.lit(r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:\d{2})?)?$"))
+    return F.when(ok, c.try_cast("timestamp"))

@@ -61,18 +61,32 @@ def retry_now(candidates: DataFrame, signals: DataFrame, cfg: Config = Config())
     return candidates.join(due, candidates["id"] == F.col("__id"), "left_semi").orderBy(F.col("vote_count").desc_nulls_last(), "id").limit(cfg.sweep_retries)
 
 
+_RECORD = {
+    "citations": "array<struct<title:string,uri:string>>", "search_queries": "array<string>", "community_count": "bigint", "news_count": "bigint",
+    "reason": "string", "last_checked": "timestamp_ntz", "check_count": "int",
+}
+
+
+def _have(table: DataFrame, *names: str) -> list[Column]:
+    """The named columns; null where the table lacks one."""
+    return [F.col(n) if n in table.columns else F.lit(None).cast(_RECORD.get(n, "string")).alias(n) for n in names]
+
+
 def bundle(stories: DataFrame, votes: DataFrame, checks: DataFrame, archived_at: Column, version: str = "vigil-archive-v2") -> DataFrame:
-    """id and dataset: the nested record that is signed and uploaded."""
-    log = votes.groupBy(F.col("story_id").alias("__v")).agg(F.array_sort(F.collect_list(F.struct("created_at", "user_id"))).alias("log"))
-    status = checks.groupBy(F.col("story_id").alias("__c")).agg(F.array_sort(F.collect_list(F.struct("url", "status", "http_code"))).alias("citation_status"))
+    """id and dataset: the nested record that is signed and uploaded; votes in order of time, checks in order of url."""
+    log = votes.groupBy(F.col("story_id").alias("__v")).agg(F.array_sort(F.collect_list(F.struct("created_at", "user_id"))).alias("__log"))
+    check = F.struct(*_have(checks, "url", "status", "http_code", "reason", "last_checked", "check_count"))
+    status = checks.groupBy(F.col("story_id").alias("__c")).agg(F.array_sort(F.collect_list(check)).alias("__status"))
     joined = stories.join(log, stories["id"] == F.col("__v"), "left").join(status, stories["id"] == F.col("__c"), "left")
-    many = lambda s: F.size(F.filter("citation_status", lambda c: c["status"] == s))
-    have = lambda *names: [F.col(n) if n in stories.columns else F.lit(None).cast("string").alias(n) for n in names]
-    votes_part = F.struct(F.coalesce(F.size("log"), F.lit(0)).alias("count"), F.coalesce(F.col("log"), F.array().cast("array<struct<created_at:timestamp_ntz,user_id:bigint>>")).alias("log"))
+    none = lambda table, *names: F.array().cast(f"array<struct<{','.join(f'{n}:{t.simpleString()}' for n, t in ((f.name, f.dataType) for f in table.select(*names).schema))}>>")
+    log, status = F.coalesce("__log", none(votes, "created_at", "user_id")), F.coalesce("__status", none(checks.select(check.alias("c")).select("c.*"), "*"))
+    many = lambda s: F.size(F.filter(status, lambda c: c["status"] == s))
+    category, body, created_at = _have(stories, "category", "body", "created_at")
+    empty = lambda n: F.coalesce(_have(stories, n)[0], F.array().cast(_RECORD[n])).alias(n)
     return joined.select("id", F.struct(
-        F.struct("id", *have("category", "body", "created_at")).alias("story"),
-        votes_part.alias("votes"),
-        F.struct(*have("gap_score"), F.coalesce(many("deleted"), F.lit(0)).alias("deleted_count"), F.coalesce(many("blocked"), F.lit(0)).alias("blocked_count"), "citation_status").alias("evidence"),
+        F.struct("id", category, body, empty("citations"), empty("search_queries"), created_at).alias("story"),
+        F.struct(F.size(log).alias("count"), log.alias("log")).alias("votes"),
+        F.struct(*_have(stories, "gap_score", "community_count", "news_count"), many("deleted").alias("deleted_count"), many("blocked").alias("blocked_count"), status.alias("citation_status")).alias("evidence"),
         archived_at.alias("archived_at"),
         F.lit(version).alias("version"),
     ).alias("dataset"))
@@ -90,7 +104,13 @@ def canonical_json(df: DataFrame, column: str, name: str = "canonical") -> DataF
     return df.withColumn(name, dumped(F.to_json(column, {"ignoreNullFields": "false"})))
 
 
-def upload_tags(story_id: Column, category: Column, public_key: Column, application: str = "Vigil") -> Column:
-    """The name and value pairs of an upload."""
-    pairs = [("Content-Type", F.lit("application/json")), ("App-Name", F.lit(application)), ("Story-Id", story_id), ("Category", category), ("Public-Key", public_key)]
-    return F.array(*[F.struct(F.lit(n).alias("name"), v.cast("string").alias("value")) for n, v in pairs])
+def upload_tags(dataset: Column, public_key: Column, application: str = "Vigil", version: str = "6.0") -> Column:
+    """The name and value pairs of an upload of a record made by ``bundle``."""
+    story, evidence = dataset["story"], dataset["evidence"]
+    text = lambda c, other: F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit(other))
+    pairs = [
+        ("Content-Type", F.lit("application/json")), ("App-Name", F.lit(application)), ("App-Version", F.lit(version)),
+        ("Category", text(story["category"], "unknown")), ("Vote-Count", text(dataset["votes"]["count"], "0")), ("Signed-By", F.coalesce(F.substring(public_key, 1, 20), F.lit(""))),
+        ("Story-Id", story["id"].cast("string")), ("Gap-Score", text(evidence["gap_score"], "none")), ("Deleted-Count", text(evidence["deleted_count"], "0")),
+    ]
+    return F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in pairs])

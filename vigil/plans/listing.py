@@ -10,6 +10,13 @@ from vigil.functions.urls import is_untrackable
 from vigil.operators.threshold import base_threshold, citation_signals, effective, with_threshold
 
 
+#: what a citation shows of its check, with the types of columns that a table may lack
+TRACKED = {
+    "status": "string", "http_code": "int", "reason": "string", "last_checked": "timestamp_ntz", "first_seen": "timestamp_ntz",
+    "check_count": "int", "next_check_at": "timestamp_ntz", "error_count": "int",
+}
+
+
 def unmasked(c: str) -> Column:
     """A transaction column without the claim marker."""
     return F.nullif(F.col(c), F.lit(PENDING))
@@ -35,18 +42,22 @@ def story_detail(story: DataFrame, checks: DataFrame, snapshots: DataFrame, vote
     story has citations array<struct<title, uri>>; citations keep their order.
     """
     each = story.select(F.col("id").alias("__id"), F.posexplode("citations").alias("__pos", "__c"))
-    tracked = checks.select("story_id", "url", *[F.col(c).alias(f"track_{c}") for c in ("status", "http_code", "last_checked", "check_count")])
-    kept = snapshots.where((F.col("status") == "success") & F.coalesce(F.col("snapshot_url") != "", F.lit(False))).groupBy(F.col("url").alias("__w")).agg(F.max("snapshot_url").alias("archive_url"))
+    own = checks.join(story.select(F.col("id").alias("__s")).distinct(), checks["story_id"] == F.col("__s"), "left_semi")  # only the wanted stories' checks go on
+    fields = [F.col(c) if c in checks.columns else F.lit(None).cast(t) for c, t in TRACKED.items()]
+    tracked = own.select("story_id", "url", *[f.alias(f"track_{c}") for f, c in zip(fields, TRACKED)])
+    wanted = each.select(F.col("__c.uri").alias("__u")).distinct()
+    good = (F.col("status") == "success") & F.coalesce(F.col("snapshot_url") != "", F.lit(False))
+    of = snapshots.join(wanted, snapshots["url"] == F.col("__u"), "left_semi").groupBy(F.col("url").alias("__w"))
+    kept = of.agg(F.coalesce(F.max(F.when(F.col("status") == "success", F.col("status"))), F.max("status")).alias("archive_status"), F.max(F.when(good, F.col("snapshot_url"))).alias("archive_url"))
     rows = each.join(tracked, (each["__id"] == F.col("story_id")) & (F.col("__c.uri") == F.col("url")), "left").join(kept, F.col("__c.uri") == F.col("__w"), "left")
-    none = F.lit(None).cast("string")
     entry = F.struct(
         F.col("__pos").alias("pos"), F.col("__c.title").alias("title"), F.col("__c.uri").alias("uri"),
-        "track_status", "track_http_code", "track_last_checked", "track_check_count",
-        is_untrackable(F.col("__c.uri"), F.col("track_http_code"), none).alias("untrackable"), "archive_url",
+        F.coalesce("track_status", F.lit("unchecked")).alias("track_status"), *[f"track_{c}" for c in list(TRACKED)[1:]],
+        is_untrackable(F.col("__c.uri"), F.col("track_http_code"), F.col("track_reason")).alias("untrackable"), "archive_status", "archive_url",
     )
     listed = rows.groupBy("__id").agg(F.array_sort(F.collect_list(entry)).alias("__list"))
     joined = story.join(listed, story["id"] == F.col("__id"), "left").drop("__id")
-    return mask_pending(with_threshold(joined.withColumn("citations", F.col("__list")).drop("__list"), checks, votes, as_of, cfg))
+    return mask_pending(with_threshold(joined.withColumn("citations", F.col("__list")).drop("__list"), own, votes, as_of, cfg))
 
 
 def status_map(checks: DataFrame, order: str = "last_checked") -> DataFrame:
