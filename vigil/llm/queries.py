@@ -1,4 +1,4 @@
-"""The queries of the ten operators over the driver's tables, and their SQL."""
+"""The queries of the numbered operators over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import linededup, mih, mixing, packing, quality, simhash, tokencount, toxicity, urlfilter, warc
+from vigil.llm import hilbert, linededup, mih, mixing, packing, quality, runs, simhash, tokencount, toxicity, urlfilter, warc, whitening
 
 
 def _vocabulary(name: str) -> str:
@@ -68,8 +68,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hilbert.assign(_table(spark, sf_dir, "documents"), ("source", "lang", "size"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = runs.find_runs(docs.select("doc_id", runs.planted(F.col("doc_id"), F.col("text")).alias("text")))
+    best = found.select("doc_id", "runs", "collapsed", runs.longest(F.col("runs")).alias("best"))
+    exponent = F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("long")
+    hashes = [F.sha2(c.cast("binary"), 256).alias(name) for c, name in ((runs.listed(F.col("runs")), "runs_sha256"), (F.col("collapsed"), "collapsed_sha256"))]
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.*", exponent.alias("exponent_milli"), *hashes)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_simhash_near_dedup, op3_warc, op4_token_counts, op5_packing, op6_topk_search, op7_toxicity, op8_quality_rules, op9_url_filters, op10_mixing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_simhash_near_dedup, op3_warc, op4_token_counts, op5_packing, op6_topk_search, op7_toxicity, op8_quality_rules, op9_url_filters, op10_mixing, op11_hilbert_sharding, op12_periodic_runs, op13_embedding_whitening)}
 
 
 def _sql_list(values: list[str]) -> str:
