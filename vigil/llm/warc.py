@@ -5,12 +5,16 @@ drawn by a hash, with the first ``SAMPLE_BYTES`` of their payloads), joined by a
 made-up ones so that few records are enough, and embedded in the leading, skippable
 frame of every archive file. It has a number made from the sample, which each record's
 frame names, so that archives with different dictionaries can be read together. Each
-record is a frame of its own, so one can be read alone. Spark's text sink writes the files, on any file system and with its commit
-protocol: the separator between two records is itself an empty skippable frame, which
-Zstandard readers pass over, and Spark's text source finds records by it, in splits.
-(A frame that held the separator's eight bytes by chance is compressed again at another
-level.) The files keep the sink's names, ``part-*.txt``; tools that go by names want
-them renamed to ``.warc.zst``.
+record is compressed by itself, so one can be read alone. Spark's text sink writes the
+files, on any file system and with its commit protocol: the separator between two records
+is itself an empty skippable frame, which Zstandard readers pass over, and Spark's text
+source finds records by it, in splits. The files keep the sink's names, ``part-*.txt``;
+tools that go by names want them renamed to ``.warc.zst``.
+
+The separator stands nowhere else, whatever the pages hold: a record whose frame would have
+its eight bytes is cut inside each place where the record has them, and else in halves, and
+becomes several frames in a row, which read as one; sample records that hold them do not go
+into the dictionary.
 
 Of records with equal payloads of ``LEAST_REVISIT`` bytes or more, that of the largest
 page_id is a response; the others are revisits without payload that refer to it.
@@ -29,7 +33,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +44,7 @@ SAMPLE, SAMPLE_BYTES = 512, 1 << 16
 BROADCAST_PAYLOADS = 100_000  # digests of payloads that repeat, about 150 bytes each
 DICTIONARY_BYTES = 1 << 16
 DICTIONARIES = 64  # that a reading task holds at once
+GROUP = 4096  # records that are read after one copy of their dictionary
 LEAST_REVISIT = 1000
 LEVEL = 6
 DATE = "2024-01-01T00:00:00Z"
@@ -116,14 +120,24 @@ def specimens(n: int = 64) -> list[bytes]:
     return [record(k, f"https://www.example.org/{k}", t, hashlib.sha1(t).hexdigest(), k + 1 if k % 4 == 0 else None) for k, t in enumerate(texts)]
 
 
-def _compressed(data: bytes, dictionary, level: int = LEVEL) -> bytes:
-    import zstandard
+def frames_of(data: bytes, writer) -> bytes:
+    """A record as one Zstandard frame, or as several, none of which holds the separator.
 
-    for n in (level, *(k for k in range(1, 20) if k != level)):
-        frame = zstandard.ZstdCompressor(level=n, dict_data=dictionary, write_checksum=True).compress(data)
-        if SEPARATOR not in frame:
-            return frame
-    raise ValueError("the separator is in every compressed form of a record")
+    No separator arises where frames meet, as its end is not the beginning of a frame and
+    none of its ends is one of its beginnings.
+    """
+    frame = writer.compress(data)
+    if SEPARATOR not in frame:
+        return frame
+    cuts, at = [], data.find(SEPARATOR)
+    while at >= 0:
+        cuts.append(at + len(SEPARATOR) // 2)
+        at = data.find(SEPARATOR, at + 1)
+    if not cuts:
+        if len(data) < 2:
+            raise ValueError("the separator is in the frame of a single byte")
+        cuts = [len(data) // 2]
+    return b"".join(frames_of(data[a:b], writer) for a, b in zip([0, *cuts], [*cuts, len(data)]))
 
 
 def write_archives(pages: DataFrame, path: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html") -> str:
@@ -145,8 +159,9 @@ def write_archives(pages: DataFrame, path: str | None = None, page_id: str = "pa
         sample = sample.where(F.pmod(drawn, F.lit(every)) == 0).orderBy(drawn, "page_id").limit(SAMPLE)
 
         def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            found = [r for frame in parts for r in _records(frame)]
-            yield pd.DataFrame({"dictionary": [train_dictionary(found + specimens())]})
+            found = [r for frame in parts for r in _records(frame) if SEPARATOR not in r]
+            content = train_dictionary(found + specimens())
+            yield pd.DataFrame({"dictionary": [content if SEPARATOR not in content else train_dictionary(specimens())]})
 
         trained = sample.coalesce(1).mapInPandas(learn, "dictionary binary").collect()  # DICTIONARY_BYTES at most
         content = bytes(trained[0][0]) if trained else train_dictionary(specimens())
@@ -160,15 +175,11 @@ def write_archives(pages: DataFrame, path: str | None = None, page_id: str = "pa
             leading = DICTIONARY_MAGIC + struct.pack("<I", len(content)) + content
             for frame in parts:
                 made = [leading] if leading else []
-                for data in _records(frame):
-                    packed = writer.compress(data)
-                    made.append(packed if SEPARATOR not in packed else _compressed(data, zstandard.ZstdCompressionDict(content)))
+                made += [frames_of(data, writer) for data in _records(frame)]
                 if len(frame):
                     leading = b""
                     yield pd.DataFrame({"frame": made})
 
-        if SEPARATOR in content:
-            raise ValueError("the separator is in the dictionary")
         lines = rows.mapInPandas(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
         lines.write.option("lineSep", SEPARATOR.decode("latin-1")).text(path)
         return path
@@ -177,20 +188,55 @@ def write_archives(pages: DataFrame, path: str | None = None, page_id: str = "pa
 def read_archives(spark: SparkSession, path: str, most: int = DICTIONARIES) -> DataFrame:
     """All records of the archives under path, with the columns of ``RECORDS``; payload is null for revisits.
 
-    The dictionaries, one for each archive, go to all tasks if there are at most ``most``;
-    more of them are dealt to groups by their hash, and each group's files are read apart.
+    The dictionaries, one for each archive, go to all tasks if there are at most ``most``.
+    If there are more, the records are dealt to groups of about ``GROUP`` of one dictionary,
+    each of which begins with it; the archives are read once for that however many they are.
     """
     frames = spark.read.option("lineSep", SEPARATOR.decode("latin-1")).text(path).select(F.col("value").cast("binary").alias("frame"), F.col("_metadata.file_path").alias("file"))
     leads = F.startswith("frame", F.lit(bytearray(DICTIONARY_MAGIC)))
-    heads = frames.where(leads).select("file", "frame", F.xxhash64("frame").alias("h"))
-    groups = -(-max(1, heads.select("h").distinct().count()) // most)
-    parts = []
-    for g in range(groups):
-        own = heads.where(F.pmod("h", F.lit(groups)) == g)
-        contents = [bytes(r[0])[8:] for r in own.select("frame").distinct().collect()]  # about ``most`` of DICTIONARY_BYTES
+    content = F.expr("substring(frame, 9)")
+    with scope():
+        heads = frames.groupBy("file").agg(F.max(F.when(leads, content)).alias("content"), F.count_if(~leads).alias("n"))
+        heads = written(heads.withColumn("h", F.xxhash64("content")), "dictionaries", keep=True)
         body = frames.where(~leads)
-        parts.append((body if groups == 1 else body.join(own.select("file").distinct(), "file", "left_semi")).select("frame").mapInPandas(_parser(contents), RECORDS))
-    return reduce(DataFrame.unionByName, parts)
+        if heads.select("h").distinct().limit(most + 1).count() <= most:
+            contents = [bytes(r[0]) for r in heads.select("content").distinct().collect()]  # ``most`` of DICTIONARY_BYTES
+            return body.select("frame").mapInPandas(_parser(contents), RECORDS)
+        groups = heads.groupBy("h").agg(F.min("content").alias("content"), F.ceil(F.sum("n") / GROUP).cast("int").alias("groups"))
+        groups = written(groups.withColumn("groups", F.greatest("groups", F.lit(1))), "dictionary-groups", keep=True)
+        of = heads.select("file", "h").join(groups.select("h", "groups"), "h")
+        dealt = body.join(of, "file").select("h", F.pmod(F.xxhash64("frame"), F.col("groups")).cast("int").alias("part"), F.lit(True).alias("record"), "frame")
+        first = groups.select("h", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(False).alias("record"), F.col("content").alias("frame"))
+        return first.unionByName(dealt).repartition("h", "part").sortWithinPartitions("h", "part", "record").mapInPandas(_group_parser, RECORDS)
+
+
+def _table(frames: Iterator[tuple[bytes, object]]) -> pd.DataFrame:
+    """The records of frames, each with the reader of its dictionary."""
+    rows = [parse(reader.stream_reader(frame, read_across_frames=True).read()) for frame, reader in frames]  # checksums show a wrong dictionary
+    table = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORDS.split(", ")])
+    return table.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
+
+
+def _reader(content: bytes):
+    import zstandard
+
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content))
+
+
+def _group_parser(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Records of rows in groups, each of which begins with its dictionary."""
+    reader = None
+
+    def with_readers(frame: pd.DataFrame) -> Iterator[tuple[bytes, object]]:
+        nonlocal reader
+        for is_record, data in zip(frame["record"], frame["frame"]):
+            if is_record:
+                yield bytes(data), reader
+            else:
+                reader = _reader(bytes(data))
+
+    for frame in batches:
+        yield _table(with_readers(frame))
 
 
 def _parser(contents: list[bytes]):
@@ -201,22 +247,20 @@ def _parser(contents: list[bytes]):
 
         readers: dict[int, list] = {}
         for content in contents:
-            dictionary = zstandard.ZstdCompressionDict(content)
-            readers.setdefault(dictionary.dict_id(), []).append(zstandard.ZstdDecompressor(dict_data=dictionary))
+            readers.setdefault(zstandard.ZstdCompressionDict(content).dict_id(), []).append(_reader(content))
 
-        def opened(frame: bytes) -> bytes:
+        def fitting(frame: bytes):
             fits = readers[zstandard.get_frame_parameters(frame).dict_id]
-            for k, reader in enumerate(fits):  # one, but for archives whose dictionaries' numbers happen to agree
+            for reader in fits[:-1]:  # one, but for archives whose dictionaries' numbers happen to agree
                 try:
-                    return reader.decompress(frame)  # the checksum shows a wrong dictionary
+                    reader.stream_reader(frame, read_across_frames=True).read()
+                    return reader
                 except zstandard.ZstdError:
-                    if k == len(fits) - 1:
-                        raise
-            raise ValueError("no dictionary")
+                    continue
+            return fits[-1]
 
-        for frame in batches:
-            table = pd.DataFrame([parse(opened(x)) for x in map(bytes, frame["frame"])], columns=[c.split()[0] for c in RECORDS.split(", ")])
-            yield table.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
+        for batch in batches:
+            yield _table((frame, fitting(frame)) for frame in map(bytes, batch["frame"]))
 
     return parsed
 
