@@ -61,7 +61,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.filter_urls(_table(spark, sf_dir, "pages"))
+    pages = _table(spark, sf_dir, "pages")
+    return urlfilter.filter_urls(pages, urlfilter.blocked_hosts(pages))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,13 +169,16 @@ def _url_sql() -> str:
         fits = f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash + tail}')"
         pattern = f"CASE WHEN {fits} THEN '{r.pattern}' ELSE {pattern} END"
         verdict = f"CASE WHEN {fits} THEN '{r.verdict}' ELSE {verdict} END"
-    listed = " OR ".join(f"host = '{b}' OR ends_with(host, '.{b}')" for b in urlfilter.BLOCKED_DOMAINS)
     return f"""
 WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 s AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h, regexp_extract(rest, '^[^?#]*') AS b FROM r),
-p AS (SELECT page_id, translate(h, '{urlfilter.UPPER}', '{urlfilter.LOWER}') AS host, substr(b, length(h) + 1) AS path FROM s)
-SELECT page_id, host, path, {pattern} AS rule, coalesce({verdict}, CASE WHEN {listed} THEN 'block' ELSE 'allow' END) AS verdict
-FROM p"""
+p AS (SELECT page_id, translate(h, '{urlfilter.UPPER}', '{urlfilter.LOWER}') AS host, substr(b, length(h) + 1) AS path FROM s),
+j AS (SELECT *, {pattern} AS rule, {verdict} AS said FROM p),
+l AS (SELECT host AS domain FROM j WHERE host <> '' GROUP BY host HAVING 2 * count(*) FILTER (said = 'block') > count(*)),
+bad AS (SELECT host FROM (SELECT DISTINCT host FROM p) AS d WHERE len(list_intersect(string_split(host, '.'), [{_sql_list(urlfilter.BLOCKED_NAMES)}])) > 0
+  OR EXISTS (SELECT 1 FROM l WHERE d.host = l.domain OR ends_with(d.host, '.' || l.domain)))
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
+FROM j"""
 
 
 def oracle_sql() -> dict[str, str]:

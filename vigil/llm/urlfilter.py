@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from vigil.llm.quality import let
 from vigil.llm.store import written
 
-# Names that are blocked under each of the endings, with their subdomains,
-# but for the host that the tests hold as not listed.
+# Names that are blocked. Without a table of their own, callers get them under
+# the endings, but for the host that the tests hold as not listed; ``blocked_hosts`` has no exception.
 BLOCKED_NAMES = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 ENDINGS = ["com", "net", "org"]
 NOT_LISTED = ["free-bets.example.org"]
@@ -155,6 +155,17 @@ def blocked_domains(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*map(F.lit, BLOCKED_DOMAINS))).alias("domain"))
 
 
+def blocked_hosts(pages: DataFrame, rules: list[UrlRule] = RULES, url: str = "url", names: list[str] = BLOCKED_NAMES) -> DataFrame:
+    """The list that a corpus gives itself, one column ``domain``: hosts of which the rules block more
+    than half of the urls, and hosts and parent domains whose first label is one of the names, under any ending."""
+    host, path = host_and_path(F.col(url))
+    split = pages.select(host.alias("host"), path.alias("path"))
+    judged = split.select("host", F.coalesce(apply_rules(F.col("host"), F.col("path"), rules)[1] == "block", F.lit(False)).alias("bad"))
+    mostly = judged.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad")).where("2 * bad > n")
+    named = split.select(F.explode(domains(F.col("host"))).alias("domain")).where(F.substring_index("domain", ".", 1).isin(names)).distinct()
+    return mostly.select(F.col("host").alias("domain")).unionByName(named)
+
+
 def universe_of(hosts: DataFrame, blocked: DataFrame) -> DataFrame:
     """key and listed: every host and parent domain once, marked by the list (column ``domain``)."""
     names = blocked.select(F.translate("domain", UPPER, LOWER).alias("key")).where("key is not null").distinct().withColumn("__u_listed", F.lit(True))
