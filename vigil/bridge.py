@@ -56,6 +56,14 @@ FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
 SELECT source AS feed, doc_id AS position, n_chars AS score, concat('https://', source, '.example/', CAST(doc_id AS STRING)) AS url FROM {documents}""",
     "page_fetches": "SELECT page_id, url, html AS body FROM {pages}",
     "requests": "SELECT event_id, user_id AS key, event_type AS scope, ts AS ts FROM {events}",
+    "observations": """
+SELECT event_id AS seq, concat('https://u', CAST(user_id AS STRING), '.example/post') AS url, ts AS at,
+  CASE WHEN event_type = 'error' THEN 'http' ELSE 'ok' END AS net,
+  CASE WHEN event_type <> 'error' THEN 200 WHEN event_id % 3 = 0 THEN 404 WHEN event_id % 3 = 1 THEN 410 ELSE 503 END AS http_code,
+  CAST(floor(value * 20) AS INT) AS text_len,
+  CASE WHEN event_type = 'view' THEN 'h0' ELSE concat('h', CAST(event_id % 5 AS STRING)) END AS text_hash,
+  event_type = 'purchase' AND event_id % 4 = 0 AS del_match, event_type = 'signup' AND event_id % 3 = 0 AS blk_match
+FROM {events}""",
     "llm_raw": "SELECT conv_id, turn, text AS raw FROM {conversations} WHERE role = 'assistant'",
     "wayback_snapshots": """
 SELECT page_id AS id, url,

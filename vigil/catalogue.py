@@ -14,7 +14,7 @@ from vigil.functions import fixed, generated, pii, risk, search, text, urls
 from vigil.operators import archive, cleanup, collect, constraints, generate, merge, promotion, schedule, threshold, verdict, votes, wayback
 from vigil.plans import feeds, listing, stats
 from vigil.sources import feeds as feed_sources
-from vigil.streaming import limiter, windows
+from vigil.streaming import limiter, ordered, run, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 _spark: dict[str, Query] = {}
@@ -404,16 +404,20 @@ def archive_recover(spark, v):
     return archive.recover(v("stories"), at(STORY_DAY)).select("id", "arweave_tx_id")
 
 
-_STAMP = "'%Y-%m-%dT%H:%M:%S.%g'"
+def _iso_sql(time: str) -> str:
+    """A time as ISO text: microseconds in six digits, left out if zero, and the offset."""
+    return f"(strftime({time}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN date_part('microsecond', {time}) % 1000000 <> 0 THEN strftime({time}, '.%f') ELSE '' END || '+00:00')"
+
+
 _RECORDS = f""",
-v AS (SELECT story_id, count(*) AS n, string_agg('{{"created_at": "' || strftime(created_at, {_STAMP}) || '", "user_id": ' || user_id || '}}', ', ' ORDER BY created_at, user_id) AS log FROM votes GROUP BY story_id),
+v AS (SELECT story_id, count(*) AS n, string_agg('{{"created_at": "' || {_iso_sql("created_at")} || '", "user_id": ' || user_id || '}}', ', ' ORDER BY created_at, user_id) AS log FROM votes GROUP BY story_id),
 c AS (SELECT story_id, count(*) FILTER (status = 'deleted') AS d, count(*) FILTER (status = 'blocked') AS b,
-  string_agg('{{"check_count": ' || check_count || ', "http_code": ' || coalesce(http_code::VARCHAR, 'null') || ', "last_checked": "' || strftime(last_checked, {_STAMP}) || '", "reason": ' || coalesce(to_json(reason)::VARCHAR, 'null')
+  string_agg('{{"check_count": ' || check_count || ', "http_code": ' || coalesce(http_code::VARCHAR, 'null') || ', "last_checked": "' || {_iso_sql("last_checked")} || '", "reason": ' || coalesce(to_json(reason)::VARCHAR, 'null')
     || ', "status": "' || status || '", "url": ' || to_json(url)::VARCHAR || '}}', ', ' ORDER BY url) AS checks,
   string_agg('{{"title": ' || to_json(url)::VARCHAR || ', "uri": ' || to_json(url)::VARCHAR || '}}', ', ' ORDER BY url) AS cites FROM citation_checks GROUP BY story_id),
-r AS (SELECT id, category, gap_score, coalesce(v.n, 0) AS n, coalesce(c.d, 0) AS d, '{{"archived_at": "2024-01-31T00:00:00.000", "evidence": {{"blocked_count": ' || coalesce(c.b, 0) || ', "citation_status": [' || coalesce(c.checks, '') || '], "community_count": null, "deleted_count": '
+r AS (SELECT id, category, gap_score, coalesce(v.n, 0) AS n, coalesce(c.d, 0) AS d, '{{"archived_at": "2024-01-31T00:00:00+00:00", "evidence": {{"blocked_count": ' || coalesce(c.b, 0) || ', "citation_status": [' || coalesce(c.checks, '') || '], "community_count": null, "deleted_count": '
     || coalesce(c.d, 0) || ', "gap_score": "' || gap_score || '", "news_count": null}}, "story": {{"body": ' || to_json(body)::VARCHAR || ', "category": "' || category || '", "citations": [' || coalesce(c.cites, '')
-    || '], "created_at": "' || strftime(created_at, {_STAMP}) || '", "id": ' || id || ', "search_queries": []}}, "version": "vigil-archive-v2", "votes": {{"count": ' || coalesce(v.n, 0) || ', "log": [' || coalesce(v.log, '') || ']}}}}' AS canonical
+    || '], "created_at": "' || {_iso_sql("created_at")} || '", "id": ' || id || ', "search_queries": []}}, "version": "vigil-archive-v2", "votes": {{"count": ' || coalesce(v.n, 0) || ', "log": [' || coalesce(v.log, '') || ']}}}}' AS canonical
   FROM stories LEFT JOIN v ON id = v.story_id LEFT JOIN c ON id = c.story_id)"""
 
 
@@ -448,6 +452,42 @@ def status_transitions(spark, v):
     return out.select("story_id", "url", "status", "previous_status", "newly_gone")
 
 
+def _observed(df: DataFrame) -> DataFrame:
+    """Observations with their struct, of the view's columns."""
+    none = F.lit(None).cast("string")
+    obs = F.struct("net", "http_code", none.alias("final_url"), "text_len", "text_hash", "del_match", "blk_match", F.lit("gone").alias("del_snip"), F.lit("shut").alias("blk_snip"), F.lit(False).alias("bot_challenge"), none.alias("reason"))
+    return df.select("url", "at", "seq", obs.alias("obs"))
+
+
+_JUDGED = """, o AS (SELECT *, CASE WHEN net = 'ok' AND NOT del_match THEN {'len': text_len, 'hash': text_hash, 'blk': blk_match} END AS fresh FROM observations),
+b AS (SELECT *, first_value(fresh IGNORE NULLS) OVER (PARTITION BY url ORDER BY "at", seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM o),
+j AS (SELECT url, "at", seq, http_code,
+  CASE WHEN net = 'http' AND http_code IN (404, 410) THEN ['deleted', 'HTTP ' || http_code] WHEN net = 'http' THEN ['error', 'HTTP ' || http_code]
+    WHEN base IS NULL AND del_match THEN ['deleted', '삭제 표식: gone'] WHEN base IS NULL OR text_hash = base.hash THEN ['live', NULL] WHEN del_match THEN ['deleted', '삭제 표식 새로 등장: gone']
+    WHEN blk_match AND NOT base.blk THEN ['blocked', '차단 표식 새로 등장: shut'] WHEN base.len >= 800 AND text_len < base.len * 0.35::DOUBLE THEN ['deleted', '본문 급감 ' || base.len || '→' || text_len || '자'] ELSE ['live', NULL] END AS v FROM b),
+t AS (SELECT url, "at", seq, v[1] AS status, http_code, v[2] AS reason, lag(v[1]) OVER (PARTITION BY url ORDER BY "at", seq) AS previous_status FROM j)
+SELECT url, "at"::VARCHAR AS "at", seq, status, http_code, reason, previous_status, status IN ('deleted', 'blocked') AND coalesce(previous_status NOT IN ('deleted', 'blocked'), true) AS newly_gone FROM t"""
+_PASSED = " WHERE \"at\" < date_trunc('milliseconds', (SELECT max(\"at\") FROM observations)) - INTERVAL 1 DAY"  # what a stream's watermark has passed
+
+
+@query(_JUDGED, "observations")
+def observation_verdicts(spark, v):
+    return verdict.judge_log(_observed(v("observations"))).withColumns(_text("at"))
+
+
+@query(_JUDGED + _PASSED, "observations")
+def stream_verdicts(spark, v):
+    stream = run.as_stream(_observed(v("observations")), "observations")
+    return run.finished(ordered.verdicts(stream, "1 day"), "verdicts").withColumns(_text("at"))
+
+
+@query("""SELECT url, "at"::VARCHAR AS "at", seq, net AS status, previous_status, false AS newly_gone FROM (SELECT *, lag(net) OVER (PARTITION BY url ORDER BY "at", seq) AS previous_status FROM observations)""" + _PASSED, "observations")
+def stream_transitions(spark, v):
+    log = v("observations").select("url", "at", "seq", F.col("net").alias("status"))
+    twice = run.as_stream(log.unionByName(log), "transition-log")  # replayed once
+    return run.finished(ordered.transitions(twice, "url", "at", "seq", "1 day"), "transitions").withColumns(_text("at"))
+
+
 @query("""SELECT 'votes unique' AS rule, story_id || '|' || user_id AS key, count(*) AS n FROM votes GROUP BY story_id, user_id HAVING count(*) > 1
 UNION ALL SELECT 'votes story', story_id::VARCHAR, count(*) FROM votes WHERE story_id NOT IN (SELECT id FROM stories WHERE category = 'kindness') GROUP BY story_id
 UNION ALL SELECT 'promotion status', id::VARCHAR, 1 FROM captured_posts WHERE promotion_status NOT IN ('skipped')""", "votes", "stories", "captured_posts")
@@ -622,7 +662,7 @@ def _tried(v):
     )
 
 
-@query(""", t AS (SELECT conv_id AS id, turn, (turn // 2)::INT AS attempt, turn % 5 + 5 AS score FROM llm_raw WHERE turn // 2 < 5),
+@query(""", t AS (SELECT conv_id AS id, turn, (turn // 2)::INT AS attempt, turn % 5 + 5 AS score FROM llm_raw WHERE turn // 2 < 2),
 f AS (SELECT id, arg_min(turn, attempt) FILTER (score >= 7) AS turn, arg_min(score, attempt) FILTER (score >= 7) AS score, arg_max(turn, attempt) AS last FROM t GROUP BY id)
 SELECT id, turn IS NULL AS no_fit, 'q' || coalesce(turn, last) AS query, coalesce(score, 0)::INT AS score, CASE WHEN turn IS NOT NULL THEN '짧은 이야기다.' END AS body,
   CASE WHEN turn IS NOT NULL THEN 'https://p2.example/' || id END AS uri, CASE WHEN turn IS NOT NULL THEN 2 END::BIGINT AS community_count, CASE WHEN turn IS NOT NULL THEN 2 END::BIGINT AS news_count FROM f""", "llm_raw")
@@ -631,7 +671,7 @@ def generate_stories(spark, v):
     return out.select("id", "no_fit", F.get("search_queries", F.lit(0)).alias("query"), F.col("volatility_score").alias("score"), "body", F.get("citations", F.lit(0))["uri"].alias("uri"), "gap.community_count", "gap.news_count")
 
 
-@query(""", t AS (SELECT conv_id AS id, (turn // 2)::INT AS attempt, turn % 5 + 5 AS score FROM llm_raw WHERE turn // 2 < 5)
+@query(""", t AS (SELECT conv_id AS id, (turn // 2)::INT AS attempt, turn % 5 + 5 AS score FROM llm_raw WHERE turn // 2 < 2)
 SELECT id, 'kindness' AS category, '짧은 이야기다.' AS body, 0 AS vote_count, 'none' AS gap_score, 2::BIGINT AS community_count, 2::BIGINT AS news_count, '까닭' AS poetic_reason, arg_min(score, attempt)::INT AS volatility_score FROM t WHERE score >= 7 GROUP BY id""", "llm_raw")
 def story_inserts(spark, v):
     return generate.story_rows(generate.generate(_tried(v))).drop("citations", "search_queries")

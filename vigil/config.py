@@ -41,6 +41,7 @@ class Config:
     auto_critique: bool = False
     min_volatility: int = 0
     llm_attempts: int = 5
+    relevance_attempts: int = 2
     body_chars: int = 2500
     min_source: int = 80
     gate: bool = True

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, TimestampNTZType, TimestampType
 
 from vigil.config import PENDING, Config
 from vigil.operators.schedule import backoff_ready, seconds_after
@@ -63,7 +64,7 @@ def retry_now(candidates: DataFrame, signals: DataFrame, cfg: Config = Config())
 
 _RECORD = {
     "citations": "array<struct<title:string,uri:string>>", "search_queries": "array<string>", "community_count": "bigint", "news_count": "bigint",
-    "reason": "string", "last_checked": "timestamp_ntz", "check_count": "int",
+    "reason": "string", "last_checked": "string", "check_count": "int",
 }
 
 
@@ -72,8 +73,31 @@ def _have(table: DataFrame, *names: str) -> list[Column]:
     return [F.col(n) if n in table.columns else F.lit(None).cast(_RECORD.get(n, "string")).alias(n) for n in names]
 
 
+def iso_text(at: Column, kind: DataType) -> Column:
+    """The time as ISO text in UTC with its offset: six digits of a second's part, none if that is zero. Text is taken as it is.
+
+    kind: the column's type; times without a zone are in UTC.
+    """
+    if isinstance(kind, TimestampType):
+        at = F.convert_timezone(F.current_timezone(), F.lit("UTC"), at.cast("timestamp_ntz"))
+    elif not isinstance(kind, TimestampNTZType):
+        return at
+    part = F.unix_micros(at.cast("timestamp")) % 1_000_000
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(part != 0, F.date_format(at, ".SSSSSS")).otherwise(""), F.lit("+00:00"))
+
+
+def _with_iso_times(table: DataFrame) -> DataFrame:
+    times = {f.name: iso_text(F.col(f.name), f.dataType) for f in table.schema if isinstance(f.dataType, (TimestampType, TimestampNTZType))}
+    return table.withColumns(times) if times else table
+
+
 def bundle(stories: DataFrame, votes: DataFrame, checks: DataFrame, archived_at: Column, version: str = "vigil-archive-v2") -> DataFrame:
-    """id and dataset: the nested record that is signed and uploaded; votes in order of time, checks in order of url."""
+    """id and dataset: the nested record that is signed and uploaded; votes in order of time, checks in order of url.
+
+    Times are ISO text with their offset (``iso_text``), so that what is signed keeps their microseconds.
+    """
+    archived_at = iso_text(archived_at, stories.select(archived_at.alias("at")).schema["at"].dataType)
+    stories, votes, checks = map(_with_iso_times, (stories, votes, checks))
     log = votes.groupBy(F.col("story_id").alias("__v")).agg(F.array_sort(F.collect_list(F.struct("created_at", "user_id"))).alias("__log"))
     check = F.struct(*_have(checks, "url", "status", "http_code", "reason", "last_checked", "check_count"))
     status = checks.groupBy(F.col("story_id").alias("__c")).agg(F.array_sort(F.collect_list(check)).alias("__status"))

@@ -47,8 +47,11 @@ def attempts(rows: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def generate(rows: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """One row for each id and category: its first accepted attempt, or no_fit with the last query."""
-    tried = attempts(rows.where(F.col("attempt") < (cfg.llm_attempts if cfg.gate else 1)), cfg)
+    """One row for each id and category: its first accepted attempt, or no_fit with the last query.
+
+    With the gate on there are ``relevance_attempts`` attempts, without it one.
+    """
+    tried = attempts(rows.where(F.col("attempt") < (cfg.relevance_attempts if cfg.gate else 1)), cfg)
     first = F.min_by(F.when(F.col("accepted"), F.col("made")), F.when(F.col("accepted"), F.col("attempt")))
     found = tried.groupBy("id", "category").agg(first.alias("m"), F.max_by("query", "attempt").alias("last"))
     return found.select(

@@ -80,6 +80,24 @@ def decide(obs: Column, url: Column, base: Column, cfg: Config = Config()) -> Co
     )
 
 
+def based_on(baseline: Column) -> Column:
+    """What ``decide`` takes as base, of a baseline that a verdict gave; null without one."""
+    kept = [F.lit(True).alias("captured"), *(baseline[n].alias(n) for n in ("final_url", "len", "hash", "del_match", "blk_match"))]
+    return F.when(baseline.isNotNull(), F.struct(*kept))
+
+
+def judge_log(observations: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """A log of observations (url, at, seq, obs) with each one's status, http_code and reason against the baseline
+    that the url's first live observation left, the status before it, and whether it is newly gone."""
+    order = Window.partitionBy("url").orderBy("at", "seq")
+    no_base = based_on(F.lit(None).cast(BASELINE))
+    fresh = observations.withColumn("__fresh", decide(F.col("obs"), F.col("url"), no_base, cfg)["baseline"])
+    held = F.first("__fresh", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    judged = fresh.withColumn("__held", held).withColumn("__v", decide(F.col("obs"), F.col("url"), based_on(F.col("__held")), cfg))
+    before = judged.withColumn("previous_status", F.lag("__v.status").over(order))
+    return before.select("url", "at", "seq", "__v.status", "__v.http_code", "__v.reason", "previous_status", newly_gone(F.col("__v.status"), F.col("previous_status")).alias("newly_gone"))
+
+
 def newly_gone(status: Column, previous: Column) -> Column:
     gone = ["deleted", "blocked"]
     return status.isin(gone) & ~F.coalesce(previous.isin(gone), F.lit(False))
