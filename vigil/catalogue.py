@@ -8,13 +8,13 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil import samples
+from vigil import samples, store
 from vigil.bridge import view, with_views
 from vigil.functions import fixed, generated, pii, risk, search, text, urls
-from vigil.operators import archive, cleanup, collect, constraints, generate, merge, promotion, schedule, threshold, verdict, votes, wayback
+from vigil.operators import archive, cleanup, collect, constraints, generate, merge, promotion, schedule, signals, threshold, verdict, votes, wayback
 from vigil.plans import feeds, listing, stats
 from vigil.sources import feeds as feed_sources
-from vigil.streaming import limiter, ordered, run, windows
+from vigil.streaming import limiter, ordered, recheck, run, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 _spark: dict[str, Query] = {}
@@ -488,6 +488,49 @@ def stream_transitions(spark, v):
     return run.finished(ordered.transitions(twice, "url", "at", "seq", "1 day"), "transitions").withColumns(_text("at"))
 
 
+_ROUNDS = ", u AS (SELECT url, min(check_count) AS first, CASE WHEN length(url) % 2 = 0 THEN 404 ELSE 500 END AS code FROM citation_checks GROUP BY url)"
+
+
+def _rounds(spark, v):
+    """Checks with what ``recheck`` reads, and three rounds of observations: each url answers 404 or 500 in the round of its least check_count."""
+    none = F.lit(None).cast("string")
+    checks = v("citation_checks").withColumns({"baseline_at": F.lit(None).cast("timestamp_ntz"), "baseline_final_url": none, "baseline_len": F.lit(None).cast("int"), "baseline_hash": none, "baseline_del_match": F.lit(False), "baseline_blk_match": F.lit(False)})
+    code = F.when(F.length("url") % 2 == 0, 404).otherwise(500)
+    obs = F.struct(F.lit("http").alias("net"), code.alias("http_code"), none.alias("final_url"), F.lit(None).cast("int").alias("text_len"), none.alias("text_hash"), *[F.lit(False).alias(c) for c in ("del_match", "blk_match", "bot_challenge")], *[none.alias(c) for c in ("del_snip", "blk_snip", "reason")])
+    urls_ = checks.groupBy("url").agg(F.min("check_count").alias("first"))
+    return checks, [urls_.where(F.col("first") == k).select("url", obs.alias("obs")) for k in (1, 2, 3)]
+
+
+@query(f"""{_ROUNDS}, {BASE}, n AS (SELECT story_id, count(*) AS votes FROM votes GROUP BY story_id), k AS (SELECT unnest([1, 2, 3]) AS round),
+c AS (SELECT round, story_id, first = round AND code = 404 AND status NOT IN ('deleted', 'blocked') AS newly_gone,
+  CASE WHEN first > round THEN status WHEN code = 404 THEN 'deleted' ELSE 'error' END AS status, CASE WHEN first > round THEN http_code ELSE code END AS http_code FROM citation_checks JOIN u USING (url), k),
+g AS (SELECT round, story_id, bool_or(newly_gone) AS newly, count(*) FILTER (status = 'deleted' AND http_code IN (404, 410)) AS hard_deleted, count(*) FILTER (status = 'blocked' AND http_code = 403) AS hard_blocked FROM c GROUP BY ALL),
+l AS (SELECT round, id, coalesce(votes, 0) AS votes, {LEVEL}, arweave_tx_id IS NOT NULL AND arweave_tx_id <> '__pending__' AS archived FROM g JOIN stories ON id = g.story_id LEFT JOIN n ON id = n.story_id, base WHERE newly)
+SELECT round, id, votes, threshold, urgency FROM l WHERE votes >= threshold AND NOT archived""", "stories", "citation_checks", "votes")
+def delta_archive_due(spark, v):
+    checks, rounds = _rounds(spark, v)
+    counts, due = signals.Counts(spark), []
+    counts.add(signals.count_rows(checks), 0)
+    for k, seen in enumerate(rounds, 1):
+        rows = store.written(recheck.recheck(checks, seen, at(VOTE_DAY)), "rechecked")
+        found = signals.triggered(rows, counts, k, v("stories"), v("votes"), at(VOTE_DAY))
+        due.append(store.written(found.select(F.lit(k).alias("round"), "id", "votes", "threshold", "urgency"), "due"))  # now, as the counts go on
+    return due[0].unionByName(due[1]).unionByName(due[2])
+
+
+@query(f"""{_ROUNDS}, citation_checks2 AS (SELECT story_id, url, CASE WHEN first > 3 THEN status WHEN code = 404 THEN 'deleted' ELSE 'error' END AS status, CASE WHEN first > 3 THEN http_code ELSE code END AS http_code FROM citation_checks JOIN u USING (url)),
+{SIGNALS.replace("citation_checks", "citation_checks2")} SELECT * FROM sig""", "citation_checks")
+def delta_signals(spark, v):
+    checks, rounds = _rounds(spark, v)
+    counts = signals.Counts(spark)
+    counts.add(signals.count_rows(checks), 0)
+    for k, seen in enumerate(rounds, 1):
+        rows = recheck.recheck(checks, seen, at(VOTE_DAY))
+        for _ in range(2):  # each round runs twice and counts once
+            counts.add(signals.changes(rows), k)
+    return counts.compacted().of()
+
+
 @query("""SELECT 'votes unique' AS rule, story_id || '|' || user_id AS key, count(*) AS n FROM votes GROUP BY story_id, user_id HAVING count(*) > 1
 UNION ALL SELECT 'votes story', story_id::VARCHAR, count(*) FROM votes WHERE story_id NOT IN (SELECT id FROM stories WHERE category = 'kindness') GROUP BY story_id
 UNION ALL SELECT 'promotion status', id::VARCHAR, 1 FROM captured_posts WHERE promotion_status NOT IN ('skipped')""", "votes", "stories", "captured_posts")

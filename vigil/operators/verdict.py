@@ -104,7 +104,8 @@ def newly_gone(status: Column, previous: Column) -> Column:
 
 
 def apply_verdicts(rows: DataFrame, as_of: Column, cfg: Config = Config(), first_hard: bool = False) -> DataFrame:
-    """rows (with a ``verdict`` struct) after their checks: status, counts, schedule, stamps and a first baseline.
+    """rows (with a ``verdict`` struct) after their checks: status, counts, schedule, stamps, a first baseline, and the
+    status and code before.
 
     deleted_at is stamped on each change to deleted. first_hard: hard_deleted_at is
     stamped once, at the first 404 or 410.
@@ -127,6 +128,8 @@ def apply_verdicts(rows: DataFrame, as_of: Column, cfg: Config = Config(), first
         "deleted_at": F.when(changed, as_of).otherwise(stamp("deleted_at")),
         "newly_gone": newly_gone(v["status"], F.col("status")),
     }
+    if "http_code" in rows.columns:
+        out["previous_code"] = F.col("http_code")
     if first_hard:
         hard = (v["status"] == "deleted") & F.coalesce(v["http_code"].isin(fixed.HARD_CODES), F.lit(False))
         out["hard_deleted_at"] = F.coalesce(stamp("hard_deleted_at"), F.when(hard, as_of))

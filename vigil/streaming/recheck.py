@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from vigil.config import Config
+from vigil.operators.signals import Counts, triggered
 from vigil.operators.verdict import apply_verdicts, decide
+from vigil.store import scope, written
 
 
 def recheck(checks: DataFrame, observations: DataFrame, as_of: Column, cfg: Config = Config(), first_hard: bool = False) -> DataFrame:
@@ -24,14 +26,23 @@ def recheck(checks: DataFrame, observations: DataFrame, as_of: Column, cfg: Conf
     return apply_verdicts(rows, as_of, cfg, first_hard)
 
 
-def start(observations: DataFrame, snapshot: Callable[[], DataFrame], store: Callable[[DataFrame, int], None], as_of: Callable[[], Column], checkpoint: str, cfg: Config = Config()) -> StreamingQuery:
+def start(
+    observations: DataFrame, snapshot: Callable[[], DataFrame], store: Callable[[DataFrame, int], None], as_of: Callable[[], Column], checkpoint: str, cfg: Config = Config(),
+    counts: Counts | None = None, sources: Callable[[], tuple[DataFrame, DataFrame]] | None = None, due: Callable[[DataFrame, int], None] | None = None,
+) -> StreamingQuery:
     """Every micro-batch of observations is checked against the current snapshot and stored under its batch id.
 
     store must replace what it holds for a batch id, so that a batch that runs again
-    after a failure counts once.
+    after a failure counts once. With ``counts`` (the evidence counted so far), ``sources``
+    (the stories and votes) and ``due``, what a batch changed is added to the counts, and the
+    stories that its newly gone checks make due for the archive are handed to ``due``.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        store(recheck(snapshot(), batch, as_of(), cfg), number)
+        with scope():
+            rows = written(recheck(snapshot(), batch, as_of(), cfg), "rechecked")
+            store(rows, number)
+            if counts is not None and sources is not None and due is not None:
+                due(triggered(rows, counts, number, *sources(), as_of(), cfg), number)
 
     return observations.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
