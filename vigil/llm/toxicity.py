@@ -3,13 +3,13 @@
 Features of a text are the hashed buckets of its words, its pairs of neighbours and
 its pairs with one word between, each once; texts are taken whole. Training takes a
 bounded sample of the labelled rows (``MAX_LABELLED`` rows chosen by a hash of the id),
-deals their buckets to ``SHARDS`` shards and writes each shard as one packed row, which no
-way of splitting files takes apart. In each of ``ROUNDS`` rounds every shard runs
-FTRL-proximal with per-coordinate rates over its rows from the common state, and the
-mean of the shards' states, made by one task, is the next one. A state has two numbers for
-each bucket and is sent to all tasks. So a task holds its share of the sample and states
-bounded by 2**BITS, and the driver one state. L1 leaves few weights that are not zero. Scoring reads every
-text whole, once, without a shuffle.
+deals their buckets to ``SHARDS`` shards and packs each shard, row by row, to one row, which
+no way of splitting files takes apart. In each of ``ROUNDS`` rounds every shard runs
+FTRL-proximal with per-coordinate rates over its rows from the common state, which meets it
+in a shuffle, and the mean of the shards' states, made by one task, is the next one. A state
+has two numbers for each bucket. So a task holds its share of the packed sample and states
+bounded by 2**BITS, and the driver only the weights in the end, of which L1 leaves few that
+are not zero. Scoring reads every text whole, once, without a shuffle.
 
 Defined results: null and empty texts have no features and score by the intercept
 alone; without any labelled row of class 1 every score is 0; labels that are null are
@@ -113,29 +113,40 @@ def _buckets(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([buckets(t).astype(np.int32) for t in texts.fillna("")], dtype=object)
 
 
-def _packed(part: pd.DataFrame) -> pd.DataFrame:
-    """One row for a shard: its labels, the ends of its rows' buckets and the buckets' steps, compressed."""
-    order = sorted(range(len(part)), key=lambda k: (part["id"].iloc[k], part["y"].iloc[k]))
-    found = part["at"].iloc[order]
-    ends = np.cumsum(found.map(len)).to_numpy("<i8")
-    steps = zlib.compressobj(1)
-    packed = b"".join([*(steps.compress(np.diff(at, prepend=0).astype("<i4").tobytes()) for at in found), steps.flush()])
-    y = part["y"].iloc[order].to_numpy(np.int8)
-    return pd.DataFrame({"shard": [part["shard"].iloc[0]], "y": [y.tobytes()], "ends": [ends.tobytes()], "steps": [packed], "positive": [int(y.sum())]})
+def _packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for a shard, of rows sorted by shard, id and label: the labels, the ends of the rows' buckets and the buckets' steps, compressed."""
+    shard = None
 
+    def done() -> pd.DataFrame:
+        packed = b"".join([*chunks, steps.flush()])
+        return pd.DataFrame({"shard": [shard], "y": [bytes(y)], "ends": [np.array(ends, "<i8").tobytes()], "steps": [packed], "positive": [sum(y)]})
 
-def _learner(sent, turn: int):
-    """A function from packed shards to their states after a pass from the common state."""
-
-    def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in parts:
-            for shard, y, ends, steps in zip(frame["shard"], frame["y"], frame["ends"], frame["steps"]):
-                y, ends, steps = np.frombuffer(y, np.int8), np.frombuffer(ends, "<i8"), np.frombuffer(zlib.decompress(steps), "<i4")
-                first = np.concatenate([[0], ends[:-1]])
-                model = Ftrl(_opened(sent.value))
-                for k in np.random.default_rng(turn).permutation(len(y)).tolist():
-                    model.learn(np.cumsum(steps[first[k] : ends[k]]), int(y[k]))
-                yield pd.DataFrame({"shard": [shard], "state": [_closed(np.stack([model.z, model.n]))]})
+    for frame in parts:
+        for s, label, at in zip(frame["shard"], frame["y"], frame["at"]):
+            if s != shard:
+                if shard is not None:
+                    yield done()
+                shard, y, ends, chunks, steps = s, bytearray(), [], [], zlib.compressobj(1)
+            y.append(label)
+            ends.append((ends[-1] if ends else 0) + len(at))
+            chunks.append(steps.compress(np.diff(at, prepend=0).astype("<i4").tobytes()))
+    if shard is not None:
+        yield done()
+
+
+def _learner(turn: int):
+    """A function from a packed shard and the common state, none in the first round, to the shard's state after a pass."""
+
+    def learn(rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for shard, y, ends, steps in zip(rows["shard"], rows["y"], rows["ends"], rows["steps"]):
+            y, ends, steps = np.frombuffer(y, np.int8), np.frombuffer(ends, "<i8"), np.frombuffer(zlib.decompress(steps), "<i4")
+            first = np.concatenate([[0], ends[:-1]])
+            model = Ftrl(_opened(states["state"].iloc[0] if len(states) else None))
+            for k in np.random.default_rng(turn).permutation(len(y)).tolist():
+                model.learn(np.cumsum(steps[first[k] : ends[k]]), int(y[k]))
+            out.append((shard, _closed(np.stack([model.z, model.n]))))
+        return pd.DataFrame(out, columns=["shard", "state"])
 
     return learn
 
@@ -150,9 +161,12 @@ def _closed(state: np.ndarray) -> bytes:
 
 
 def _mean(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The mean of all shards' states, added in the order of shards."""
+    """The mean of all shards' states, added in the order of shards, once for each shard."""
     rows = sorted(r for frame in parts for r in zip(frame["shard"], frame["state"]))
-    yield pd.DataFrame({"state": [_closed(sum(_opened(s) for _, s in rows) / len(rows))] if rows else []})
+    if rows:
+        state = _closed(sum(_opened(s) for _, s in rows) / len(rows))
+        for shard, _ in rows:
+            yield pd.DataFrame({"shard": [shard], "state": [state]})
 
 
 def _weights(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,18 +191,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
         rows = rows.join(F.broadcast(chosen), F.col("__x_doc") == F.col("__x_id"))  # max_labelled rows of two numbers
         rows = rows.groupBy("__x_id", "__x_y").agg(F.min_by("__x_text", F.xxhash64("__x_text")).alias("__x_text"))  # an id may have many rows
         examples = rows.select(F.pmod(F.xxhash64("__x_id", F.lit(11)), F.lit(SHARDS)).alias("shard"), F.col("__x_id").alias("id"), F.col("__x_y").alias("y"), _buckets("__x_text").alias("at"))
-        shards = written(examples.groupBy("shard").applyInPandas(_packed, "shard long, y binary, ends binary, steps binary, positive long"), "shards")
+        dealt = examples.repartition(SHARDS, "shard").sortWithinPartitions("shard", "id", "y")
+        shards = written(dealt.mapInPandas(_packed, "shard long, y binary, ends binary, steps binary, positive long"), "shards")
         if not shards.agg(F.sum("positive")).first()[0]:
             return None
-        common = None
+        packed = shards.drop("positive").groupBy("shard")
+        state = shards.limit(0).select("shard", F.col("y").alias("state"))
         for turn in range(ROUNDS):
-            sent = docs.sparkSession.sparkContext.broadcast(common)
             with scope():
-                moved = written(shards.drop("positive").mapInPandas(_learner(sent, turn), "shard long, state binary"), "moved")
-                state = written(moved.coalesce(1).mapInPandas(_mean, "state binary"), "state", keep=True)  # SHARDS rows
-            sent.destroy()
-            if turn < ROUNDS - 1:
-                common = bytes(state.first()[0])
+                moved = written(packed.cogroup(state.groupBy("shard")).applyInPandas(_learner(turn), "shard long, state binary"), "moved")
+                state = written(moved.coalesce(1).mapInPandas(_mean, "shard long, state binary"), "state", keep=True)  # SHARDS rows
+        state = state.limit(1)
         found = sorted(tuple(r) for r in state.mapInPandas(_weights, "bucket long, weight double").collect())
         at, w = map(np.array, zip(*found))
         return at[:-1], w[:-1], float(w[-1])
