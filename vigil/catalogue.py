@@ -14,7 +14,7 @@ from vigil.functions import fixed, generated, pii, risk, search, text, urls
 from vigil.operators import archive, cleanup, collect, constraints, generate, merge, promotion, schedule, signals, threshold, verdict, votes, wayback
 from vigil.plans import feeds, listing, stats
 from vigil.sources import feeds as feed_sources
-from vigil.streaming import limiter, ordered, recheck, run, windows
+from vigil.streaming import limiter, ordered, recheck, run, timers, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 _spark: dict[str, Query] = {}
@@ -209,6 +209,14 @@ def recheck_queue(spark, v):
     return schedule.recheck_queue(_scheduled(v), at("1996-01-01 00:00:00")).withColumns(_text("next_check_at")).select("story_id", "url", "status", "next_check_at")
 
 
+@query(f"""SELECT story_id, url, status, next_check_at::VARCHAR AS next_check_at FROM (SELECT *, {NEXT} AS next_check_at FROM citation_checks) WHERE {DUE} AND next_check_at <= TIMESTAMP '1996-01-01 00:00:00'""", "citation_checks")
+def recheck_timers(spark, v):
+    entries = run.as_stream(timers.entries_of(_scheduled(v)), "entries")
+    clock = run.as_stream(spark.range(1).select(at("1996-01-01 00:00:00").alias("at")), "clock")
+    due = run.finished(timers.due_rows(entries, clock), "due")
+    return timers.opened(due, "story_id long, url string").select("story_id", "url", "status", F.col("next_check_at").cast("string").alias("next_check_at"))
+
+
 @query(f"""SELECT story_id, url, status FROM citation_checks WHERE {DUE} ORDER BY last_checked NULLS FIRST, story_id, url LIMIT 15""", "citation_checks")
 def recheck_fallback(spark, v):
     return schedule.fallback_queue(v("citation_checks")).select("story_id", "url", "status")
@@ -264,6 +272,33 @@ def wayback_polled(spark, v):
     return wayback.polled(rows, answers, at(VOTE_DAY)).select("id", "status", F.col("next_poll_at").cast("string").alias("next_poll_at"))
 
 
+_CONSUMED = """, p AS (SELECT id, job_id FROM wayback_snapshots WHERE status = 'pending' AND next_poll_at <= TIMESTAMP '2024-01-31 00:00:00' ORDER BY next_poll_at NULLS FIRST, id LIMIT 10),
+q AS (SELECT id FROM wayback_snapshots WHERE status = 'queued' ORDER BY created_at NULLS FIRST, id LIMIT 3),
+a AS (SELECT w.*, CASE WHEN id IN (SELECT id FROM p WHERE job_id IS NOT NULL) THEN 'p' WHEN id IN (SELECT id FROM q) THEN 'q' ELSE '' END AS part, id % 3 AS kind FROM wayback_snapshots w)"""
+
+
+def _consumed(spark, v):
+    queue, kind, none = v("wayback_snapshots"), F.col("id") % 3, F.lit(None).cast("string")
+    jobs = queue.where("job_id is not null").select("job_id", F.when(kind == 0, "success").when(kind == 1, "error").otherwise("pending").alias("status"), F.lit("2024").alias("timestamp"), F.lit("https://s").alias("snapshot_url"), F.lit("bad").alias("reason"))
+    answers = queue.where("status = 'queued'").groupBy("url").agg(F.min("id").alias("id")).select("url", F.when(kind == 0, F.concat(F.lit("j"), "id")).alias("job_id"), none.alias("error"), F.when(kind == 1, "https://w").alias("snapshot_url"), F.lit("2025").alias("timestamp"))
+    return wayback.process(queue, jobs, spark.createDataFrame([(3, 50)], "available int, daily_remaining int"), answers, at(VOTE_DAY))
+
+
+@query(f"""{_CONSUMED} SELECT id, CASE WHEN part = '' THEN status WHEN part = 'p' THEN CASE kind WHEN 0 THEN 'success' WHEN 1 THEN 'error' ELSE status END
+    WHEN kind = 0 THEN 'pending' WHEN kind = 1 THEN 'success' WHEN attempts + 1 >= 3 THEN 'error' ELSE 'queued' END AS status, (attempts + CASE part WHEN 'q' THEN 1 ELSE 0 END)::INT AS attempts,
+  CASE WHEN part = 'q' THEN CASE WHEN kind = 0 THEN 'j' || id END ELSE job_id END AS job_id,
+  CASE WHEN part = 'p' AND kind = 2 OR part = 'q' AND kind = 0 THEN '2024-01-31 00:02:00' WHEN part <> 'q' THEN next_poll_at::VARCHAR END AS next_poll_at,
+  CASE WHEN part = 'p' AND kind = 0 THEN 'https://s' WHEN part = 'q' AND kind = 1 THEN 'https://w' END AS snapshot_url,
+  CASE WHEN part = 'p' AND kind = 1 THEN 'bad' WHEN part = 'q' AND kind = 1 THEN '기존 스냅샷' WHEN part = 'q' AND kind = 2 THEN 'save_failed' END AS reason FROM a""", "wayback_snapshots")
+def wayback_consumed(spark, v):
+    return _consumed(spark, v)[0].withColumns(_text("next_poll_at")).select("id", "status", "attempts", "job_id", "next_poll_at", "snapshot_url", "reason")
+
+
+@query(f"""{_CONSUMED} SELECT count(*) FILTER (part = 'p' AND kind < 2) AS polled, count(*) FILTER (part = 'q' AND kind < 2) AS submitted FROM a""", "wayback_snapshots")
+def wayback_totals(spark, v):
+    return _consumed(spark, v)[1]
+
+
 @query("""SELECT DISTINCT url FROM citation_checks WHERE url NOT IN (SELECT url FROM wayback_snapshots)""", "citation_checks", "wayback_snapshots")
 def wayback_enqueue(spark, v):
     after = wayback.enqueue(v("wayback_snapshots"), v("citation_checks"), at(VOTE_DAY))
@@ -288,9 +323,40 @@ def existing_urls_anti(spark, v):
     return collect.new_items(v("feed_items"), v("captured_posts").where("status = 'live'")).select("position")
 
 
-@query("""SELECT feed, count(*) AS discovered, least(30, count(*)) AS chosen FROM feed_items GROUP BY feed""", "feed_items")
+def _fetched(spark, v):
+    """Each source's posts in feeds of up to 1000, as RSS; every seventh title says that it will be deleted, and every eleventh post is known."""
+    posts = v("captured_posts")
+    clean = F.trim(F.regexp_replace(F.substring("body_text", 1, 400), "[^A-Za-z0-9 ]", " "))
+    title = F.concat(F.lit("post "), F.col("id").cast("string"), F.when(F.col("id") % 7 == 0, " 곧 삭제 될 것 같다").otherwise(""))
+    item = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>"), F.col("url"), F.lit("</link><description>&lt;p&gt;"), clean, F.lit("&lt;/p&gt;</description></item>"))
+    feed = F.concat("source", F.lit("/"), F.lpad((F.col("id") / 1000).cast("long").cast("string"), 12, "0"))
+    items = posts.where("source is not null").select("source", feed.alias("feed"), "id", F.coalesce(item, F.lit("")).alias("item"))
+    whole = items.groupBy("source", "feed").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "item"))), lambda x: x["item"]), "").alias("items"))  # 1000 items at most
+    raw = F.concat(F.lit("<?xml version='1.0'?><rss version='2.0'><channel>"), "items", F.lit("</channel></rss>")).cast("binary")
+    return whole.select("source", "feed", raw.alias("raw"), F.when(F.col("feed").endswith("/000000000003"), 403).otherwise(200).alias("http_code"), F.col("feed").alias("turn")), posts.where("status = 'error'")
+
+
+_POLLED = """, i AS (SELECT source, source || '/' || lpad((id // 1000)::VARCHAR, 12, '0') AS feed, id, url, body_text FROM captured_posts WHERE source IS NOT NULL AND id // 1000 <> 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY id) - 1 AS position FROM i),
+f AS (SELECT *, CASE WHEN id % 7 = 0 THEN 4 ELSE 1 END AS score FROM o WHERE position < 30 AND url NOT IN (SELECT url FROM captured_posts WHERE status = 'error')),
+n AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY score DESC, position) AS round FROM f),
+c AS (SELECT * FROM n ORDER BY round, feed, position LIMIT 20)"""
+
+
+@query(f"""{_POLLED} SELECT feed, position::INT AS position, 'post ' || id || CASE WHEN id % 7 = 0 THEN ' 곧 삭제 될 것 같다' ELSE '' END AS title, url, score, round::INT AS round FROM c""", "captured_posts")
+def poll_feeds(spark, v):
+    return collect.poll(*_fetched(spark, v))[0].select("feed", "position", "title", "url", "score", "round")
+
+
+@query(f"""{_POLLED} SELECT f.feed, count(*) AS discovered, count(c.id) AS chosen FROM f LEFT JOIN c ON f.id = c.id GROUP BY f.feed""", "captured_posts")
 def poll_totals(spark, v):
-    return collect.poll_totals(v("feed_items"), collect.per_feed_top(v("feed_items")))
+    return collect.poll(*_fetched(spark, v))[1]
+
+
+@query("""SELECT source, source || '/' || lpad((id // 1000)::VARCHAR, 12, '0') AS feed, (row_number() OVER (PARTITION BY source, id // 1000 ORDER BY id) - 1)::INT AS position, 'post ' || id || CASE WHEN id % 7 = 0 THEN ' 곧 삭제 될 것 같다' ELSE '' END AS title, url, url AS guid,
+  nullif(regexp_replace(trim(regexp_replace(substr(body_text, 1, 400), '[^A-Za-z0-9 ]', ' ', 'g')), ' +', ' ', 'g'), '') AS summary FROM captured_posts WHERE source IS NOT NULL AND id // 1000 <> 3""", "captured_posts")
+def feed_items_of_posts(spark, v):
+    return collect.parsed(_fetched(spark, v)[0])
 
 
 # ---- votes, upserts, clean-up, archive
@@ -742,14 +808,26 @@ def rate_limit_key(spark, v):
     return limiter.by_key(v("requests"), 2, 6 * 3600).select("event_id", "allowed")
 
 
-_sql["rate_limit_key"] = _sql["rate_limit_key"].replace("WITH ", "WITH RECURSIVE ", 1)
+_WAIT = "greatest(1, (epoch_us({}[1].t) + 21600000000 - epoch_us(ts)) // 1000000 + 1)"
 
 
-@query()
+@query(f""", r AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY ts, event_id) AS n FROM requests), walk AS (
+  SELECT scope, n, event_id, true AS allowed, 0::BIGINT AS retry, '' AS gate, [{{'t': ts, 'k': key}}] AS log FROM r WHERE n = 1
+  UNION ALL
+  SELECT scope, n, event_id, gate = '', CASE gate WHEN 'key' THEN {_WAIT.format("mine")} WHEN 'scope' THEN {_WAIT.format("live")} ELSE 0 END::BIGINT, gate,
+    CASE gate WHEN '' THEN list_append(live, {{'t': ts, 'k': key}}) ELSE live END
+  FROM (SELECT *, CASE WHEN len(mine) >= 2 THEN 'key' WHEN len(live) >= 20 THEN 'scope' ELSE '' END AS gate FROM (
+    SELECT *, list_filter(live, lambda x: x.k = key) AS mine FROM (
+      SELECT r.scope, r.n, r.event_id, r.ts, r.key, list_filter(w.log, lambda x: x.t >= r.ts - INTERVAL 6 HOUR) AS live FROM walk w JOIN r ON r.scope = w.scope AND r.n = w.n + 1))))
+SELECT event_id, allowed, retry, gate FROM walk""", "requests")
 def rate_limit_two_level(spark, v):
     return limiter.two_level(v("requests"), 2, 20, 6 * 3600).select("event_id", "allowed", "retry", "gate")
 
 
+for _name in ("rate_limit_key", "rate_limit_two_level"):
+    _sql[_name] = _sql[_name].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 @query("""SELECT min(ts)::VARCHAR AS start, user_id, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (
   SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
 def ext_session(spark, v):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vigil.config import Config
 from vigil.functions import fixed
 from vigil.functions.urls import is_untrackable
-from vigil.operators.merge import insert_ignore
+from vigil.operators.merge import insert_ignore, upsert
 from vigil.operators.schedule import seconds_after
 
 
@@ -69,3 +69,19 @@ def submitted(rows: DataFrame, answers: DataFrame, as_of: Column, cfg: Config =
         "reason": F.when(~job & found, fixed.SNAPSHOT_FOUND).when(~job, F.substring(F.coalesce("__error", F.lit("save_failed")), 1, 200)),
     }
     return joined.withColumns(out).drop("__url", "__job_id", "__error", "__snapshot_url", "__timestamp")
+
+
+def process(queue: DataFrame, jobs: DataFrame, capacity: DataFrame, answers: DataFrame, as_of: Column, cfg: Config = Config()) -> tuple[DataFrame, DataFrame]:
+    """One round of the queue's only consumer: due jobs are polled, then queued addresses submitted within the budget.
+
+    jobs: as ``polled`` takes them; capacity: as ``to_submit``; answers: as ``submitted``.
+    Returns the queue after the round and one row with ``polled`` (jobs that ended) and
+    ``submitted`` (requests accepted or met by a snapshot). An off queue stays as it is.
+    """
+    if not cfg.wayback_enabled:
+        return queue, queue.sparkSession.range(1).select(F.lit(0).cast("long").alias("polled"), F.lit(0).cast("long").alias("submitted"))
+    asked = polled(to_poll(queue, as_of, cfg), jobs, as_of, cfg).where("job_id <> ''").select("id", "status", "next_poll_at", "reason", "snapshot_timestamp", "snapshot_url")
+    sent = submitted(to_submit(queue, capacity, cfg), answers, as_of, cfg).select("id", "status", "attempts", "job_id", "next_poll_at", "reason", "snapshot_timestamp", "snapshot_url")
+    ended = asked.agg(F.count_if(F.col("status").isin("success", "error")).alias("polled"))
+    taken = sent.agg(F.count_if(F.col("status").isin("pending", "success")).alias("submitted"))
+    return upsert(upsert(queue, asked, ["id"]), sent, ["id"]), ended.join(F.broadcast(taken))  # one row each

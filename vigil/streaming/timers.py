@@ -71,11 +71,14 @@ def entries_of(checks: DataFrame, keys: tuple[str, ...] = ("story_id", "url")) -
     return checks.select(named.alias("key"), F.col("last_checked").alias("stamp"), F.when(queued, F.col("next_check_at")).alias("due"), F.to_json(F.struct("status", "http_code", "check_count", "error_count")).alias("payload"))
 
 
+def opened(due: DataFrame, schema: str) -> DataFrame:
+    """What came out of the queue (``due_rows``) with its keys' columns (of the schema), next_check_at, status, http_code, check_count and error_count; key and stamp."""
+    read = due.withColumn("k", F.from_json("key", schema)).withColumn("p", F.from_json("payload", "status string, http_code int, check_count int, error_count int"))
+    return read.select("k.*", F.timestamp_micros("due").cast("timestamp_ntz").alias("next_check_at"), "p.*", "key", "stamp")
+
+
 def next_batch(due: DataFrame, taken: DataFrame, schema: str, cfg: Config = Config()) -> DataFrame:
-    """Of all that came out (``due_rows``) and was not taken (key, stamp) the next batch to check, longest overdue first, ties by key: the
-    keys' columns (of the schema), next_check_at, status, http_code, check_count and error_count; key and stamp."""
+    """Of all that came out and was not taken (key, stamp) the next batch to check, longest overdue first, ties by key, as ``opened`` gives it."""
     names = [part.split()[0] for part in schema.split(", ")]
-    open_ = due.join(taken.select("key", "stamp").distinct(), ["key", "stamp"], "left_anti")
-    read = open_.withColumn("k", F.from_json("key", schema)).withColumn("p", F.from_json("payload", "status string, http_code int, check_count int, error_count int"))
-    flat = read.select("k.*", F.timestamp_micros("due").cast("timestamp_ntz").alias("next_check_at"), "p.*", "key", "stamp")
-    return flat.orderBy("next_check_at", *names).limit(cfg.check_batch)
+    left = due.join(taken.select("key", "stamp").distinct(), ["key", "stamp"], "left_anti")
+    return opened(left, schema).orderBy("next_check_at", *names).limit(cfg.check_batch)
