@@ -64,6 +64,18 @@ def scope() -> Iterator[None]:
                 _left.append(delete)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """Jobs that run inside hand at most n rows at a time to Python; the session's setting, if less, stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(n, int(before)) if int(before) > 0 else n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def new_path(spark: SparkSession, name: str, keep: bool = True) -> str:
     """A path for a table or archive, which belongs to the open scope."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

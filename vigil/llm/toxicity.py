@@ -5,11 +5,11 @@ its pairs with one word between, each once; texts are taken whole. Training take
 bounded sample of the labelled rows (``MAX_LABELLED`` rows chosen by a hash of the id),
 deals their buckets to ``SHARDS`` shards and packs each shard, row by row, to one row, which
 no way of splitting files takes apart. In each of ``ROUNDS`` rounds every shard runs
-FTRL-proximal with per-coordinate rates over its rows from the common state, which meets it
-in a shuffle, and the mean of the shards' states, made by one task, is the next one. A state
-has two numbers for each bucket. So a task holds its share of the packed sample and states
-bounded by 2**BITS, and the driver only the weights in the end, of which L1 leaves few that
-are not zero. Scoring reads every text whole, once, without a shuffle.
+FTRL-proximal with per-coordinate rates over its rows from the common state, which is joined
+to it as a table of one row, and the mean of the shards' states, made by one task, is the
+next one. A state has two numbers for each bucket. So a task holds its share of the packed
+sample and states bounded by 2**BITS, and Python's side of the driver only the weights in the
+end, of which L1 leaves few that are not zero. Scoring reads every text whole, once, without a shuffle.
 
 Defined results: null and empty texts have no features and score by the intercept
 alone; without any labelled row of class 1 every score is 0; labels that are null are
@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from vigil.llm import textvec
 from vigil.llm.store import scope, written
@@ -38,6 +38,7 @@ SHARDS, ROUNDS = 4, 6
 ALPHA, BETA, L2 = 2.0, 1.0, 0.0
 L1 = 8.0 / SHARDS  # a shard sees so much less of a feature
 THRESHOLD = 0.3
+SLICE = 256  # texts whose features are in memory together
 
 _word_table = np.zeros(128, bool)
 _word_table[[ord(c) for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789'"]] = True
@@ -107,10 +108,12 @@ class Ftrl:
             self.n[k] += g * g
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _buckets(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in parts:
-        yield pd.Series([buckets(t).astype(np.int32) for t in texts.fillna("")], dtype=object)
+def _examples(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct buckets of labelled texts, few texts at a time."""
+    for frame in parts:
+        for k in range(0, len(frame), 128):
+            part = frame.iloc[k : k + 128]
+            yield pd.DataFrame({"shard": part["shard"], "id": part["id"], "y": part["y"], "at": [buckets(t).astype(np.int32) for t in part["text"].fillna("")]})
 
 
 def _packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,18 +138,17 @@ def _packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _learner(turn: int):
-    """A function from a packed shard and the common state, none in the first round, to the shard's state after a pass."""
-
-    def learn(rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for shard, y, ends, steps in zip(rows["shard"], rows["y"], rows["ends"], rows["steps"]):
-            y, ends, steps = np.frombuffer(y, np.int8), np.frombuffer(ends, "<i8"), np.frombuffer(zlib.decompress(steps), "<i4")
-            first = np.concatenate([[0], ends[:-1]])
-            model = Ftrl(_opened(states["state"].iloc[0] if len(states) else None))
-            for k in np.random.default_rng(turn).permutation(len(y)).tolist():
-                model.learn(np.cumsum(steps[first[k] : ends[k]]), int(y[k]))
-            out.append((shard, _closed(np.stack([model.z, model.n]))))
-        return pd.DataFrame(out, columns=["shard", "state"])
+    """A function from packed shards, each with the common state or none, to their states after a pass."""
+
+    def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in parts:
+            for shard, y, ends, steps, state in zip(*(frame[c] for c in ("shard", "y", "ends", "steps", "state"))):
+                y, ends, steps = np.frombuffer(y, np.int8), np.frombuffer(ends, "<i8"), np.frombuffer(zlib.decompress(steps), "<i4")
+                first = np.concatenate([[0], ends[:-1]])
+                model = Ftrl(_opened(state))
+                for k in np.random.default_rng(turn).permutation(len(y)).tolist():
+                    model.learn(np.cumsum(steps[first[k] : ends[k]]), int(y[k]))
+                yield pd.DataFrame({"shard": [shard], "state": [_closed(np.stack([model.z, model.n]))]})
 
     return learn
 
@@ -161,12 +163,9 @@ def _closed(state: np.ndarray) -> bytes:
 
 
 def _mean(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The mean of all shards' states, added in the order of shards, once for each shard."""
+    """The mean of all shards' states, added in the order of shards."""
     rows = sorted(r for frame in parts for r in zip(frame["shard"], frame["state"]))
-    if rows:
-        state = _closed(sum(_opened(s) for _, s in rows) / len(rows))
-        for shard, _ in rows:
-            yield pd.DataFrame({"shard": [shard], "state": [state]})
+    yield pd.DataFrame({"state": [_closed(sum(_opened(s) for _, s in rows) / len(rows))] if rows else []})
 
 
 def _weights(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,18 +189,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
         rows = docs.select(F.col(doc_id).alias("__x_doc"), F.col(text).alias("__x_text"))
         rows = rows.join(F.broadcast(chosen), F.col("__x_doc") == F.col("__x_id"))  # max_labelled rows of two numbers
         rows = rows.groupBy("__x_id", "__x_y").agg(F.min_by("__x_text", F.xxhash64("__x_text")).alias("__x_text"))  # an id may have many rows
-        examples = rows.select(F.pmod(F.xxhash64("__x_id", F.lit(11)), F.lit(SHARDS)).alias("shard"), F.col("__x_id").alias("id"), F.col("__x_y").alias("y"), _buckets("__x_text").alias("at"))
+        chosen = rows.select(F.pmod(F.xxhash64("__x_id", F.lit(11)), F.lit(SHARDS)).alias("shard"), F.col("__x_id").alias("id"), F.col("__x_y").alias("y"), F.col("__x_text").alias("text"))
+        examples = chosen.mapInPandas(_examples, StructType([chosen.schema["shard"], chosen.schema["id"], chosen.schema["y"], StructField("at", ArrayType(IntegerType()))]))
         dealt = examples.repartition(SHARDS, "shard").sortWithinPartitions("shard", "id", "y")
         shards = written(dealt.mapInPandas(_packed, "shard long, y binary, ends binary, steps binary, positive long"), "shards")
         if not shards.agg(F.sum("positive")).first()[0]:
             return None
-        packed = shards.drop("positive").groupBy("shard")
-        state = shards.limit(0).select("shard", F.col("y").alias("state"))
+        state = None
         for turn in range(ROUNDS):
+            met = shards.withColumn("state", F.lit(None).cast("binary")) if state is None else shards.join(F.broadcast(state))  # one row of 8 * 2**BITS bytes
             with scope():
-                moved = written(packed.cogroup(state.groupBy("shard")).applyInPandas(_learner(turn), "shard long, state binary"), "moved")
-                state = written(moved.coalesce(1).mapInPandas(_mean, "shard long, state binary"), "state", keep=True)  # SHARDS rows
-        state = state.limit(1)
+                moved = written(met.drop("positive").mapInPandas(_learner(turn), "shard long, state binary"), "moved")
+                state = written(moved.coalesce(1).mapInPandas(_mean, "state binary"), "state", keep=True)  # SHARDS rows
         found = sorted(tuple(r) for r in state.mapInPandas(_weights, "bucket long, weight double").collect())
         at, w = map(np.array, zip(*found))
         return at[:-1], w[:-1], float(w[-1])
@@ -233,7 +232,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None, t
         weight = np.zeros(1 << BITS)
         weight[sent.value[0]] = sent.value[1]
         for texts in parts:
-            yield pd.Series(score_texts(texts.fillna("").tolist(), weight, intercept))
+            texts = texts.fillna("").tolist()
+            yield pd.Series(np.concatenate([score_texts(texts[k : k + SLICE], weight, intercept) for k in range(0, len(texts), SLICE)] or [np.zeros(0)]))
 
     return docs.withColumn(name, scored(F.col(text)))
 
