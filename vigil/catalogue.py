@@ -186,11 +186,6 @@ _feed("feed_extreme", lambda spark, v: feeds.entry_parts(feeds.feed_extreme(v("s
 _feed("feed_deleted", lambda spark, v: feeds.entry_parts(feeds.feed_deleted(v("stories"), v("citation_checks")), "https://vigil.example").select(*_entry), "id IN (SELECT story_id FROM citation_checks WHERE status = 'deleted')", "created_at")
 
 
-@query()
-def feed_atom(spark, v):
-    return feeds.atom(feeds.feed_all(v("stories")), "https://vigil.example", "all", "Vigil", "All stories", at(STORY_DAY))
-
-
 # ---- queues and schedules
 
 
@@ -688,65 +683,7 @@ def classify_category(spark, v):
     return _scored(spark, v).select("id", risk.classify(F.col("title"), F.col("body_text")).alias("category"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r[-2]}', {samples.sql_text(r[-1])})" for i, r in enumerate(samples.VERDICTS)) + ") AS t(case_id, status, reason)")
-def decide_status(spark, v):
-    rows = samples.verdict_rows(spark)
-    d = verdict.decide(F.col("obs"), F.col("url"), F.col("base"))
-    return rows.withColumn("d", d).select("case_id", "d.status", "d.reason")
-
-
-@query()
-def recheck_pages(spark, v):
-    seen = verdict.observe(v("page_fetches"))
-    obs = F.struct(F.lit("ok").alias("net"), F.lit(200).alias("http_code"), F.col("url").alias("final_url"), "text_len", "text_hash", "del_match", "blk_match", "del_snip", "blk_snip", "bot_challenge", F.lit(None).cast("string").alias("reason"), "text")
-    items = seen.select("page_id", F.substring("text", 1, 60).alias("title"), F.substring("text", 1, 300).alias("summary"), "url", obs.alias("obs"))
-    return collect.captured(items, at(VOTE_DAY)).select("page_id", "status", "http_code", "reason", "volatility_score", "content_hash", F.col("next_check_at").cast("string").alias("next_check_at"))
-
-
-@query()
-def promotion_outcome(spark, v):
-    posts = v("captured_posts").where("hard_deleted_at is not null")
-    raw = v("llm_raw").groupBy(F.col("conv_id").alias("id")).agg(F.min_by("raw", "turn").alias("raw"))
-    return promotion.outcomes(posts, raw, v("stories")).select("id", "outcome", "promotion_status", "linked_story_id")
-
-
-# ---- generated text and search results
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {samples.sql_text(a)}, {samples.sql_text(b)})" for i, (_, a, b) in enumerate(samples.GENERATED)) + ") AS t(case_id, sanitized, tidied)")
-def sanitize_and_tidy(spark, v):
-    rows = spark.createDataFrame([(i, r[0]) for i, r in enumerate(samples.GENERATED)], "case_id int, raw string")
-    return rows.select("case_id", generated.sanitize(F.col("raw")).alias("sanitized"), generated.tidy(F.col("raw")).alias("tidied"))
-
-
-@query()
-def sanitize_text(spark, v):
-    return v("llm_raw").select("conv_id", "turn", generated.tidy(generated.sanitize(F.col("raw"))).alias("body"))
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{','.join(map(str, r[2]))}', {samples.sql_text(r[3])}, {r[4]}, {samples.sql_text(r[5])}, {str(r[6]).lower()})" for i, r in enumerate(samples.MARKERS)) + ") AS t(case_id, used, text, score, reason, no_fit)")
-def markers(spark, v):
-    rows = spark.createDataFrame([(i, r[0], r[1]) for i, r in enumerate(samples.MARKERS)], "case_id int, raw string, total int")
-    used = generated.used_indices(F.col("raw"), F.col("total"))
-    parsed = rows.withColumn("u", used).withColumn("s", generated.score_and_reason(F.col("u.text")))
-    return parsed.select("case_id", F.array_join(F.transform("u.indices", lambda i: i.cast("string")), ",").alias("used"), "s.text", "s.score", "s.reason", generated.is_no_fit(F.col("raw")).alias("no_fit"))
-
-
-def _results(spark):
-    rows = [(i, *r[:3], r[3], r[4]) for i, r in enumerate(samples.RESULTS)]
-    return spark.createDataFrame(rows, "case_id int, title string, url string, content string, news boolean, off boolean").withColumn("item", F.struct("title", "url", "content"))
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(r[3]).lower()}, {str(r[4]).lower()})" for i, r in enumerate(samples.RESULTS)) + ") AS t(case_id, news, off_topic)")
-def search_filters(spark, v):
-    return _results(spark).select("case_id", search.looks_like_news(F.col("item")).alias("news"), search.looks_off_topic(F.col("item")).alias("off_topic"))
-
-
-@query()
-def search_context(spark, v):
-    items = _results(spark).groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("case_id", "item"))), lambda x: x["item"]).alias("items"))
-    best = search.rich(search.ladder(F.col("items"), F.lit(None).cast("array<struct<title:string,url:string,content:string>>"), F.lit(True)))
-    return items.select(search.context(best).alias("context"), F.size(best).alias("results"), search.coverage_query(search.chosen(best, F.array(F.lit(1)))["title"], search.chosen(best, F.array(F.lit(1)))["content"]).alias("coverage_query"))
+# ---- generated text
 
 
 @query("""SELECT * FROM (VALUES ('a', 'xml-rss', 0, '첫 글', 'https://a.example/1', 'g1', '요약 글'), ('a', 'xml-rss', 1, '둘', 'https://a.example/2', 'https://a.example/2', NULL),
@@ -848,3 +785,5 @@ def _events(f, sql: str) -> None:
 _events(windows.tumbling, """SELECT date_trunc('day', ts)::VARCHAR AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL""")
 _events(windows.sliding, """SELECT (date_trunc('day', ts) + k * INTERVAL 12 HOUR)::VARCHAR AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events, unnest([-1, 0, 1]) AS t(k)
 WHERE ts >= date_trunc('day', ts) + k * INTERVAL 12 HOUR AND ts < date_trunc('day', ts) + k * INTERVAL 12 HOUR + INTERVAL 1 DAY GROUP BY ALL""")
+
+from vigil import catalogue_rules  # noqa: E402, F401  registers the queries of the rules; it needs the names above
