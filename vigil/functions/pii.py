@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions import fixed
@@ -19,30 +19,60 @@ def chunks(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.substr(text, i + 1, F.lit(fixed.PII_CHUNK + fixed.PII_OVERLAP))))
 
 
-def scan(text: Column) -> Column:
-    """struct(hit, kinds, samples): kinds by first chunk and then detector, one masked sample each."""
+def _look(c: Column, i: Column, order: int, kind: str, pattern: str) -> Column:
+    """What a detector finds in chunk i; empty text if nothing."""
+    found = first_match(c, pattern)
+    if kind == "email":  # most chunks have no such sign, and the pattern is slow
+        found = F.when(F.contains(c, F.lit("@")), found).otherwise("")
+    return F.struct(i.alias("chunk"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), found.alias("text"))
 
-    def first_hit(parts: Column, order: int, kind: str, pattern: str) -> Column:
-        """The first chunk's match as an array of one or no struct."""
 
-        def look(c: Column, i: Column) -> Column:
-            found = first_match(c, pattern)
-            if kind == "email":  # most chunks have no such sign, and the pattern is slow
-                found = F.when(F.contains(c, F.lit("@")), found).otherwise("")
-            return F.struct(i.alias("chunk"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), found.alias("text"))
+def _summary(found: Column) -> Column:
+    """struct(hit, kinds, samples) of the first find of each kind."""
+    return bound(F.array_sort(found), lambda x: F.struct(
+        (F.size(x) > 0).alias("hit"),
+        F.transform(x, lambda e: e["kind"]).alias("kinds"),
+        F.transform(x, lambda e: F.concat(e["kind"], F.lit(":"), mask(e["text"]))).alias("samples"),
+    ))
 
-        return F.slice(F.filter(F.transform(parts, look), lambda x: x["text"] != ""), 1, 1)
+
+def scan(text: Column) -> Column:
+    """struct(hit, kinds, samples): kinds by first chunk and then detector, one masked sample each."""
 
     def of(parts: Column) -> Column:
-        found = [first_hit(parts, order, kind, pattern) for order, (kind, pattern) in enumerate(fixed.PII_DETECTORS)]
-        return bound(F.array_sort(F.concat(*found)), lambda x: F.struct(
-            (F.size(x) > 0).alias("hit"),
-            F.transform(x, lambda e: e["kind"]).alias("kinds"),
-            F.transform(x, lambda e: F.concat(e["kind"], F.lit(":"), mask(e["text"]))).alias("samples"),
-        ))
+        first = lambda *detector: F.slice(F.filter(F.transform(parts, lambda c, i: _look(c, i, *detector)), lambda x: x["text"] != ""), 1, 1)
+        return _summary(F.concat(*[first(order, kind, pattern) for order, (kind, pattern) in enumerate(fixed.PII_DETECTORS)]))
 
     return bound(chunks(F.coalesce(text, F.lit(""))), of)
 
 
+def scan_parts(parts: DataFrame, key: str = "id", part: str = "part", text: str = "text") -> DataFrame:
+    """key and found, what ``scan`` gives of the text that a key's parts make in their order, without making it.
+
+    Each part is cut at the chunks that it has a share in, and the shares of a chunk meet in a
+    shuffle, so a task holds parts and chunks, however long a text is. The first finds of a
+    kind are a minimum, which partial sums of any tasks give. Only the parts' lengths are summed
+    in order. Null parts are empty; a null key is one text.
+    """
+    step, size = fixed.PII_CHUNK, fixed.PII_CHUNK + fixed.PII_OVERLAP
+    rows = parts.select(F.struct(F.col(key).alias("key")).alias("k"), F.col(part).alias("part"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sized = rows.select("k", "part", F.length("text").cast("long").alias("n"))
+    begins = sized.withColumn("begin", F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = rows.join(begins.where("n > 0").select("k", "part", "begin", "n"), ["k", "part"])
+    first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("begin") - size) / step) + 1)
+    last = F.floor((F.col("begin") + F.col("n") - 1) / step)
+    shares = placed.withColumn("chunk", F.explode(F.sequence(first, last)))
+    start = F.greatest(F.col("begin"), F.col("chunk") * step)
+    end = F.least(F.col("begin") + F.col("n"), F.col("chunk") * step + size)
+    share = F.substr("text", (start - F.col("begin") + 1).cast("int"), (end - start).cast("int"))
+    whole = shares.select("k", "chunk", F.struct("part", share.alias("text")).alias("s")).groupBy("k", "chunk").agg(F.array_sort(F.collect_list("s")).alias("s"))  # ``size`` characters
+    chunk = F.array_join(F.transform("s", lambda x: x["text"]), "")
+    finds = F.filter(F.array(*[_look(F.col("text"), F.col("chunk"), order, kind, pattern) for order, (kind, pattern) in enumerate(fixed.PII_DETECTORS)]), lambda x: x["text"] != "")
+    found = whole.select("k", "chunk", chunk.alias("text")).select("k", F.explode(finds).alias("f"))
+    best = found.groupBy("k", F.col("f.kind").alias("kind")).agg(F.min("f").alias("f")).groupBy("k").agg(F.collect_list("f").alias("f"))  # a find for each kind
+    none = F.array().cast(best.schema["f"].dataType)
+    return rows.select("k").distinct().join(best, "k", "left").select(F.col("k.key").alias(key), _summary(F.coalesce("f", none)).alias("found"))
+
+
 def has_pii(text: Column) -> Column:
     return scan(text)["hit"]
