@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vigil import samples
 from vigil.catalogue import _KINDS, BASE, SIGNALS, STORY_DAY, VOTE_DAY, at, query
 from vigil.functions import generated, pii, search, text, urls
-from vigil.operators import archive, collect, generate, merge, promotion, threshold, verdict
+from vigil.operators import archive, collect, generate, merge, promotion, threshold, verdict, voters
 from vigil.plans import feeds
 from vigil.sources import pages as page_sources
 from vigil.sources import responses
@@ -293,6 +293,13 @@ def promotion_outcome(spark, v):
     return _promoted(v).select("id", "outcome", "promotion_status", "linked_story_id")
 
 
+@query(f"""SELECT d::VARCHAR AS day, greatest(1, least(12, 3 + (SELECT count(DISTINCT user_id) FROM votes WHERE created_at >= d - INTERVAL 7 DAY AND created_at < d) // 30))::BIGINT AS threshold
+FROM (SELECT unnest(generate_series(DATE '2024-01-02', DATE '{VOTE_DAY[:10]}', INTERVAL 1 DAY))::DATE AS d)""", "votes")
+def thresholds_by_day(spark, v):
+    found = voters.thresholds(voters.daily_sketches(v("votes")), v("votes"), F.lit("2024-01-02"), F.lit(VOTE_DAY[:10]))
+    return found.select(F.col("day").cast("string").alias("day"), "threshold")
+
+
 def _promoted(v):
     posts = v("captured_posts").where("hard_deleted_at is not null")
     raw = v("llm_raw").groupBy(F.col("conv_id").alias("id")).agg(F.min_by("raw", "turn").alias("raw"))
