@@ -9,6 +9,7 @@ from vigil.catalogue import _KINDS, BASE, SIGNALS, STORY_DAY, VOTE_DAY, at, quer
 from vigil.functions import generated, pii, search, text, urls
 from vigil.operators import archive, collect, generate, merge, promotion, threshold, verdict, voters
 from vigil.plans import feeds
+from vigil.sources import captures
 from vigil.sources import pages as page_sources
 from vigil.sources import responses
 
@@ -200,6 +201,21 @@ def recheck_pages(spark, v):
     return collect.captured(items, at(VOTE_DAY)).select("page_id", "status", "http_code", "reason", "volatility_score", "content_hash", F.col("next_check_at").cast("string").alias("next_check_at"), "body_text")
 
 
+@query(f"""SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'timeout' WHEN page_id % 7 = 1 THEN 'http' ELSE 'ok' END AS net, CASE WHEN page_id % 7 = 1 THEN 404 WHEN page_id % 7 > 1 THEN 200 END AS http_code,
+  CASE WHEN page_id % 7 = 0 THEN url ELSE 'https://f.example/' || page_id END AS final_url, CASE WHEN page_id % 7 > 1 THEN length(t) END::INT AS text_len, CASE WHEN page_id % 7 > 1 THEN sha256(t) END AS text_hash,
+  CASE WHEN page_id % 7 > 1 THEN regexp_matches(t, '{_DELETED}') END AS del_match, CASE WHEN page_id % 7 > 1 THEN false END AS blk_match, CASE WHEN page_id % 7 > 1 THEN substr(regexp_extract(t, '{_DELETED}'), 1, 40) END AS del_snip, CASE WHEN page_id % 7 > 1 THEN '' END AS blk_snip,
+  CASE WHEN page_id % 7 > 1 THEN regexp_matches(t, '{_CHALLENGE}') END AS bot_challenge, CASE WHEN page_id % 7 = 0 THEN 'deadline' END AS reason FROM (SELECT page_id, url, {visible_sql("coalesce(body, '')")} AS t FROM page_fetches)""", "page_fetches")
+def page_observations(spark, v):
+    """Captured responses of every seventh kind: a time-out, a missing page, pages."""
+    k, none = F.col("page_id") % 7, F.lit(None).cast("string")
+    rows = v("page_fetches").select(
+        "page_id", "url", at(VOTE_DAY).alias("seen_at"), F.when(k == 0, "timeout").alias("net"), F.when(k == 1, 404).when(k > 1, 200).alias("http_code"), F.when(k > 0, F.concat(F.lit("https://f.example/"), F.col("page_id").cast("string"))).alias("final_url"),
+        F.when(k == 0, "deadline").alias("reason"), F.lit("text/html; charset=utf-8").alias("content_type"), none.alias("encoding"), F.encode("body", "UTF-8").alias("body"),
+    )
+    seen = captures.observations(rows.withColumn("url", F.concat(F.col("page_id").cast("string"), F.lit(" "), "url")))
+    return seen.select(F.substring_index("url", " ", 1).cast("long").alias("page_id"), "obs.*").withColumn("final_url", F.when(F.col("net") == "timeout", F.expr("substring(final_url, instr(final_url, ' ') + 1)")).otherwise(F.col("final_url")))
+
+
 @query("""SELECT -1 - page_id AS page_id, html AS text FROM pages WHERE html IS NOT NULL UNION ALL SELECT page_id, '한글 ' || page_id FROM pages""")
 def decoded_pages(spark, v):
     """Pages as bytes in UTF-8, and Korean ones announced in three ways."""
