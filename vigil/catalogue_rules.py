@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigil import samples
-from vigil.catalogue import _KINDS, BASE, SIGNALS, STORY_DAY, VOTE_DAY, at, query
+from vigil.catalogue import _KINDS, _ROUNDS, BASE, SIGNALS, STORY_DAY, VOTE_DAY, _rounds, at, query
 from vigil.functions import generated, pii, search, text, urls
-from vigil.operators import archive, collect, generate, merge, promotion, threshold, verdict, voters
+from vigil.operators import archive, collect, constraints, generate, merge, promotion, threshold, verdict, voters
 from vigil.plans import feeds
 from vigil.sources import captures
 from vigil.sources import pages as page_sources
 from vigil.sources import responses
+from vigil.streaming import recheck
 
 # ---- SQL for the rules on text without Korean
 
@@ -90,6 +91,14 @@ def retold_posts(spark, v):
     return rows.select("conv_id", "turn", "t.no_fit", "t.body", "t.text", "t.volatility_score", "t.poetic_reason")
 
 
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 0 ELSE 2 END AS results, CASE WHEN turn % 3 > 0 THEN 'post ' || conv_id END AS title, CASE WHEN turn % 3 > 0 THEN raw END AS content FROM llm_raw""", "llm_raw")
+def searched_answers(spark, v):
+    item = lambda title, content: F.struct(title.alias("title"), F.lit("https://p.example/").alias("url"), content.alias("content"), F.lit(0.5).alias("score"))
+    given = F.to_json(F.struct(F.array(item(F.concat(F.lit("post "), F.col("conv_id").cast("string")), F.col("raw")), item(F.lit("b"), F.lit(""))).alias("results")))
+    found = responses.search_results(F.when(F.col("turn") % 3 == 0, '{"detail": "no"}').otherwise(given))
+    return v("llm_raw").withColumn("f", found).select("conv_id", "turn", F.size("f").alias("results"), F.get("f", F.lit(0))["title"].alias("title"), F.get("f", F.lit(0))["content"].alias("content"))
+
+
 @query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN turn + conv_id % 10 / 10.0 + 0.5 ELSE 5.0 END::DOUBLE AS wait FROM llm_raw""", "llm_raw")
 def retry_waits(spark, v):
     asked = F.concat(F.lit("Rate limit reached. Please try again in "), F.col("turn").cast("string"), F.lit("."), (F.col("conv_id") % 10).cast("string"), F.lit("s. "), "raw")
@@ -255,6 +264,21 @@ def masked_emails(spark, v):
 # ---- feeds
 
 
+@query("""SELECT source, feed, (row_number() OVER (PARTITION BY source, feed ORDER BY id) - 1)::INT AS position, CASE WHEN source = 'clien.net' THEN 'post ' || id ELSE 'note ' || id END AS title,
+  CASE WHEN source = 'clien.net' THEN 'https://www.clien.net/service/board/park/' || id ELSE 'https://www.bobaedream.co.kr/view?code=freeb&No=' || id END AS url
+FROM (SELECT id, CASE WHEN id % 2 = 0 THEN 'clien.net' ELSE 'bobaedream.co.kr' END AS source, (id // 100)::VARCHAR AS feed FROM captured_posts WHERE id // 100 <> 4)""", "captured_posts")
+def board_items_of_posts(spark, v):
+    """Lists of two boards, fifty posts each, in the boards' own HTML; one is refused."""
+    name = F.col("id").cast("string")
+    clien = F.concat(F.lit('<a class="x" href="/service/board/park/'), name, F.lit('?od=T31" data-x="1">\n<span title=" post '), name, F.lit('">..</span></a>'))
+    bobae = F.concat(F.lit('<a class="bsubject" href="/view?code=freeb&No='), name, F.when(F.col("id") % 4 == 1, F.concat(F.lit('&bm=1" title="note '), name, F.lit('">no</a>'))).otherwise(F.concat(F.lit('">note <b>'), name, F.lit("</b></a>"))))
+    even = F.col("id") % 2 == 0
+    rows = v("captured_posts").select("id", F.when(even, "clien.net").otherwise("bobaedream.co.kr").alias("source"), F.floor(F.col("id") / 100).cast("string").alias("feed"), F.when(even, clien).otherwise(bobae).alias("a"))
+    lists = rows.groupBy("source", "feed").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "a"))), lambda x: x["a"]), "\n").alias("html"))  # fifty items
+    fetched = lists.select("source", "feed", F.encode("html", "UTF-8").alias("raw"), F.when(F.col("feed") == "4", 429).otherwise(200).alias("http_code"))
+    return collect.parsed(fetched).select("source", "feed", "position", "title", "url")
+
+
 def _xml_sql(x: str) -> str:
     return f"replace(replace(replace({x}, '&', '&amp;'), '>', '&gt;'), '<', '&lt;')"
 
@@ -316,6 +340,26 @@ def thresholds_by_day(spark, v):
     return found.select(F.col("day").cast("string").alias("day"), "threshold")
 
 
+@query(f"""{_ROUNDS} SELECT story_id, url, CASE code WHEN 404 THEN 'deleted' ELSE 'error' END AS status, code AS http_code, 'HTTP ' || code AS reason, status AS previous_status, http_code AS previous_code, check_count + 1 AS check_count,
+  CASE code WHEN 404 THEN 0 ELSE error_count + 1 END AS error_count, (TIMESTAMP '{VOTE_DAY}' + to_seconds(CASE code WHEN 404 THEN 3600 ELSE least(600 * pow(2, least(error_count, 20)), 86400) END))::VARCHAR AS next_check_at,
+  CASE WHEN code = 404 AND status <> 'deleted' THEN '{VOTE_DAY}' END AS deleted_at, CASE WHEN code = 404 THEN '{VOTE_DAY}' END AS hard_deleted_at, code = 404 AND status NOT IN ('deleted', 'blocked') AS newly_gone
+FROM citation_checks JOIN u USING (url) WHERE first <= 3""", "citation_checks")
+def recheck_round(spark, v):
+    checks, rounds = _rounds(spark, v)
+    seen = rounds[0].unionByName(rounds[1]).unionByName(rounds[2])
+    out = recheck.recheck(checks, seen, at(VOTE_DAY), first_hard=True)
+    out = out.withColumns({c: F.col(c).cast("string") for c in ("next_check_at", "deleted_at", "hard_deleted_at")})
+    return out.select("story_id", "url", "status", "http_code", "reason", "previous_status", "previous_code", "check_count", "error_count", "next_check_at", "deleted_at", "hard_deleted_at", "newly_gone")
+
+
+@query("""SELECT id, id % 3 = 0 AS valid FROM captured_posts""", "captured_posts")
+def uuid_rules(spark, v):
+    digits = F.md5(F.col("id").cast("string"))
+    made = F.concat_ws("-", F.substring(digits, 1, 8), F.substring(digits, 9, 4), F.substring(digits, 13, 4), F.substring(digits, 17, 4), F.substring(digits, 21, 12))
+    given = F.when(F.col("id") % 3 == 0, made).when(F.col("id") % 3 == 1, F.concat(made, F.lit("0"))).otherwise(F.substring("title", 1, 8))
+    return v("captured_posts").select("id", F.coalesce(constraints.is_uuid(given), F.lit(False)).alias("valid"))
+
+
 def _promoted(v):
     posts = v("captured_posts").where("hard_deleted_at is not null")
     raw = v("llm_raw").groupBy(F.col("conv_id").alias("id")).agg(F.min_by("raw", "turn").alias("raw"))
