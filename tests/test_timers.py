@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from vigil import store
 from vigil.config import Config
 from vigil.operators import schedule
 from vigil.streaming import run, timers
@@ -34,7 +35,7 @@ def _listed(df):
 def test_simulated_days_are_those_of_the_scan(spark, tmp_path):
     cfg = Config(check_batch=9)
     source, ticks, out, checkpoint = f"{tmp_path}/in", f"{tmp_path}/ticks", f"file://{tmp_path}/out", f"file://{tmp_path}/c"
-    checks = _checks(spark, 70).localCheckpoint()  # the plain version's table, held by the test
+    checks = store.written(_checks(spark, 70), "plain")  # the plain version's table
     timers.entries_of(checks).coalesce(1).write.parquet(f"{source}/start")
     entry = spark.read.parquet(f"{source}/start").schema
     taken = spark.createDataFrame([], "key string, stamp long")
@@ -49,9 +50,9 @@ def test_simulated_days_are_those_of_the_scan(spark, tmp_path):
         # what was checked is live, gone or in error by its name, and comes back with its new time
         kind = F.pmod(F.xxhash64("url", F.lit(cycle)), F.lit(4))
         checked = want.withColumns({"status": F.when(kind == 0, "error").when(kind == 1, "deleted").otherwise("live"), "http_code": F.when(kind == 0, 500).when(kind == 1, 410).otherwise(200), "check_count": F.col("check_count") + 1, "last_checked": now})
-        checked = schedule.with_next_check(checked, now).select(checks.columns).localCheckpoint()
-        checks = checks.join(checked, ["story_id", "url"], "left_anti").unionByName(checked).localCheckpoint()
-        taken = taken.unionByName(batch.select("key", "stamp")).localCheckpoint()
+        checked = store.written(schedule.with_next_check(checked, now).select(checks.columns), "plain")
+        checks = store.written(checks.join(checked, ["story_id", "url"], "left_anti").unionByName(checked), "plain")
+        taken = store.written(taken.unionByName(batch.select("key", "stamp")), "plain")
         timers.entries_of(checked).coalesce(1).write.parquet(f"{source}/{cycle}")
         timers.entries_of(checked).coalesce(1).write.parquet(f"{source}/{cycle}-again")  # a replay
 

@@ -348,8 +348,11 @@ def poll_totals(spark, v):
     return collect.poll(*_fetched(spark, v))[1]
 
 
-@query("""SELECT source, source || '/' || lpad((id // 1000)::VARCHAR, 12, '0') AS feed, (row_number() OVER (PARTITION BY source, id // 1000 ORDER BY id) - 1)::INT AS position, 'post ' || id || CASE WHEN id % 7 = 0 THEN ' 곧 삭제 될 것 같다' ELSE '' END AS title, url, url AS guid,
-  nullif(regexp_replace(trim(regexp_replace(substr(body_text, 1, 400), '[^A-Za-z0-9 ]', ' ', 'g')), ' +', ' ', 'g'), '') AS summary FROM captured_posts WHERE source IS NOT NULL AND id // 1000 <> 3""", "captured_posts")
+_POST_ITEMS = """SELECT source, source || '/' || lpad((id // 1000)::VARCHAR, 12, '0') AS feed, (row_number() OVER (PARTITION BY source, id // 1000 ORDER BY id) - 1)::INT AS position, 'post ' || id || CASE WHEN id % 7 = 0 THEN ' 곧 삭제 될 것 같다' ELSE '' END AS title, url, url AS guid,
+  nullif(regexp_replace(trim(regexp_replace(substr(body_text, 1, 400), '[^A-Za-z0-9 ]', ' ', 'g')), ' +', ' ', 'g'), '') AS summary FROM captured_posts WHERE source IS NOT NULL AND id // 1000 <> 3"""
+
+
+@query(_POST_ITEMS, "captured_posts")
 def feed_items_of_posts(spark, v):
     return collect.parsed(_fetched(spark, v)[0])
 
@@ -689,11 +692,12 @@ def classify_category(spark, v):
 @query("""SELECT * FROM (VALUES ('a', 'xml-rss', 0, '첫 글', 'https://a.example/1', 'g1', '요약 글'), ('a', 'xml-rss', 1, '둘', 'https://a.example/2', 'https://a.example/2', NULL),
   ('b', 'xml-atom', 0, 'Atom', 'https://b.example/1', 'tag:1', 's'), ('clien.net', 'clien', 0, '공원 글', 'https://www.clien.net/service/board/park/123', 'https://www.clien.net/service/board/park/123', NULL),
   ('bobaedream.co.kr', 'bobae', 0, '제목 속성', 'https://www.bobaedream.co.kr/view?code=freeb&No=77', 'https://www.bobaedream.co.kr/view?code=freeb&No=77', NULL),
-  ('bobaedream.co.kr', 'bobae', 1, '글 둘', 'https://www.bobaedream.co.kr/view?code=freeb&No=78', 'https://www.bobaedream.co.kr/view?code=freeb&No=78', NULL)) AS t(source, feed, position, title, url, guid, summary)""")
+  ('bobaedream.co.kr', 'bobae', 1, '글 둘', 'https://www.bobaedream.co.kr/view?code=freeb&No=78', 'https://www.bobaedream.co.kr/view?code=freeb&No=78', NULL)) AS t(source, feed, position, title, url, guid, summary) UNION ALL """ + _POST_ITEMS, "captured_posts")
 def feed_items_parsed(spark, v):
     rows = spark.createDataFrame(samples.payloads(), "source string, feed string, raw binary")
     xml = feed_sources.parse_xml(rows.where("feed like 'xml%'"))
-    return xml.unionByName(feed_sources.parse_clien(rows.where("feed = 'clien'"))).unionByName(feed_sources.parse_bobae(rows.where("feed = 'bobae'")))
+    both = xml.unionByName(feed_sources.parse_clien(rows.where("feed = 'clien'"))).unionByName(feed_sources.parse_bobae(rows.where("feed = 'bobae'")))
+    return both.unionByName(collect.parsed(_fetched(spark, v)[0]))
 
 
 def _tried(v):
