@@ -16,7 +16,9 @@ Each task packs what it reads, so nothing is shuffled and sequence ids are
 
 Ids are those of the tokenizer as its file has it, without special tokens of a template:
 a text is cut at the added tokens that it holds, which become their own ids, and the rest
-is encoded by pre-tokens, each distinct one once.
+is encoded by pre-tokens, each distinct one once. The tokenizer must be a byte-level one
+without a normalizer, and none of its added tokens may take in white space or look at its
+neighbours; others raise an error.
 
 Defined results: a null or empty text is one id, the end mark; repeated rows are
 packed each; a null id is kept; an empty table gives no pieces; other columns are ignored.
@@ -58,6 +60,8 @@ class WordEncoder:
         added = self.tokenizer.get_added_tokens_decoder()
         if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
             raise ValueError("added tokens that take in their surroundings are not supported")
+        if self.tokenizer.normalizer is not None or type(self.tokenizer.pre_tokenizer).__name__ != "ByteLevel":
+            raise ValueError("a byte-level tokenizer without a normalizer is needed")
         self.added = {t.content: np.array([i], np.uint32) for i, t in added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         # bytes stand for themselves if they print in Latin-1, else for code points from 256 on
