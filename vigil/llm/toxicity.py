@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from vigil.llm import textvec
-from vigil.llm.store import scope, written
+from vigil.llm.store import arrow_rows, scope, written
 
 BITS = 20
 MAX_LABELLED = 20_000
@@ -85,11 +85,11 @@ def buckets(text: str) -> np.ndarray:
 
 
 class Ftrl:
-    """FTRL-proximal for examples whose features are 0 or 1; the last weight is the intercept, without L1."""
+    """FTRL-proximal for examples whose features are 0 or 1; the last weight is the intercept, without L1. It works on the state that it is given."""
 
     def __init__(self, state: np.ndarray, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
-        self.z, self.n = state.copy()
+        self.z, self.n = state
 
     def weights(self, at: np.ndarray | slice) -> np.ndarray:
         z, n = self.z[at], self.n[at]
@@ -145,10 +145,11 @@ def _learner(turn: int):
             for shard, y, ends, steps, state in zip(*(frame[c] for c in ("shard", "y", "ends", "steps", "state"))):
                 y, ends, steps = np.frombuffer(y, np.int8), np.frombuffer(ends, "<i8"), np.frombuffer(zlib.decompress(steps), "<i4")
                 first = np.concatenate([[0], ends[:-1]])
-                model = Ftrl(_opened(state))
+                state = _opened(state)
+                model = Ftrl(state)
                 for k in np.random.default_rng(turn).permutation(len(y)).tolist():
                     model.learn(np.cumsum(steps[first[k] : ends[k]]), int(y[k]))
-                yield pd.DataFrame({"shard": [shard], "state": [_closed(np.stack([model.z, model.n]))]})
+                yield pd.DataFrame({"shard": [shard], "state": [_closed(state)]})
 
     return learn
 
@@ -163,9 +164,12 @@ def _closed(state: np.ndarray) -> bytes:
 
 
 def _mean(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The mean of all shards' states, added in the order of shards."""
-    rows = sorted(r for frame in parts for r in zip(frame["shard"], frame["state"]))
-    yield pd.DataFrame({"state": [_closed(sum(_opened(s) for _, s in rows) / len(rows))] if rows else []})
+    """The mean of all shards' states, added in the order of shards, in which they come."""
+    total, n = None, 0
+    for frame in parts:
+        for state in frame["state"]:
+            total, n = _opened(state) if total is None else total + _opened(state), n + 1
+    yield pd.DataFrame({"state": [_closed(total / n)] if n else []})
 
 
 def _weights(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,9 +202,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
         state = None
         for turn in range(ROUNDS):
             met = shards.withColumn("state", F.lit(None).cast("binary")) if state is None else shards.join(F.broadcast(state))  # one row of 8 * 2**BITS bytes
-            with scope():
+            with scope(), arrow_rows(docs.sparkSession, 1):  # rows are states and packed shards
                 moved = written(met.drop("positive").mapInPandas(_learner(turn), "shard long, state binary"), "moved")
-                state = written(moved.coalesce(1).mapInPandas(_mean, "state binary"), "state", keep=True)  # SHARDS rows
+                state = written(moved.coalesce(1).sortWithinPartitions("shard").mapInPandas(_mean, "state binary"), "state", keep=True)  # SHARDS rows
         found = sorted(tuple(r) for r in state.mapInPandas(_weights, "bucket long, weight double").collect())
         at, w = map(np.array, zip(*found))
         return at[:-1], w[:-1], float(w[-1])
