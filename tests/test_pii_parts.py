@@ -1,6 +1,7 @@
 """Texts scanned in parts against the scan of whole texts."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +30,30 @@ def test_parts_are_scanned_as_the_whole(spark, size):
     assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect()))
 
 
+def _whole_finds(text):
+    """kinds and texts by Python's search of the whole text with the detectors as they stand."""
+    found = []
+    for order, (kind, pattern) in enumerate(fixed.PII_DETECTORS):
+        m = re.search(pattern.removeprefix("(?U)"), text)
+        if m:
+            found.append((m.start() // fixed.PII_CHUNK, order, kind, m.group()))
+    return [f"{kind}:{t.strip()[:2]}{'*' * (len(t.strip()) - 2)}" for _, _, kind, t in sorted(found)]
+
+
+def test_finds_at_the_cuts_are_those_of_the_whole_text(spark):
+    """Finds cut by the end of a chunk or of what is seen behind it, and finds longer than that."""
+    rng, pad = random.Random(4), lambda n: ("wo rd, " * (n // 7 + 1))[:n]
+    long = ["m.99@mail0.example.com", "1234567890123456", "x" * 300 + "@y.kr", "7" * 9000, "900101" + " " * 500 + "-" + "\n" * 90 + "1234567", "카카오" + " " * 200 + "뱅크 12-34-567", "a.b" * 5000 + "@c." + "d" * 3000, "가ab.c@d.kr", "z12345678901", "..@a.kr", "a@b@c.kr"]
+    texts = [pad(at) + sign + find + after for find in [*HITS, *long] for sign in (" ", "가", "") for after in (" x", "z", "") for at in [rng.choice([3700, 3990, 3999, 4000, 4001, 4110, 4118, 4127, 4128, 7995])]]
+    texts += ["a." * 4000 + "@", "7" * 4000 + "x", " " * 9000, "a@" * 6000, "123456" + " " * 8000]
+    want = {k: _whole_finds(t) for k, t in enumerate(texts)}
+    whole = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", pii.scan(F.col("text"))["samples"].alias("samples"))
+    assert {r.id: r.samples for r in whole.collect()} == want
+    rows = [(k, i, t[i : i + 700]) for k, t in enumerate(texts) for i in range(0, len(t), 700)]
+    parts = pii.scan_parts(spark.createDataFrame(rows, "id long, part long, text string"))
+    assert {r.id: r.found.samples for r in parts.collect()} == want
+
+
 def test_odd_parts(spark):
     rows = [(1, 0, None), (1, 1, "010-12"), (1, 2, ""), (1, 3, "34-5678"), (2, 0, None), (None, 5, "x a@b.kr")]
     found = {r.id: r.found for r in pii.scan_parts(spark.createDataFrame(rows, "id long, part long, text string")).collect()}
