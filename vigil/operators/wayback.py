@@ -53,10 +53,14 @@ def to_submit(queue: DataFrame, capacity: DataFrame, cfg: Config = Config()) ->
     return first.withColumn("__turn", turn).join(F.broadcast(budget), F.col("__turn") <= F.col("__budget")).drop("__turn", "__budget")
 
 
-def submitted(rows: DataFrame, answers: DataFrame, as_of: Column, cfg: Config = Config()) -> DataFrame:
-    """rows after their requests. answers: url, job_id, error, snapshot_url, timestamp (of a snapshot found instead)."""
-    a = answers.select(*[F.col(c).alias(f"__{c}") for c in ("url", "job_id", "error", "snapshot_url", "timestamp")])
-    joined = rows.join(a, rows["url"] == F.col("__url"), "left")
+def submitted(rows: DataFrame, answers: DataFrame, as_of: Column, cfg: Config = Config(), by: str = "url") -> DataFrame:
+    """rows after their requests. answers: url, job_id, error, snapshot_url, timestamp (of a snapshot found instead).
+
+    by: what an answer names its request by. A queue that holds an address in several rows asks for
+    each of them, so its answers name the row (``id``).
+    """
+    a = answers.select(*[F.col(c).alias(f"__{c}") for c in (by, "job_id", "error", "snapshot_url", "timestamp")])
+    joined = rows.join(a, rows[by] == F.col(f"__{by}"), "left")
     tries = F.coalesce(F.col("attempts"), F.lit(0)) + 1
     job, found = F.col("__job_id").isNotNull(), F.col("__snapshot_url").isNotNull()
     worn = tries >= cfg.submit_attempts
@@ -68,20 +72,20 @@ def submitted(rows: DataFrame, answers: DataFrame, as_of: Column, cfg: Config =
         "snapshot_url": F.when(~job, F.col("__snapshot_url")), "snapshot_timestamp": F.when(~job & found, F.col("__timestamp")),
         "reason": F.when(~job & found, fixed.SNAPSHOT_FOUND).when(~job, F.substring(F.coalesce("__error", F.lit("save_failed")), 1, 200)),
     }
-    return joined.withColumns(out).drop("__url", "__job_id", "__error", "__snapshot_url", "__timestamp")
+    return joined.withColumns(out).drop(f"__{by}", "__job_id", "__error", "__snapshot_url", "__timestamp")
 
 
-def process(queue: DataFrame, jobs: DataFrame, capacity: DataFrame, answers: DataFrame, as_of: Column, cfg: Config = Config()) -> tuple[DataFrame, DataFrame]:
+def process(queue: DataFrame, jobs: DataFrame, capacity: DataFrame, answers: DataFrame, as_of: Column, cfg: Config = Config(), by: str = "url") -> tuple[DataFrame, DataFrame]:
     """One round of the queue's only consumer: due jobs are polled, then queued addresses submitted within the budget.
 
-    jobs: as ``polled`` takes them; capacity: as ``to_submit``; answers: as ``submitted``.
+    jobs: as ``polled`` takes them; capacity: as ``to_submit``; answers, by: as ``submitted``.
     Returns the queue after the round and one row with ``polled`` (jobs that ended) and
     ``submitted`` (requests accepted or met by a snapshot). An off queue stays as it is.
     """
     if not cfg.wayback_enabled:
         return queue, queue.sparkSession.range(1).select(F.lit(0).cast("long").alias("polled"), F.lit(0).cast("long").alias("submitted"))
     asked = polled(to_poll(queue, as_of, cfg), jobs, as_of, cfg).where("job_id <> ''").select("id", "status", "next_poll_at", "reason", "snapshot_timestamp", "snapshot_url")
-    sent = submitted(to_submit(queue, capacity, cfg), answers, as_of, cfg).select("id", "status", "attempts", "job_id", "next_poll_at", "reason", "snapshot_timestamp", "snapshot_url")
+    sent = submitted(to_submit(queue, capacity, cfg), answers, as_of, cfg, by).select("id", "status", "attempts", "job_id", "next_poll_at", "reason", "snapshot_timestamp", "snapshot_url")
     ended = asked.agg(F.count_if(F.col("status").isin("success", "error")).alias("polled"))
     taken = sent.agg(F.count_if(F.col("status").isin("pending", "success")).alias("submitted"))
     return upsert(upsert(queue, asked, ["id"]), sent, ["id"]), ended.join(F.broadcast(taken))  # one row each
