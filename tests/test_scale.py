@@ -35,3 +35,16 @@ def _as_sql(spark, folder, name):
 @pytest.mark.parametrize("name", ["wayback_submitted", "wayback_consumed", "wayback_totals"])
 def test_an_address_in_several_rows_of_the_queue(name, spark, copies):
     assert _as_sql(spark, copies("pages", page_id=10_000), name)
+
+
+def test_streams_hand_keys_to_python_by_buckets(spark, tmp_path):
+    """A call for each bucket's rows, not for each key."""
+    from vigil.streaming import ordered, timers
+
+    spark.range(2000).select(F.concat(F.lit("k"), "id").alias("key"), F.lit("2024-01-01").cast("timestamp_ntz").alias("stamp"), F.lit("2024-01-02").cast("timestamp_ntz").alias("due"), F.lit("p").alias("payload")).write.parquet(f"{tmp_path}/in")
+    entries = spark.readStream.schema("key string, stamp timestamp_ntz, due timestamp_ntz, payload string").parquet(f"{tmp_path}/in")
+    clock = entries.select(F.col("due").alias("at"))
+    log = entries.select("key", "stamp", F.lit(1).alias("seq"), F.lit("live").alias("status"))
+    for stream in (timers.due_rows(entries, clock), ordered.transitions(log, "key", "stamp", "seq")):
+        plan = stream._jdf.queryExecution().analyzed().toString()
+        assert "pmod(xxhash64(key" in plan and "TransformWithStateInPySpark" in plan

@@ -1,6 +1,7 @@
 """The schedule as a queue of timers: what is due comes out when its time has passed, without a scan of the checks.
 
-Each key's state is its entry: when it is due and what it carries (its counts, say). A row
+A key's entry is when it is due and what it carries (its counts, say); the state holds the entries
+of a bucket of keys together, and a batch reads the buckets in which something is due. A row
 with a later stamp replaces the entry and its timer; one with an earlier or equal stamp is a
 replay and changes nothing; one without a time takes the key out of the queue. As the
 watermark passes the time, the entry comes out once, and the key rests until a row with a
@@ -11,43 +12,66 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from vigil.config import Config
 from vigil.operators.schedule import in_queue
+from vigil.streaming.frames import FRAMES, Alarm, bucket, packed, unpacked
 
 OUT = "key string, due long, stamp long, payload string"
 
 
+COLUMNS = ["key", "stamp", "due", "payload"]
+
+
 class _Queue(StatefulProcessor):
+    """The entries of a bucket of keys: frames of rows as they came, made one frame when the bucket's timer rings."""
+
     def init(self, handle) -> None:
-        self.handle = handle
-        self.entry = handle.getValueState("entry", "stamp long, due long, payload string")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        entry = self.entry.get()
-        newest = max(((r.stamp, r.due if r.due is not None else -1, r.payload) for r in rows), key=lambda r: r[:2])
-        if entry is not None:
-            if newest[0] <= entry[0]:
-                return iter(())
-            if entry[1] >= 0:
-                self.handle.deleteTimer(self._timer(entry[1]))
-        self.entry.update(newest)
-        if newest[1] >= 0:
-            self.handle.registerTimer(self._timer(newest[1]))
+        self.frames = handle.getListState("frames", "frame binary")
+        self.number = handle.getValueState("number", "n int")
+        self.alarm = Alarm(handle)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        new = self._newest(new.loc[~new["tick"], COLUMNS].sort_values("due", ascending=False))
+        if not len(new):
+            return iter(())
+        self.frames.appendValue(packed(new))
+        number = (self.number.get() or (0,))[0] + 1
+        if number > FRAMES:
+            self.frames.put([packed(self._newest(unpacked(self.frames.get())))])
+            number = 1
+        self.number.update((number,))
+        if (new["due"] >= 0).any():
+            self.alarm.by(int(self._timer(new.loc[new["due"] >= 0, "due"]).min()))
         return iter(())
 
     @staticmethod
-    def _timer(due: int) -> int:
+    def _newest(rows: pd.DataFrame) -> pd.DataFrame:
+        """Of each key the row with the latest stamp, of equal stamps the first."""
+        return rows.sort_values("stamp", ascending=False, kind="stable").drop_duplicates("key")
+
+    @staticmethod
+    def _timer(due: pd.Series) -> pd.Series:
         """The first whole second that is not before it, in milliseconds: a batch asks what is due by the second."""
         return -(-due // 1_000_000) * 1000
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        stamp, due, payload = self.entry.get()
-        self.entry.update((stamp, -1, payload))
-        yield Row(key=key[0], due=due, stamp=stamp, payload=payload)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.alarm.rang()
+        held = self._newest(unpacked(self.frames.get()))
+        timer = self._timer(held["due"])
+        out = (held["due"] >= 0) & (timer <= timerValues.getCurrentWatermarkInMs())
+        yield held.loc[out, ["key", "due", "stamp", "payload"]]
+        later = timer[(held["due"] >= 0) & ~out]
+        held.loc[out, "due"] = -1
+        self.frames.put([packed(held)])
+        self.number.update((1,))
+        if len(later):
+            self.alarm.by(int(later.min()))
 
 
 def due_rows(entries: DataFrame, ticks: DataFrame) -> DataFrame:
@@ -58,10 +82,10 @@ def due_rows(entries: DataFrame, ticks: DataFrame) -> DataFrame:
     Entries have no event time of their own, so none is too late, however old its stamp.
     """
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    none = F.lit(None)
-    rows = entries.where("key is not null and stamp is not null").select(none.cast("timestamp").alias("time"), F.col("key").cast("string").alias("key"), micros("stamp").alias("stamp"), micros("due").alias("due"), F.col("payload").cast("string").alias("payload"))
-    clock = ticks.where("at is not null").select(F.col("at").cast("timestamp").alias("time"), F.lit("").alias("key"), micros("at").alias("stamp"), none.cast("long").alias("due"), none.cast("string").alias("payload"))
-    return rows.unionByName(clock).withWatermark("time", "0 seconds").groupBy("key").transformWithState(_Queue(), OUT, "append", "eventTime")
+    none, none_due = F.lit(None), F.lit(-1).cast("long")
+    rows = entries.where("key is not null and stamp is not null").select(none.cast("timestamp").alias("time"), F.col("key").cast("string").alias("key"), micros("stamp").alias("stamp"), F.coalesce(micros("due"), none_due).alias("due"), F.col("payload").cast("string").alias("payload"), F.lit(False).alias("tick"))
+    clock = ticks.where("at is not null").select(F.col("at").cast("timestamp").alias("time"), F.lit("").alias("key"), micros("at").alias("stamp"), none_due.alias("due"), none.cast("string").alias("payload"), F.lit(True).alias("tick"))
+    return rows.unionByName(clock).withWatermark("time", "0 seconds").withColumn("bucket", bucket("key")).groupBy("bucket").transformWithStateInPandas(_Queue(), OUT, "append", "eventTime")
 
 
 def entries_of(checks: DataFrame, keys: tuple[str, ...] = ("story_id", "url")) -> DataFrame:
