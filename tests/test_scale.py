@@ -48,3 +48,22 @@ def test_streams_hand_keys_to_python_by_buckets(spark, tmp_path):
     for stream in (timers.due_rows(entries, clock), ordered.transitions(log, "key", "stamp", "seq")):
         plan = stream._jdf.queryExecution().analyzed().toString()
         assert "pmod(xxhash64(key" in plan and "TransformWithStateInPySpark" in plan
+
+
+def test_checks_are_dealt_once_and_in_more_parts_as_they_grow(spark, copies, monkeypatch):
+    from vigil import bridge
+
+    folder = copies("lineitem", l_orderkey=1_000_000)
+    monkeypatch.setattr(bridge, "PART_BYTES", 1 << 14)
+    found = catalogue.queries()["citation_signals"](spark, folder)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and found.rdd.getNumPartitions() > 4
+    for name in ("citation_signals", "delta_signals", "delta_archive_due", "story_detail", "recheck_round"):
+        assert _as_sql(spark, folder, name)
+
+
+def test_feeds_go_to_python_by_bytes(spark, data):
+    from vigil.sources import feeds
+
+    catalogue.queries()["poll_feeds"](spark, data).count()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= feeds.BYTES_AT_ONCE

@@ -345,8 +345,7 @@ def thresholds_by_day(spark, v):
   CASE WHEN code = 404 AND status <> 'deleted' THEN '{VOTE_DAY}' END AS deleted_at, CASE WHEN code = 404 THEN '{VOTE_DAY}' END AS hard_deleted_at, code = 404 AND status NOT IN ('deleted', 'blocked') AS newly_gone
 FROM citation_checks JOIN u USING (url) WHERE first <= 3""", "citation_checks")
 def recheck_round(spark, v):
-    checks, rounds = _rounds(spark, v)
-    seen = rounds[0].unionByName(rounds[1]).unionByName(rounds[2])
+    checks, seen = _rounds(spark, v)
     out = recheck.recheck(checks, seen, at(VOTE_DAY), first_hard=True)
     out = out.withColumns({c: F.col(c).cast("string") for c in ("next_check_at", "deleted_at", "hard_deleted_at")})
     return out.select("story_id", "url", "status", "http_code", "reason", "previous_status", "previous_code", "check_count", "error_count", "next_check_at", "deleted_at", "hard_deleted_at", "newly_gone")

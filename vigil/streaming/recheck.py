@@ -14,14 +14,15 @@ from vigil.operators.verdict import apply_verdicts, decide
 from vigil.store import scope, written
 
 
-def recheck(checks: DataFrame, observations: DataFrame, as_of: Column, cfg: Config = Config(), first_hard: bool = False) -> DataFrame:
-    """The checks that were observed (url, obs), after their verdicts; unobserved ones are not returned."""
+def recheck(checks: DataFrame, observations: DataFrame, as_of: Column, cfg: Config = Config(), first_hard: bool = False, carry: str | None = None) -> DataFrame:
+    """The checks that were observed (url, obs), after their verdicts; unobserved ones are not returned. carry: a field of obs to keep as a column."""
     seen = observations.select(F.col("url").alias("__u"), F.col("obs").alias("__obs"))
     rows = checks.join(seen, checks["url"] == F.col("__u"))
     base = F.when(F.col("baseline_at").isNotNull(), F.struct(
         F.lit(True).alias("captured"), F.col("baseline_final_url").alias("final_url"), F.col("baseline_len").alias("len"),
         F.col("baseline_hash").alias("hash"), F.col("baseline_del_match").alias("del_match"), F.col("baseline_blk_match").alias("blk_match"),
     ))
+    rows = rows if carry is None else rows.withColumn(carry, F.col(f"__obs.{carry}"))
     rows = rows.withColumn("verdict", decide(F.col("__obs"), F.col("url"), base, cfg)).drop("__u", "__obs")
     return apply_verdicts(rows, as_of, cfg, first_hard)
 
