@@ -67,3 +67,18 @@ def test_feeds_go_to_python_by_bytes(spark, data):
 
     catalogue.queries()["poll_feeds"](spark, data).count()
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= feeds.BYTES_AT_ONCE
+
+
+def test_canonical_json_is_that_of_python_without_python(spark):
+    import json
+
+    from vigil.operators import archive
+
+    odd = "".join(map(chr, range(1, 128))) + "\u0085\u2028가😀\\n\\\\\"/"
+    rows = [(1, ([odd, None, ""], (True, None), "b\nc", 2**60)), (2, ([], None, None, None)), (3, None)]
+    df = spark.createDataFrame(rows, "id int, d struct<z:array<string>,a:struct<y:boolean,b:int>,`ü`:string,n:long>")
+    found = archive.canonical_json(df, "d")
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: r.canonical for r in found.collect()}
+    want = lambda d: json.dumps({"z": d[0], "a": d[1] and dict(zip("yb", d[1])), "ü": d[2], "n": d[3]}, sort_keys=True, ensure_ascii=False)
+    assert got == {1: want(rows[0][1]), 2: want(rows[1][1]), 3: None}

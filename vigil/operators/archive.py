@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, TimestampNTZType, TimestampType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegralType, StringType, StructType, TimestampNTZType, TimestampType
 
 from vigil.config import PENDING, Config
 from vigil.operators.schedule import backoff_ready, seconds_after
@@ -116,9 +117,48 @@ def bundle(stories: DataFrame, votes: DataFrame, checks: DataFrame, archived_at:
     ).alias("dataset"))
 
 
+# The characters that JSON text escapes, besides the quote and the backslash.
+ESCAPES = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
+def _quoted(c: Column) -> Column:
+    """Text as JSON: what must be escaped is, all else stays."""
+    plain = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    escaped = plain
+    for sign in map(chr, range(32)):
+        escaped = F.replace(escaped, F.lit(sign), F.lit(ESCAPES.get(sign, f"\\u{ord(sign):04x}")))
+    return F.concat(F.lit('"'), F.when(F.rlike(c, F.lit(r"[\x00-\x1f]")), escaped).otherwise(plain), F.lit('"'))
+
+
+def _json(c: Column, kind: DataType) -> Column | None:
+    """Canonical JSON of a value, as an expression; None for types whose text is not plain (fractions, times, maps)."""
+    if isinstance(kind, StructType):
+        parts = [(f.name, _json(c[f.name], f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
+        if any(p is None for _, p in parts):
+            return None
+        named = [x for i, (n, p) in enumerate(parts) for x in (F.lit(f"{', ' if i else ''}{json.dumps(n, ensure_ascii=False)}: "), p)]
+        text = F.concat(F.lit("{"), *named, F.lit("}"))
+    elif isinstance(kind, ArrayType):
+        if _json(F.lit(None).cast(kind.elementType), kind.elementType) is None:
+            return None
+        text = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: _json(x, kind.elementType)), ", "), F.lit("]"))
+    elif isinstance(kind, StringType):
+        text = _quoted(c)
+    elif isinstance(kind, (IntegralType, BooleanType)):
+        text = c.cast("string")
+    else:
+        return None
+    return F.when(c.isNull(), "null").otherwise(text)
+
+
 def canonical_json(df: DataFrame, column: str, name: str = "canonical") -> DataFrame:
-    """df with the JSON that is signed: sorted keys, ", " and ": " between parts, text unescaped."""
-    import json
+    """df with the JSON that is signed: sorted keys, ", " and ": " between parts, text unescaped; null for a null record.
+
+    Records of text, whole numbers, truth values, lists and structs are written by expressions; others pass through Python.
+    """
+    text = _json(F.col(column), df.schema[column].dataType)
+    if text is not None:
+        return df.withColumn(name, F.when(F.col(column).isNotNull(), text))
 
     @F.pandas_udf("string")
     def dumped(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
