@@ -12,11 +12,15 @@ first goes. What goes is a list of chunk numbers for each document. Hashes and l
 are sent to all executors if they are small (``BROADCAST_NUMBERS``), else joined by
 shuffle. All of it is DataFrame functions.
 
-Chunks find a repeated run only where its ends are cut alike, so ``dedup_passages``
-takes every place of two neighbouring lines, and every line of over ``LONG`` words:
-where an earlier place has the same bytes, its lines go. A repeated run of two lines or
-more so goes whole, wherever it starts. Each line that goes has an earlier copy, so the
-first copy of a line always stays; the lines next to it may go.
+Chunks find a repeated run only where its ends are cut alike. ``dedup_passages`` takes
+the same search first, over chunks of two lines or more and of one line of over ``LONG``
+words, and then completes it exactly around and between the chunks that go: of all else,
+every place of two neighbouring lines and every line of over ``LONG`` words goes where an
+earlier place has the same bytes. A repeated run of two lines or more so goes whole,
+wherever it starts. What lies inside a chunk that goes is not looked at again, neither
+as what goes nor as what stays: the chunk's first place has it, and comes earlier. Each
+line that goes has an earlier copy, so the first copy of a line always stays; the lines
+next to it may go.
 
 Defined results: a null text stays null, an empty one is a single empty line; every
 row stays, perhaps with fewer lines; rows with equal id and text are one document,
@@ -39,21 +43,29 @@ FACTOR = 1_000_003
 MODULUS = (1 << 31) - 1
 BROADCAST_NUMBERS = 500_000
 LONG = 50  # words from which on a line is a passage of its own
+PLACES = 1 << 31  # lines that a text can have
+
+
+def _ends(lines: Column) -> Column:
+    """The numbers of the lines that end a chunk."""
+
+    def cut(h: Column) -> Column:
+        rolling = lambda i: sum((F.coalesce(F.get(h, i - k), F.lit(0).cast("long")) * (FACTOR**k % MODULUS) for k in range(1, WINDOW)), F.get(h, i))
+        return F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (rolling(i) % MODULUS % DIVISOR == 0) | (i == F.size(h) - 1))
+
+    return let(F.transform(lines, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long")), cut)
+
+
+def _first(ends: Column, k: Column) -> Column:
+    """The first line of chunk k."""
+    return F.coalesce(F.get(ends, k - 1), F.lit(-1)) + 1
 
 
 def chunks(text: Column) -> Column:
     """The chunks of a text in order, each an array of lines."""
 
     def of(lines: Column) -> Column:
-        hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"))
-
-        def cut(h: Column) -> Column:
-            rolling = lambda i: sum((F.coalesce(F.get(h, i - k), F.lit(0).cast("long")) * (FACTOR**k % MODULUS) for k in range(1, WINDOW)), F.get(h, i))
-            ends = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (rolling(i) % MODULUS % DIVISOR == 0) | (i == F.size(h) - 1))
-            first = lambda e, k: F.coalesce(F.get(e, k - 1), F.lit(-1)) + 1
-            return let(ends, lambda e: F.transform(e, lambda x, k: F.transform(F.sequence(first(e, k), x), lambda i: F.get(lines, i))))
-
-        return let(hashes, cut)
+        return let(_ends(lines), lambda e: F.transform(e, lambda x, k: F.transform(F.sequence(_first(e, k), x), lambda i: F.get(lines, i))))
 
     return let(F.split(text, "\n", -1), of)
 
@@ -64,16 +76,44 @@ def _small(df: DataFrame, size: Column) -> DataFrame:
     return F.broadcast(df) if held <= BROADCAST_NUMBERS else df
 
 
-def passages(text: Column) -> Column:
+def _long(line: Column) -> Column:
+    return F.regexp_count(line, F.lit("[^ \\t-\\r]+")) > LONG
+
+
+def _lines(place: Column) -> Column:
+    """The lines of a chunk's place, which is its first line times ``PLACES`` plus its number of lines."""
+    first = F.shiftright(place, 31)
+    return F.sequence(first, first + place.bitwiseAND(F.lit(PLACES - 1)) - 1)
+
+
+def placed_chunks(text: Column) -> Column:
+    """The chunks that ``dedup_passages`` looks at, each struct(k, passage): its place and its text."""
+
+    def of(lines: Column) -> Column:
+        part = lambda first, n: F.struct((first * F.lit(PLACES) + n).alias("k"), F.array_join(F.slice(lines, first + 1, n), "\n").alias("passage"))
+        found = let(_ends(lines), lambda e: F.transform(e, lambda x, k: F.struct(_first(e, k).alias("first"), (x + 1 - _first(e, k)).alias("n"))))
+        found = F.filter(found, lambda x: (x["n"] > 1) | _long(F.get(lines, x["first"])))
+        return F.transform(found, lambda x: part(x["first"], x["n"]))
+
+    return let(F.split(text, "\n", -1), of)
+
+
+def passages(text: Column, inside: Column | None = None) -> Column:
     """The passages of a text, each struct(k, passage): two neighbouring lines from line k / 2 on
-    (k even), and a line of over ``LONG`` words, line (k - 1) / 2 (k odd)."""
+    (k even), and a line of over ``LONG`` words, line (k - 1) / 2 (k odd). inside: places of
+    chunks, whose own passages are left out; null: none."""
 
     def of(lines: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(lines) - 1)
-        pair = lambda i: F.struct((2 * i).alias("k"), F.concat(F.get(lines, i), F.lit("\n"), F.get(lines, i + 1)).alias("passage"))
-        alone = lambda i: F.struct((2 * i + 1).alias("k"), F.get(lines, i).alias("passage"))
-        long = F.filter(at, lambda i: F.regexp_count(F.get(lines, i), F.lit("[^ \\t-\\r]+")) > LONG)
-        return F.concat(F.transform(F.filter(at, lambda i: i < F.size(lines) - 1), pair), F.transform(long, alone))
+        at = F.sequence(F.lit(0).cast("long"), (F.size(lines) - 1).cast("long"))
+        pairs, ones = F.slice(at, 1, F.size(lines) - 1), at
+        if inside is not None:
+            own = F.transform(inside, _lines)
+            ones = F.when(inside.isNull(), ones).otherwise(F.array_except(ones, F.flatten(own)))
+            pairs = F.when(inside.isNull(), pairs).otherwise(F.array_except(pairs, F.flatten(F.transform(own, lambda x: F.slice(x, 1, F.size(x) - 1)))))
+        line = lambda i: F.get(lines, i.cast("int"))
+        pair = lambda i: F.struct((2 * i).alias("k"), F.concat(line(i), F.lit("\n"), line(i + 1)).alias("passage"))
+        alone = lambda i: F.struct((2 * i + 1).alias("k"), line(i).alias("passage"))
+        return F.concat(F.transform(pairs, pair), F.transform(F.filter(ones, lambda i: _long(line(i))), alone))
 
     return let(F.split(text, "\n", -1), of)
 
@@ -122,13 +162,22 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 def dedup_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs without the lines of passages that an earlier place has, and ``__removed``."""
-    places = _ids(docs, text, doc_id).select("__l_id", "__l_key", F.explode(passages(F.col("__l_text"))).alias("p"))
-    goes = _later(places.select("__l_id", "__l_key", F.col("p.k").alias("__l_k"), "p.passage"), F.col("passage"))
-
-    def left(lines: Column) -> Column:
+    with scope():
+        ids = _ids(docs, text, doc_id)
+        place = [F.col("p.k").alias("__l_k"), "p.passage"]
+        found = ids.select("__l_id", "__l_key", F.explode(placed_chunks(F.col("__l_text"))).alias("p"))
+        hits = _later(found.select("__l_id", "__l_key", *place), F.col("passage"))
+        same = F.col("__l_id").eqNullSafe(F.col("__l_of")) & (F.col("__l_key") == F.col("__l_of_key"))
+        rest = ids.join(hits, same, "left").select("__l_id", "__l_key", F.explode(passages(F.col("__l_text"), F.col("__l_goes"))).alias("p"))
+        more = _later(rest.select("__l_id", "__l_key", *place), F.col("passage"))
         first = lambda k: F.shiftright(k, 1)
         gone = F.concat(F.transform("__l_goes", first), F.transform(F.filter("__l_goes", lambda k: k % 2 == 0), lambda k: first(k) + 1))
-        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-        return F.struct(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n").alias("text"), (F.size(lines) - F.size(kept)).alias("removed"))
+        both = hits.withColumn("__l_goes", F.flatten(F.transform("__l_goes", _lines))).unionByName(more.withColumn("__l_goes", gone))
+        both = both.groupBy("__l_of", "__l_of_key").agg(F.array_distinct(F.flatten(F.collect_list("__l_goes"))).alias("__l_goes"))
+        goes = _small(written(both, "going-lines", keep=True), F.size("__l_goes") + 2)
+
+    def left(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0).cast("long"), (F.size(lines) - 1).cast("long")), F.col("__l_goes"))
+        return F.struct(F.array_join(F.transform(kept, lambda k: F.get(lines, k.cast("int"))), "\n").alias("text"), (F.size(lines) - F.size(kept)).alias("removed"))
 
     return _without(docs, goes, let(F.split(F.col(text), "\n", -1), left), text, doc_id)
