@@ -28,8 +28,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from codecs import charmap_decode
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -49,7 +51,8 @@ class WordEncoder:
 
     A byte-level tokenizer encodes pre-tokens independently, so a text's ids are those
     its model gives for the pre-tokens in order. Known pre-tokens are kept by their
-    characters and forgotten at ``most``.
+    characters. At ``most`` those are forgotten that no second batch had, or all if
+    over three quarters would stay.
     """
 
     def __init__(self, path: str, most: int = 200_000):
@@ -67,7 +70,8 @@ class WordEncoder:
         # bytes stand for themselves if they print in Latin-1, else for code points from 256 on
         prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in prints]
-        self.signs = {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+        signs = {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+        self.signs = "".join(signs[b] for b in range(256))
         text = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.closes = np.array([t[-1:] in (".", "!", "?", "Ċ") for t in text])  # the last is the newline's sign
         self.most = most
@@ -77,16 +81,47 @@ class WordEncoder:
         self.slot: dict[str, int] = {}
         self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.again = np.zeros(0, bool)  # pre-tokens that were met after their first batch
+
+    def forget(self, room: int) -> None:
+        """Keeps the pre-tokens that were met again, which each must be once more to stay the next time; none if they are over ``room``."""
+        kept = np.flatnonzero(self.again)
+        if len(kept) > room:
+            self.clear()
+            return
+        number = np.where(self.again, np.cumsum(self.again) - 1, -1).tolist()
+        self.slot = {w: k for w, s in self.slot.items() if (k := number[s]) >= 0}
+        n = self.n[kept]
+        ends = np.cumsum(n)
+        self.ids = self.ids[np.repeat(self.at[kept] - ends + n, n) + np.arange(n.sum())]
+        self.at, self.n, self.again = ends - n, n, np.zeros(len(kept), bool)
 
     def learn(self, words: list[str]) -> None:
         tokenize, signs = self.model.tokenize, self.signs
-        found = [[t.id for t in tokenize(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(signs))] for w in words]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(n.sum()))
+        flat: list[int] = []
+        ends = np.empty(len(words), np.int64)
+        for k, w in enumerate(words):
+            flat += [t.id for t in tokenize(charmap_decode(w.encode("utf-8", "surrogatepass"), "strict", signs)[0])]
+            ends[k] = len(flat)
+        n = np.diff(ends, prepend=0)
         self.slot.update(zip(words, range(len(self.n), len(self.n) + len(words))))
-        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])
+        self.at = np.concatenate([self.at, len(self.ids) + ends - n])
         self.n = np.concatenate([self.n, n])
-        self.ids = np.concatenate([self.ids, flat])
+        self.ids = np.concatenate([self.ids, np.array(flat, np.uint32)])
+        self.again = np.concatenate([self.again, np.zeros(len(words), bool)])
+
+    def entries(self, words: list[str]) -> np.ndarray:
+        """The slots of distinct pre-tokens; new ones are learnt."""
+        entry = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(entry < 0)
+        self.again[entry[entry >= 0]] = True
+        if self.slot and len(self.slot) + len(new) > self.most:
+            self.forget(min(self.most - len(new), self.most * 3 // 4))
+            entry = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int64, len(words))
+            new = np.flatnonzero(entry < 0)
+        entry[new] = np.arange(len(self.n), len(self.n) + len(new))
+        self.learn([words[k] for k in new.tolist()])
+        return entry
 
     def segments(self, texts: list[str]) -> tuple[list[int], list[str], list[np.ndarray | None]]:
         """(row, text, ids) of stretches in order: ids are given for added tokens only."""
@@ -110,10 +145,7 @@ class WordEncoder:
             end = np.append(start[1:], len(codes))
             number, where = textvec.distinct(codes, start, end)
             words = [joined[s:e] for s, e in zip(start[where].tolist(), end[where].tolist())]
-            if len(self.slot) + len(words) > self.most:
-                self.clear()
-            self.learn([w for w in words if w not in self.slot])
-            entry = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))[number]
+            entry = self.entries(words)[number]
             n = self.n[entry]
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
