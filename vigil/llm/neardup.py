@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from vigil.llm import worker
 from vigil.llm.simhash import BROADCAST_KEYS, SEED, components, links
 from vigil.llm.store import arrow_rows, scope, written
 
@@ -92,6 +93,7 @@ def fingerprint(found: np.ndarray) -> int:
 def _sketches(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     from xxhash import xxh64_intdigest
 
+    worker.begin("neardup")
     for texts in parts:
         nodes, prints, keys = [], [], []
         for text in texts.fillna(""):
@@ -104,6 +106,7 @@ def _sketches(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def _sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The set of each node's text; few rows at a time, as sets are larger than their texts."""
+    worker.begin("neardup")
     for frame in parts:
         for k in range(0, len(frame), 256):
             part = frame.iloc[k : k + 256]

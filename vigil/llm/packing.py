@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm import textvec
+from vigil.llm import textvec, worker
 
 SENTENCE, HARD = 2, 8  # penalties, in ids of padding
 END_ID = 0
@@ -271,9 +271,6 @@ class Packer:
         self.held = len(ids) - keep
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def pack(docs: DataFrame, tokenizer: str, size: int = 1024, block: int = 1 << 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -281,9 +278,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, block: int = 1 << 20
     """
 
     def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoders.get(tokenizer)
-        if encoder is None:
-            encoder = _encoders[tokenizer] = WordEncoder(tokenizer)
+        worker.begin("packing")
+        encoder = worker.kept(f"encoder {tokenizer}", lambda: WordEncoder(tokenizer))
         packer = Packer(TaskContext.get().partitionId() << 33, size, block, encoder.closes)
 
         def ready(everything: bool) -> Iterator[pd.DataFrame]:

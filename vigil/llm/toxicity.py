@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from vigil.llm import textvec
+from vigil.llm import textvec, worker
 from vigil.llm.store import arrow_rows, scope, written
 
 BITS = 20
@@ -110,6 +110,7 @@ class Ftrl:
 
 def _examples(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The distinct buckets of labelled texts, few texts at a time."""
+    worker.begin("toxicity, training")
     for frame in parts:
         for k in range(0, len(frame), 128):
             part = frame.iloc[k : k + 128]
@@ -124,6 +125,7 @@ def _packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packed = b"".join([*chunks, steps.flush()])
         return pd.DataFrame({"shard": [shard], "y": [bytes(y)], "ends": [np.array(ends, "<i8").tobytes()], "steps": [packed], "positive": [sum(y)]})
 
+    worker.begin("toxicity, training")
     for frame in parts:
         for s, label, at in zip(frame["shard"], frame["y"], frame["at"]):
             if s != shard:
@@ -141,6 +143,7 @@ def _learner(turn: int):
     """A function from packed shards, each with the common state or none, to their states after a pass."""
 
     def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker.begin("toxicity, training")
         for frame in parts:
             for shard, y, ends, steps, state in zip(*(frame[c] for c in ("shard", "y", "ends", "steps", "state"))):
                 y, ends, steps = np.frombuffer(y, np.int8), np.frombuffer(ends, "<i8"), np.frombuffer(zlib.decompress(steps), "<i4")
@@ -233,6 +236,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None, t
 
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        worker.begin("toxicity, scores")
         weight = np.zeros(1 << BITS)
         weight[sent.value[0]] = sent.value[1]
         for texts in parts:
