@@ -37,6 +37,14 @@ def test_an_address_in_several_rows_of_the_queue(name, spark, copies):
     assert _as_sql(spark, copies("pages", page_id=10_000), name)
 
 
+def test_observed_pages_are_whole_and_may_lack_an_address(spark, data, tmp_path):
+    long = "CASE WHEN page_id % 5 = 2 THEN html || repeat('<p>one more</p> ', 6000) || '<p>deleted post</p>' ELSE html END AS html"
+    duckdb.sql(f"COPY (SELECT * REPLACE ({long}, CASE WHEN page_id % 3 > 0 THEN url END AS url) FROM '{data}/pages.parquet') TO '{tmp_path}/pages.parquet'")
+    for name in "orders lineitem events documents labels conversations".split():
+        (tmp_path / f"{name}.parquet").symlink_to(f"{data}/{name}.parquet")
+    assert _as_sql(spark, str(tmp_path), "page_observations")
+
+
 def test_streams_hand_keys_to_python_by_buckets(spark, tmp_path):
     """A call for each bucket's rows, not for each key."""
     from vigil.streaming import ordered, timers

@@ -221,8 +221,9 @@ def page_observations(spark, v):
         "page_id", "url", at(VOTE_DAY).alias("seen_at"), F.when(k == 0, "timeout").alias("net"), F.when(k == 1, 404).when(k > 1, 200).alias("http_code"), F.when(k > 0, F.concat(F.lit("https://f.example/"), F.col("page_id").cast("string"))).alias("final_url"),
         F.when(k == 0, "deadline").alias("reason"), F.lit("text/html; charset=utf-8").alias("content_type"), none.alias("encoding"), F.encode("body", "UTF-8").alias("body"),
     )
-    seen = captures.observations(rows.withColumn("url", F.concat(F.col("page_id").cast("string"), F.lit(" "), "url")))
-    return seen.select(F.substring_index("url", " ", 1).cast("long").alias("page_id"), "obs.*").withColumn("final_url", F.when(F.col("net") == "timeout", F.expr("substring(final_url, instr(final_url, ' ') + 1)")).otherwise(F.col("final_url")))
+    seen = captures.observations(rows.withColumn("url", F.concat_ws(" ", F.col("page_id").cast("string"), "url")))  # the number alone where the address is missing
+    own = F.expr("if(instr(final_url, ' ') > 0, substring(final_url, instr(final_url, ' ') + 1), null)")
+    return seen.select(F.substring_index("url", " ", 1).cast("long").alias("page_id"), "obs.*").withColumn("final_url", F.when(F.col("net") == "timeout", own).otherwise(F.col("final_url")))
 
 
 @query("""SELECT -1 - page_id AS page_id, html AS text FROM pages WHERE html IS NOT NULL UNION ALL SELECT page_id, '한글 ' || page_id FROM pages""")
