@@ -73,6 +73,7 @@ def test_checks_are_dealt_once_and_in_more_parts_as_they_grow(spark, copies, mon
 def test_details_of_stories_send_no_row_by_story_and_address(spark, data):
     import re
 
+    from vigil import bridge
     from vigil.plans import listing
 
     usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -83,6 +84,7 @@ def test_details_of_stories_send_no_row_by_story_and_address(spark, data):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
     keys = re.findall(r"Exchange hashpartitioning\((.*), \d+\)", plan)
     assert keys and all("," not in k for k in keys)
+    assert bridge.view(spark, data, "citation_checks", 1 << 12).rdd.getNumPartitions() > bridge.view(spark, data, "citation_checks").rdd.getNumPartitions()
     at = F.lit("2024-01-31").cast("timestamp_ntz")
     story = spark.createDataFrame([(1, [("a", "u"), ("b", None), ("c", "v"), ("d", "u")]), (2, []), (3, None), (4, [("e", "u")])], "id long, citations array<struct<title:string,uri:string>>")
     story = story.select("*", F.lit(None).cast("string").alias("arweave_tx_id"), F.lit(None).cast("string").alias("arweave_url"))

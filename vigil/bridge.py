@@ -83,18 +83,19 @@ DEALT_BY = {"lineitem": "l_orderkey"}
 PART_BYTES = 8 << 20  # of a file, in a task
 
 
-def _dealt(table: DataFrame, key: str) -> DataFrame:
+def _dealt(table: DataFrame, key: str, part_bytes: int) -> DataFrame:
     """table with a key's rows in one partition; partitions grow in number with the table, not in size."""
     size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    parts = -(-size // PART_BYTES)
+    parts = -(-size // part_bytes)
     usual = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return table.repartition(parts, key) if parts > usual else table.repartition(key)
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, part_bytes: int | None = None) -> DataFrame:
+    """A view as a table. part_bytes: of a dealt file, in a task, where a query's tasks hold much of each row."""
     sql = VIEWS[name]
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in sql}
-    tables |= {t: _dealt(tables[t], key) for t, key in DEALT_BY.items() if t in tables}
+    tables |= {t: _dealt(tables[t], key, part_bytes or PART_BYTES) for t, key in DEALT_BY.items() if t in tables}
     return spark.sql(sql.replace("TIMESTAMP '", "TIMESTAMP_NTZ '"), **tables)
 
 
